@@ -6,7 +6,11 @@ task: orders are dealt out by ranges, and only sums per range meet in one place.
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,3 +73,15 @@ def running_total(
         .withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop("_start", "_b", *[f"_g{i}" for i in range(len(groups))])
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, where neither PYTHONPATH nor the folder they start in does."""
+    root = Path(__file__).resolve().parent.parent
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if getattr(context, "_corpus_engine_shipped", False) or any(Path(p, "corpus_engine").is_dir() for p in paths if p):
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/corpus_engine", "zip", root, "corpus_engine")
+    context.addPyFile(archive)
+    context._corpus_engine_shipped = True

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpus_engine.shared import ship
+
 #: Characters of text that are worked on at once, beside the one text that may exceed them.
 CHARS = 4_000_000
 
@@ -38,6 +40,7 @@ def map_texts(
     work() is called once in each task. Only the kept columns and the text are read. Any names
     may occur in df: the text travels under a name of its own position.
     """
+    ship(df.sparkSession)
     rows = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], text.alias("t"))
     fields = [f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(df.select(*[f"`{k}`" for k in keep]).schema)]
     made = [part.split(None, 1)[0] for part in schema.split(", ")]

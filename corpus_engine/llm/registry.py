@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_engine.llm import byte_bpe, language_mixture, mix_sources, positive_unlabelled, prefix_forest, quartile_digest, secret_layers, simhash_tiles, virtual_slots
+from corpus_engine.llm import byte_bpe, language_mixture, mix_sources, packed_ids, positive_unlabelled, prefix_forest, quartile_digest, secret_layers, simhash_tiles, virtual_slots
 
-MODULES = (mix_sources, byte_bpe, virtual_slots, language_mixture, simhash_tiles, positive_unlabelled, secret_layers, quartile_digest, prefix_forest)
+MODULES = (mix_sources, byte_bpe, virtual_slots, language_mixture, simhash_tiles, positive_unlabelled, secret_layers, quartile_digest, prefix_forest, packed_ids)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_engine.shared import ship
@@ -31,24 +31,26 @@ def parts(texts: pa.Array, chars: int = CHARS) -> Iterator[tuple[int, list[str |
 def map_texts(
     df: DataFrame,
     keep: list[str],
-    text: Column,
+    text: str,
     work: Callable[[], Callable[[list[str | None]], list[pa.Array]]],
     schema: str,
 ) -> DataFrame:
     """Columns `keep` of df, then those of `schema`, made from each text by the function work() gives.
 
     work() is called once in each task. Only the kept columns and the text are read. Any names
-    may occur in df: the text travels under a name of its own position.
+    may occur in df: columns travel under names of their positions, and a kept text but once.
     """
     ship(df.sparkSession)
-    rows = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], text.alias("t"))
+    sent = [*keep, *([] if text in keep else [text])]
+    at = sent.index(text)
+    rows = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(sent)])
     fields = [f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(df.select(*[f"`{k}`" for k in keep]).schema)]
     made = [part.split(None, 1)[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         do = work()
         for batch in batches:
-            for start, texts in parts(batch.column(len(keep))):
+            for start, texts in parts(batch.column(at)):
                 kept = [batch.column(i).slice(start, len(texts)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *do(texts)], names=[f"k{i}" for i in range(len(keep))] + made)
 

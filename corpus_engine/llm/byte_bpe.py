@@ -304,7 +304,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...]
         return do
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return map_texts(docs, list(keep), F.col("text"), work, schema)
+    return map_texts(docs, list(keep), "text", work, schema)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,7 +115,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     )
     texts = labelled.join(F.broadcast(picked), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
 
-    counted = map_texts(texts, ["lang"], F.col("text"), lambda: _counted, "grams array<int>, counts array<int>")
+    counted = map_texts(texts, ["lang"], "text", lambda: _counted, "grams array<int>, counts array<int>")
     pairs = counted.select("lang", F.explode(F.arrays_zip("grams", "counts")).alias("g"))
     sums = pairs.groupBy("lang", F.col("g.grams").alias("gram")).agg(F.sum("g.counts").alias("n")).toArrow()
     languages = sorted(set(sums.column("lang").to_pylist()))
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
 
         return do
 
-    return map_texts(docs, keep, F.col("text"), work, "lang_pred string, score double, languages map<string,double>")
+    return map_texts(docs, keep, "text", work, "lang_pred string, score double, languages map<string,double>")
 
 
 def fold(modulus: int):

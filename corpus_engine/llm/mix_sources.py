@@ -70,16 +70,17 @@ def sampling_key(quality: Column, *row: Column) -> Column:
 def mix(
     rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS
 ) -> DataFrame:
-    """rows(doc_id, source, size, quality, tag) -> the same with source_size, target, copies, taken.
+    """rows(doc_id, source, size, quality, tag, row) -> the same with source_size, target, copies, taken.
 
     `tag` is a hash of the text: it parts rows that share a doc_id. copies = whole epochs plus
     one for documents of the fractional epoch; the document at the edge of the budget is taken
     if that brings the source nearer to its target, so a source ends within half a document of
-    it. Rows equal in all columns share one key and follow each other in any order. Null source:
-    a source of its own. Null doc_id: told apart by tag. Size 0: taken 0. No rows: no rows.
+    it. `row` is a number of the row that only parts rows equal in all else, which share one key.
+    Null source: a source of its own. Null doc_id: told apart by tag. Size 0: taken 0. No rows: no
+    rows.
     """
     key = sampling_key(F.col("quality"), F.col("doc_id").cast("string"), F.col("tag"))
-    order = [F.col("source"), F.col("key"), F.col("doc_id"), F.col("tag")]
+    order = [F.col("source"), F.col("key"), F.col("doc_id"), F.col("tag"), F.col("row")]
     keyed = range_buckets(rows.withColumn("key", key), order, "mix-keys")
     targets = source_targets(
         keyed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs
@@ -108,16 +109,17 @@ def quality_of(labels: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mix documents(doc_id, text, source) by the labels' quality; other columns are not read."""
+    """Mix docs(doc_id, text, source[, row]) by the labels' quality; other columns are not read."""
+    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
     rows = docs.select(
-        F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.md5(F.col("text")).alias("tag")
+        "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5("text").alias("tag"), row.alias("row")
     )
     rows = rows.join(quality_of(labels), F.col("doc_id") == F.col("_labelled"), "left").drop("_labelled")
     return mix(rows.withColumn("quality", F.coalesce("quality", F.lit(QUALITY[None]))))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mixed_documents(docs, labels).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 

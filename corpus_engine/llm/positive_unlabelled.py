@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         kind = pa.list_(pa.int32())
         return lambda found: [pa.array([word_ids(t) for t in found], kind)]
 
-    rows = map_texts(texts, ["_p"], F.col("text"), work, "words array<int>").toArrow()
+    rows = map_texts(texts, ["_p"], "text", work, "words array<int>").toArrow()
     kinds = rows.column("_p").to_numpy()
     words = rows.column("words").combine_chunks() if rows.num_rows else []
     sets = [np.asarray(w.values, np.int32) for w in words]
@@ -173,7 +173,7 @@ def score(docs: DataFrame, classifier: Classifier, keep: list[str]) -> DataFrame
 
         return do
 
-    return map_texts(docs, keep, F.col("text"), work, "score double, predicted int")
+    return map_texts(docs, keep, "text", work, "score double, predicted int")
 
 
 def fold():

@@ -208,13 +208,13 @@ def find_secrets(docs: DataFrame, keep: list[str]) -> DataFrame:
         return do
 
     schema = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
-    return map_texts(docs, keep, F.col("text"), work, schema)
+    return map_texts(docs, keep, "text", work, schema)
 
 
 def mask_secrets(docs: DataFrame, keep: list[str]) -> DataFrame:
     """docs(text, *keep) -> keep, masked: the text with every secret masked; null stays null."""
     return map_texts(
-        docs, keep, F.col("text"), lambda: lambda texts: [pa.array([masked(t) for t in texts], pa.string())], "masked string"
+        docs, keep, "text", lambda: lambda texts: [pa.array([masked(t) for t in texts], pa.string())], "masked string"
     )
 
 

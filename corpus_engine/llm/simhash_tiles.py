@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
 
         return do
 
-    return map_texts(docs, keep, F.col("text"), work, "fp bigint")
+    return map_texts(docs, keep, "text", work, "fp bigint")
 
 
 def byte_counts(fps: np.ndarray) -> np.ndarray:

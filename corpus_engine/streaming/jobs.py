@@ -20,7 +20,7 @@ def latest_task_stage(events: DataFrame) -> DataFrame:
 
 def stage_counts(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Events of each stage in tumbling or sliding windows; as a stream, later ones than `late` are passed over."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     span = F.window("ts", size, slide) if slide else F.window("ts", size)
     found = timed.groupBy(span.alias("w"), "stage").agg(F.count("*").alias("events"))
     return found.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "stage", "events")

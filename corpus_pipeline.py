@@ -16,7 +16,7 @@ from corpus_engine.llm import byte_bpe, language_mixture, mix_sources, secret_la
 from corpus_engine.shared import materialize
 
 #: A document goes if no language holds at least this share of it (times the certainty).
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.25
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def with_rows(docs: DataFrame, name: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents without a letter, or in no language for the most part, go.
+    """Operator 7: documents without a letter, or without a language that holds a fair share, go.
 
     Null texts have no letter, so they go. If nothing is labelled, no language can be known: then
     every document with a letter stays.

@@ -36,7 +36,7 @@ HEADER = struct.Struct("<8sIIQQQII")
 BLOCK = 65_536
 END = 0
 #: Entries of a worker's table of words.
-WORDS = 300_000
+WORDS = 450_000
 
 
 def width(vocabulary: int) -> int:
@@ -138,12 +138,14 @@ class WordEncoder:
         self.edge = regex.compile(r"\s").match
         self.simple = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+").fullmatch
         self.letters = _byte_letters()
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.words: dict[str, bytes | None] = {}
         self.aside: dict[str, bytes | None] = {}
 
-    def _piece(self, piece: str) -> list[int]:
-        letters = self.letters
-        return [t.id for t in self.model.tokenize("".join([letters[b] for b in piece.encode()]))]
+    def _piece(self, piece: str) -> bytes:
+        letters, packed = self.letters, self.packed
+        spelled = "Ġ" + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalpha() else "".join([letters[b] for b in piece.encode()])
+        return b"".join([packed[t.id] for t in self.model.tokenize(spelled)])
 
     def _word(self, word: str) -> bytes | None:
         known = self.aside.get(word, 0)
@@ -153,7 +155,7 @@ class WordEncoder:
             else:
                 spaced = " " + word
                 pieces = [spaced] if self.simple(word) else self.findall(spaced)
-                known = np.array([i for p in pieces for i in self._piece(p)], "<u4").tobytes()
+                known = b"".join(map(self._piece, pieces))
         if len(self.words) >= WORDS:
             self.words, self.aside = {}, self.words
         self.words[word] = known
@@ -175,8 +177,7 @@ class WordEncoder:
             if ids is None:
                 return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             out.append(ids)
-        start = np.array([i for p in self.findall(first) for i in self._piece(p)], "<u4").tobytes()
-        return b"".join([start, *out])
+        return b"".join([*map(self._piece, self.findall(first)), *out])
 
 
 def _byte_letters() -> list[str]:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_engine.plans import search_queries, store_queries, text_queries
+from corpus_engine.plans import model_queries, search_queries, store_queries, text_queries
 from corpus_engine.plans.search_queries import flagship
 
-MODULES = (search_queries, text_queries, store_queries)
+MODULES = (search_queries, text_queries, store_queries, model_queries)
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 

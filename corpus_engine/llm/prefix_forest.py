@@ -23,6 +23,8 @@ BLOCK_ROWS, QUERY_ROWS = 8192, 8192
 #: Entries under a query's prefixes, over all trees of a block, at which it stops ascending.
 CANDIDATES = 3000
 SEED = 7
+#: Stands for a null id while it is sorted: such vectors come last among equals.
+NO_ID = 2**63 - 1
 
 
 def usable(vector: str) -> F.Column:
@@ -123,7 +125,8 @@ def nearest(
     Vectors that are not usable() take no part on either side. Only vectors of a query's own
     length are candidates. A query's own row (same id, same vector, one of it) is no candidate;
     further rows with its id are. Equal queries are asked once; queries that share an id but not
-    a vector are answered each. Blocks hold block_rows vectors on average, by the hash of id and
+    a vector are answered each. Vectors of null id are candidates, after others of their score, and
+    give a null vec_id. Blocks hold block_rows vectors on average, by the hash of id and
     vector, so copies are spread; the work of a task is one block and query_rows queries.
     """
     spark = vectors.sparkSession
@@ -131,7 +134,7 @@ def nearest(
 
     def clean(df: DataFrame) -> DataFrame:
         kept = df.select("vec_id", "embedding").where(usable("embedding"))
-        return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("dims"))
+        return kept.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("dims"))
 
     rows, asked = clean(vectors), clean(queries).distinct()
     blocks = {r.dims: -(-r["count"] // block_rows) for r in rows.groupBy("dims").count().collect()}  # a row a length
@@ -171,7 +174,9 @@ def nearest(
 
     near = base.groupBy(*key).cogroup(met.groupBy(*key)).applyInArrow(work, "query_id bigint, mark bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", rank).where(F.col("rank") <= top).select(
+        "query_id", "rank", F.nullif(F.col("vec_id"), F.lit(NO_ID)).alias("vec_id"), "score"
+    )
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

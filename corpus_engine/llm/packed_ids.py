@@ -53,6 +53,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(data: bytes, bits: int, n: int, first: int = 0) -> np.ndarray:
     """n ids from the first-th on."""
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", n, first * bits // 8).astype("<u4")
     raw = np.frombuffer(data, np.uint8)
     at = np.arange(first, first + n, dtype=np.int64) * bits
     raw = np.concatenate([raw, np.zeros(8, np.uint8)])

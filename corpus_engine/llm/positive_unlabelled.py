@@ -109,6 +109,19 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return Classifier(kept, theta[:-1], float(theta[-1]))
 
 
+def smallest(ids: DataFrame, most: int) -> DataFrame:
+    """The `most` ids(_id) of smallest hash, all if there are fewer.
+
+    Ids far above the cut, by twice the share that is wanted, are left out before they are
+    ordered, so that tasks send few rows however many there are.
+    """
+    n = ids.count()
+    hashed = ids.withColumn("_h", F.xxhash64("_id"))
+    if n > 4 * most:
+        hashed = hashed.where(F.col("_h") < -(2**63) + int(2**64 * (2 * most / n)))
+    return hashed.orderBy("_h", "_id").limit(most).drop("_h")
+
+
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
     """Train from docs(doc_id, text) and labels(doc_id, toxic), both without held-out rows.
 
@@ -120,10 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     n, toxic = marked.agg(F.count("*"), F.sum("toxic")).first()
     prior = float(np.clip((toxic or 0) / n if n else PRIOR[0], *PRIOR))
     known = marked.where("toxic = 1").select(F.col("doc_id").alias("_id"))
-    order = [F.xxhash64("_id"), F.col("_id")]
     ids = docs.select(F.col("doc_id").alias("_id")).where(F.col("_id").isNotNull())
-    chosen = known.orderBy(*order).limit(positives).withColumn("_p", F.lit(1)).unionByName(
-        ids.join(known, "_id", "left_anti").distinct().orderBy(*order).limit(unlabelled).withColumn("_p", F.lit(0))
+    chosen = smallest(known, positives).withColumn("_p", F.lit(1)).unionByName(
+        smallest(ids.join(known, "_id", "left_anti").distinct(), unlabelled).withColumn("_p", F.lit(0))
     )
     texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_p", "text")
 

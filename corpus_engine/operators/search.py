@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_engine.functions.text import hash_place, hash_sign, tokenize
-from corpus_engine.shared import ship
+from corpus_engine.shared import materialize, ship
 
 K1, B, EPS = 1.5, 0.75, 0.25
 
@@ -31,14 +31,14 @@ class Index:
 
 def bm25_index(chunks: DataFrame, tokenizer: Callable[[Column], Column] = tokenize, eps: float = EPS) -> Index:
     """Index chunks(chunk_id, text). Terms in over half the chunks have a negative idf, which is
-    replaced by eps times the mean idf, negative ones included. Chunks without tokens count in n
+    replaced by eps times the mean idf, negative ones included. Texts are read once: the postings
+    are written, and all statistics come from them. Chunks without tokens count in n
     and in the mean length, and match nothing."""
     tokens = chunks.select("chunk_id", tokenizer(F.col("text")).alias("tokens"))
-    lengths = tokens.select("chunk_id", F.size("tokens").alias("dl"), "tokens")
-    postings = lengths.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "term", "dl").agg(
-        F.count("*").alias("tf")
-    )
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    single = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    postings = materialize(single.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf")), "postings")
+    summed = F.broadcast(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")))  # one row
+    totals = chunks.agg(F.count("*").alias("n")).join(summed).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     one = F.broadcast(totals)  # one row
     idf = df.join(one).withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))

@@ -1,9 +1,10 @@
 """Operator 6: approximate nearest neighbours by a hash-prefix forest.
 
-Vectors are dealt into blocks. In each block every tree holds the vectors' long hash strings,
-sorted. A query descends in all trees to its longest matching prefixes and then ascends in all
-trees together, one letter at a time, until the slices under its prefixes hold enough
-candidates; those are ranked by their exact inner products. The best of all blocks are merged.
+Vectors are dealt into blocks, equal ones of a block become one with several ids. In each block
+every tree holds the vectors' long hash strings, sorted. A query descends in all trees to its
+longest matching prefixes and then ascends in all trees together, one letter at a time, until the
+slices under its prefixes hold enough distinct vectors; those are ranked by their exact inner
+products and give their ids. The best of all blocks are merged.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ TOP = 20
 TREES, LETTERS = 64, 32
 #: Vectors of a block, queries that meet it in one task.
 BLOCK_ROWS, QUERY_ROWS = 8192, 8192
-#: Entries under a query's prefixes, over all trees of a block, at which it stops ascending.
+#: Distinct vectors under a query's prefixes in a block at which it stops ascending.
 CANDIDATES = 3000
 SEED = 7
 #: Stands for a null id while it is sorted: such vectors come last among equals.
@@ -59,56 +60,69 @@ def unit_with_slack(vectors: np.ndarray, longest: float) -> tuple[np.ndarray, np
 
 
 class Forest:
-    """The sorted arrays of one block."""
-
-    def __init__(self, vectors: np.ndarray, trees: int = TREES, letters: int = LETTERS):
-        self.vectors, self.trees, self.letters = vectors, trees, letters
+    """The sorted arrays of one block: each distinct vector is in them once, its rows are attached."""
+
+    def __init__(self, vectors: np.ndarray, names: np.ndarray, trees: int = TREES, letters: int = LETTERS):
+        same = np.ascontiguousarray(vectors + 0.0).view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel()
+        _, first, self.group = np.unique(same, return_index=True, return_inverse=True)
+        self.vectors, self.names, self.trees, self.letters = vectors[first], names, trees, letters
+        #: Rows by group and name; those of group g are rows[heads[g] : heads[g + 1]].
+        self.rows = np.lexsort((names, self.group))
+        self.heads = np.concatenate(([0], np.cumsum(np.bincount(self.group))))
         self.cuts = planes(vectors.shape[1], trees, letters)
         longest = float(np.sqrt((vectors**2).sum(1)).max())
-        strings = hash_strings(*unit_with_slack(vectors, longest), self.cuts, trees, letters)
+        strings = hash_strings(*unit_with_slack(self.vectors, longest), self.cuts, trees, letters)
         self.order = np.argsort(strings, axis=1, kind="stable")
         self.strings = np.take_along_axis(strings, self.order, axis=1)
 
-    def slices(self, queries: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
-        """(queries, trees) starts and ends in the sorted arrays, at each query's own prefix length."""
-        n = len(queries)
+    def ascend(self, queries: np.ndarray, enough: int) -> list[np.ndarray]:
+        """For each query the distinct vectors under its prefixes, at the longest length at which there are enough."""
+        n = len(self.vectors)
         length = np.sqrt((queries**2).sum(1, keepdims=True))
-        own = hash_strings(queries / length, np.zeros(n), self.cuts, self.trees, self.letters)
-        starts, ends = np.zeros((n, self.trees), np.int64), np.full((n, self.trees), len(self.vectors))
-        todo = np.arange(n)
+        own = hash_strings(queries / length, np.zeros(len(queries)), self.cuts, self.trees, self.letters)
+        found = [np.arange(n)] * len(queries)
+        todo = np.arange(len(queries) if enough < n else 0)
+        seen = np.zeros(n, bool)
         for prefix in range(self.letters, 0, -1):
+            if not len(todo):
+                break
             rest = self.letters - prefix
             low, high = np.empty((len(todo), self.trees), np.int64), np.empty((len(todo), self.trees), np.int64)
             for t in range(self.trees):
                 first = own[t][todo] >> rest << rest
                 low[:, t] = np.searchsorted(self.strings[t], first, "left")
                 high[:, t] = np.searchsorted(self.strings[t], first + (1 << rest), "left")
-            done = (high - low).sum(1) >= enough
-            starts[todo[done]], ends[todo[done]] = low[done], high[done]
+            done = np.zeros(len(todo), bool)
+            for k in np.flatnonzero((high - low).sum(1) >= enough):  # a vector counts once a tree, so these may have enough
+                for t in range(self.trees):
+                    seen[self.order[t, low[k, t] : high[k, t]]] = True
+                rows = np.flatnonzero(seen)
+                seen[rows] = False
+                if len(rows) >= enough:
+                    found[todo[k]], done[k] = rows, True
             todo = todo[~done]
-            if not len(todo):
-                break
-        return starts, ends
+        return found
 
-    def search(self, queries: np.ndarray, own_row: np.ndarray, names: np.ndarray, top: int, enough: int):
+    def search(self, queries: np.ndarray, own_row: np.ndarray, top: int, enough: int):
         """For each query the rows of its best candidates and their scores; own_row is left out (-1: none)."""
-        starts, ends = self.slices(queries, enough)
-        seen = np.zeros(len(self.vectors), bool)
-        for k, query in enumerate(queries):
-            for t in range(self.trees):
-                seen[self.order[t, starts[k, t] : ends[k, t]]] = True
-            if own_row[k] >= 0:
-                seen[own_row[k]] = False
-            rows = np.flatnonzero(seen)
-            seen[rows] = False
-            if own_row[k] >= 0:
-                seen[own_row[k]] = False
-            if len(rows) > 4 * top:  # near enough to the top to be in it
-                rough = self.vectors[rows] @ query
+        for query, own, near in zip(queries, own_row, self.ascend(queries, enough)):
+            if own >= 0 and self.heads[self.group[own] + 1] - self.heads[self.group[own]] == 1:
+                near = near[near != self.group[own]]
+            if len(near) > 4 * top:  # near enough to the top to be in it
+                rough = self.vectors[near] @ query
                 edge = np.partition(rough, len(rough) - top)[len(rough) - top]
-                rows = rows[rough >= edge - 1e-9 * max(1.0, abs(edge))]
-            scores = (self.vectors[rows] * query).sum(1)
-            best = np.lexsort((names[rows], -scores))[:top]
+                near = near[rough >= edge - 1e-9 * max(1.0, abs(edge))]
+            scores = (self.vectors[near] * query).sum(1)
+            least = self.names[self.rows[self.heads[near]]]
+            if own >= 0:  # a group is placed by the first of its rows that count
+                for at in np.flatnonzero(near == self.group[own]):
+                    least[at] = self.names[next(r for r in self.rows[self.heads[near[at]] :] if r != own)]
+            best = np.lexsort((least, -scores))[:top]
+            ids = [self.rows[self.heads[g] : min(self.heads[g + 1], self.heads[g] + top + 1)] for g in near[best]]
+            rows = np.concatenate([np.empty(0, np.int64), *ids])
+            scores = np.repeat(scores[best], [len(r) for r in ids])
+            scores, rows = scores[rows != own], rows[rows != own]
+            best = np.lexsort((self.names[rows], -scores))[:top]
             yield rows[best], scores[best]
 
 
@@ -127,7 +141,8 @@ def nearest(
     further rows with its id are. Equal queries are asked once; queries that share an id but not
     a vector are answered each. Vectors of null id are candidates, after others of their score, and
     give a null vec_id. Blocks hold block_rows vectors on average, by the hash of id and
-    vector, so copies are spread; the work of a task is one block and query_rows queries.
+    vector, so copies are spread; the work of a task is one block and query_rows queries. A block
+    ranks at least `candidates` distinct vectors for a query, all of them if it has no more.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -164,7 +179,7 @@ def nearest(
             place.setdefault(name, []).append(row)
         for k in np.flatnonzero(right.column("own").to_numpy(zero_copy_only=False)):
             own[k] = next((row for row in place.get(int(ids[k]), []) if np.array_equal(data[row], asked[k])), -1)
-        found = list(Forest(data).search(asked, own, names, top, candidates))
+        found = list(Forest(data, names).search(asked, own, top, candidates))
         marks = right.column("mark").to_numpy()
         counts = [len(r) for r, _ in found]
         return pa.table({

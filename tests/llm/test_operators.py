@@ -202,6 +202,32 @@ def test_forest_recall(spark):
     assert len(hits) == 100 and np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("copies", [0, 3000])
+def test_forest_recall_of_a_block_with_copies(copies):
+    """At the parameters in use; queries include some that lie near the group of copies in a few trees."""
+    rng = np.random.default_rng(11)
+    hot = rng.standard_normal(48)
+    data = np.concatenate([rng.standard_normal((9000 - copies, 48)), np.tile(hot, (copies, 1))])
+    data /= np.sqrt((data**2).sum(1, keepdims=True))
+    names = rng.permutation(len(data))
+    asked = np.concatenate([data[:60], [0.4 * data[-1] + x for x in data[60:120]]])
+    own = np.array([*range(60), *[-1] * 60])
+    hits = []
+    for k, (rows, scores) in enumerate(prefix_forest.Forest(data, names).search(asked, own, 20, prefix_forest.CANDIDATES)):
+        exact = (data * asked[k]).sum(1)
+        want = [r for r in np.lexsort((names, -exact.round(12))) if r != own[k]][:20]
+        assert len(rows) == len(set(rows)) == 20 and own[k] not in rows and np.allclose(scores, exact[rows])
+        hits.append(len(set(names[rows]) & set(names[want])) / 20)
+    assert np.mean(hits) >= 0.9 and np.mean(hits[:60]) >= 0.9
+
+
+def test_forest_places_copies_by_id_without_the_own_row():
+    data = np.array([[1.0, 0.0]] * 5 + [[0.0, 1.0], [1.0, -0.0]])
+    names = np.array([7, 3, 3, 9, 1, 2, 4])
+    (rows, scores), = prefix_forest.Forest(data, names).search(data[:1], np.array([4]), 5, 1)
+    assert names[rows].tolist() == [3, 3, 4, 7, 9] and scores.tolist() == [1.0] * 5
+
+
 def test_forest_odd_vectors(spark, odd):
     rows = prefix_forest.op6_prefix_forest(spark, odd).collect()
     by = {(r.query_id, r.rank): (r.vec_id, round(r.score, 6)) for r in rows}

@@ -65,16 +65,36 @@ def _readable(data: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
-def _unfold(data: bytes) -> bytes | None:
-    """What gzip or zlib data holds; None if it is neither, is broken or is too large."""
-    if not (data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
-    unpack = zlib.decompressobj(47)
-    try:
-        out = unpack.decompress(data, UNFOLDED)
-    except zlib.error:
+def _unfold(data: bytes) -> list[bytes] | None:
+    """What gzip or zlib data holds: each member, all in a row, and what follows them. None if it is neither, is broken or too large."""
+    members, rest = [], data
+    while rest[:2] == b"\x1f\x8b" or len(rest) > 2 and rest[0] == 0x78 and (rest[0] << 8 | rest[1]) % 31 == 0:
+        unpack = zlib.decompressobj(47)
+        try:
+            out = unpack.decompress(rest, UNFOLDED)
+        except zlib.error:
+            break
+        if not unpack.eof:
+            break
+        members.append(out)
+        rest = unpack.unused_data
+    if not members:
         return None
-    return out if unpack.eof else None
+    return members + [b"".join(members)] * (len(members) > 1) + [rest] * bool(rest)
+
+
+def _unfolded(data: bytes) -> list[bytes]:
+    """What compressed data holds when no layer of it is compressed any more; empty if it is not compressed."""
+    work, seen, found = _unfold(data) or [], set(), []
+    while work:
+        part = work.pop()
+        mark = hashlib.blake2b(part, digest_size=16).digest()
+        if mark not in seen:
+            seen.add(mark)
+            below = _unfold(part)
+            found += [part] if below is None else []
+            work += below or []
+    return found
 
 
 def _percent(text: str) -> Iterator[tuple[int, int, str | None]]:
@@ -128,15 +148,16 @@ def decoded(layer: Layer) -> Iterator[Layer]:
         except (binascii.Error, ValueError):
             continue
         start, end = m.span()
-        unfolded = _unfold(data)
-        below = _readable(data if unfolded is None else unfolded)
-        if below is None:
-            continue
-        if unfolded is None and len(below) == len(data):  # one byte a character: three of them in four
-            places = [_origin(layer, start + k * 4 // 3, min(end, start + -(-(k + 1) * 4 // 3))) for k in range(len(below))]
-        else:
-            places = [_origin(layer, start, end)] * len(below)
-        yield below, places
+        unfolded = _unfolded(data)
+        for part in unfolded or [data]:
+            below = _readable(part)
+            if below is None:
+                continue
+            if not unfolded and len(below) == len(data):  # one byte a character: three of them in four
+                places = [_origin(layer, start + k * 4 // 3, min(end, start + -(-(k + 1) * 4 // 3))) for k in range(len(below))]
+            else:
+                places = [_origin(layer, start, end)] * len(below)
+            yield below, places
 
 
 def layers(text: str) -> Iterator[Layer]:

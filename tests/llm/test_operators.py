@@ -2,6 +2,7 @@
 
 import array
 import base64
+import gzip
 import hashlib
 import itertools
 import re
@@ -317,6 +318,28 @@ def test_secrets_in_nested_layers(outer, inner):
     assert secret_layers.masked(text).startswith("héllo ") and secret_layers.masked(text).endswith(" end") and secret_layers.MASK in secret_layers.masked(text)
 
 
+def in_base64(data: bytes) -> str:
+    return base64.b64encode(data).decode()
+
+
+COMPRESSED = {
+    "gzip in gzip": gzip.compress(gzip.compress(SECRET.encode())),
+    "zlib in gzip": gzip.compress(zlib.compress(SECRET.encode())),
+    "five deep": gzip.compress(zlib.compress(gzip.compress(gzip.compress(zlib.compress(SECRET.encode()))))),
+    "second member": gzip.compress(b"nothing here") + gzip.compress(SECRET.encode()),
+    "across members": gzip.compress(SECRET[:15].encode()) + gzip.compress(SECRET[15:].encode()),
+    "second member in two": gzip.compress(gzip.compress(b"nothing") + zlib.compress(gzip.compress(SECRET.encode()))),
+}
+
+
+@pytest.mark.parametrize("name", COMPRESSED)
+def test_secrets_under_nested_compression(name):
+    part = in_base64(COMPRESSED[name])
+    text = "start " + part + " end"
+    assert {(6, 6 + len(part.rstrip("=")), k) for k in ("assign", "access")} <= {(a, min(b, 6 + len(part.rstrip("="))), k) for a, b, k in secret_layers.find(text)[1]}
+    assert secret_layers.masked(text) == "start " + secret_layers.MASK + " end"
+
+
 def test_base_spans_follow_the_contract(spark, small, docs):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     extra = ["password: token: abcdef", "secret=token=abcdef", "PASSWORD='x' passwd = abcdefg", "AKIA" + "A" * 15, "AKIA" + "A" * 16, "a" * 24, "g" + "a" * 23, "paſſword = abcdefgh", ""]

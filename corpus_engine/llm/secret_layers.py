@@ -8,11 +8,10 @@ and each character of a layer knows the span of the original text it comes from.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +32,16 @@ NAMES = ("passw", "secret", "token", "api")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LEAST_RUN = 16
+#: A run over line ends.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++(?:\r?\n)?={0,2}")
+#: How base64 of gzip and zlib data begins, wherever it lies in a run.
+PACKED = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
+#: Readable bytes amid others.
+STRETCH = re.compile(
+    rb"(?:[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){8,}+"
+)
 #: Bytes that a compressed part may unfold to; larger ones are bombs and are not opened.
 UNFOLDED = 1 << 24
 
@@ -98,11 +107,19 @@ def _unfolded(data: bytes) -> list[bytes]:
 
 
 def _percent(text: str) -> Iterator[tuple[int, int, str | None]]:
+    """Percent runs; bytes of them that are no UTF-8 stay as they are and part the rest."""
     for m in PERCENT.finditer(text):
-        try:
-            yield m.start(), m.end(), bytes.fromhex(m[0].replace("%", "")).decode()
-        except UnicodeDecodeError:
-            yield m.start(), m.end(), None
+        data, at = memoryview(bytes.fromhex(m[0].replace("%", ""))), 0
+        while at < len(data):
+            try:
+                bad, after = len(data), len(data)
+                new = str(data[at:], "utf-8")
+            except UnicodeDecodeError as e:
+                bad, after = at + e.start, at + e.end
+                new = str(data[at:bad], "utf-8")
+            if new:
+                yield m.start() + 3 * at, m.start() + 3 * bad, new
+            at = after
 
 
 def _escaped(text: str) -> Iterator[tuple[int, int, str | None]]:
@@ -141,23 +158,55 @@ def decoded(layer: Layer) -> Iterator[Layer]:
         if mark in text and (found := [p for p in parts(text) if p[2] is not None]):
             yield _replaced(layer, found)
     for m in BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        whole = len(run) - (len(run) % 4 == 1)
-        try:
-            data = base64.b64decode(run[:whole].replace("-", "+").replace("_", "/") + "=" * (-whole % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        start, end = m.span()
-        unfolded = _unfolded(data)
-        for part in unfolded or [data]:
-            below = _readable(part)
-            if below is None:
-                continue
-            if not unfolded and len(below) == len(data):  # one byte a character: three of them in four
-                places = [_origin(layer, start + k * 4 // 3, min(end, start + -(-(k + 1) * 4 // 3))) for k in range(len(below))]
+        yield from _base64(layer, m[0].rstrip("="), range(*m.span()), m.end())
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            at = [k for k in range(*m.span()) if text[k] not in " \t\r\n="]
+            if len(at) >= LEAST_RUN:
+                yield from _base64(layer, "".join(text[k] for k in at), at, m.end())
+
+
+def _bytes(run: str) -> bytes:
+    """What a run of base64 letters holds; a last letter that is too much is left out."""
+    whole = len(run) - (len(run) % 4 == 1)
+    return base64.b64decode(run[:whole].replace("-", "+").replace("_", "/") + "=" * (-whole % 4), validate=True)
+
+
+def _base64(layer: Layer, run: str, at: Sequence[int], end: int) -> Iterator[Layer]:
+    """The layers under a run whose letters are at these places of the layer; `end` is after its padding.
+
+    A run that does not decode as a whole may have a payload behind a path or a prefix, or before
+    something else: then compressed data is opened wherever it begins, and what is readable at any
+    of the four offsets is taken.
+    """
+
+    def spread(start: int, size: int) -> list[tuple[int, int]]:  # one byte a character: three of them in four
+        places = []
+        for k in range(size):
+            last = start + -(-(k + 1) * 4 // 3)
+            places.append(_origin(layer, at[start + k * 4 // 3], end if last > len(run) else at[last - 1] + 1))
+        return places
+
+    data = _bytes(run)
+    unfolded = _unfolded(data)
+    whole = [below for part in unfolded or [data] if (below := _readable(part)) is not None]
+    for below in whole:
+        exact = not unfolded and len(below) == len(data)
+        yield below, spread(0, len(below)) if exact else [_origin(layer, at[0], end)] * len(below)
+    if whole:
+        return
+    for m in PACKED.finditer(run, 1):
+        for part in _unfolded(_bytes(run[m.start() :])):
+            if (below := _readable(part)) is not None:
+                yield below, [_origin(layer, at[m.start()], end)] * len(below)
+    for offset in range(4):
+        for m in STRETCH.finditer(_bytes(run[offset:])):
+            below, start = m[0].decode(), m.start()
+            head, skip = offset + start // 3 * 4, start % 3
+            if len(below) == len(m[0]):
+                yield below, spread(head, skip + len(below))[skip:]
             else:
-                places = [_origin(layer, start, end)] * len(below)
-            yield below, places
+                yield below, [_origin(layer, at[head], at[min(len(run), head + -(-(skip + len(m[0])) * 4 // 3)) - 1] + 1)] * len(below)
 
 
 def layers(text: str) -> Iterator[Layer]:

@@ -340,6 +340,46 @@ def test_secrets_under_nested_compression(name):
     assert secret_layers.masked(text) == "start " + secret_layers.MASK + " end"
 
 
+def wrapped(text: str, columns: int, end: str = "\n") -> str:
+    return end.join(text[k : k + columns] for k in range(0, len(text), columns))
+
+
+LONGER = " ".join(f"line {k} of a note" for k in range(9)) + " " + SECRET + " and so on"
+RUNS = {
+    "76 columns": wrapped(in_base64(LONGER.encode()), 76),
+    "64 columns": wrapped(in_base64(LONGER.encode()), 64, "\r\n    "),
+    "secret across a line end": wrapped(in_base64(SECRET.encode()), 20),
+    "wrapped gzip": wrapped(in_base64(gzip.compress(LONGER.encode())), 64),
+    "wrapped, then a word": wrapped(in_base64(gzip.compress(LONGER.encode())), 64) + "\nEnd",
+    "short last line": wrapped(in_base64(SECRET.encode()), 40),
+    "path": "/files/" + in_base64(SECRET.encode()),
+    "path on both sides": "/files/" + in_base64(SECRET.encode()).rstrip("=") + "/view",
+    "prefix": "cfg_" + in_base64(SECRET.encode()),
+    "prefix of two": "ab" + in_base64(SECRET.encode()),
+    "minus": "x-y-" + in_base64(SECRET.encode()),
+    "gzip behind a path": "/a/files/" + in_base64(gzip.compress(SECRET.encode())),
+    "zlib behind a path": "/a/files/" + in_base64(zlib.compress(SECRET.encode())),
+    "percent with a bad byte": "%FF" + "".join(f"%{c:02X}" for c in SECRET.encode()) + "%C3%C3",
+}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_secrets_in_runs_that_are_cut_or_shifted(name):
+    text = "héllo: " + RUNS[name] + " ... end"
+    every = secret_layers.find(text)[1]
+    assert {"assign", "access"} <= {kind for _, _, kind in every}
+    assert all(7 <= start < end <= len(text) - 8 for start, end, _ in every)
+    masked = secret_layers.masked(text)
+    assert masked.startswith("héllo: ") and masked.endswith(" ... end") and not {"assign", "access"} & {kind for _, _, kind in secret_layers.find(masked)[1]}
+
+
+def test_spans_behind_a_path_are_as_close_as_without_it():
+    run = in_base64(b"nothing here " + SECRET.encode())
+    plain = secret_layers.find("... " + run)[1]
+    for head in ("/files/", "cfg_", "a/", "xyz-"):
+        assert [(a - len(head), b - len(head), k) for a, b, k in secret_layers.find("... " + head + run)[1]] == plain
+
+
 def test_base_spans_follow_the_contract(spark, small, docs):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     extra = ["password: token: abcdef", "secret=token=abcdef", "PASSWORD='x' passwd = abcdefg", "AKIA" + "A" * 15, "AKIA" + "A" * 16, "a" * 24, "g" + "a" * 23, "paſſword = abcdefgh", ""]

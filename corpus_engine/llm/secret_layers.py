@@ -2,12 +2,15 @@
 
 A worklist holds the layers of a text: the text itself, then what its percent-encoded, escaped,
 base64 or compressed parts decode to, and so on until nothing new decodes. Each layer is scanned,
-and each character of a layer knows the span of the original text it comes from.
+and each character of a layer knows the span of the original text it comes from. What is under
+compression comes from the whole compressed part, so it is unfolded and scanned by pieces, and only
+the kinds of secrets in it are kept.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import re
 import zlib
@@ -33,6 +36,9 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 LEAST_RUN = 16
+#: A run at the end of a text, read from there.
+RUN_BACK = re.compile(r"(?:[A-Za-z0-9+/_-]++|[ \t]*+\n\r?)*+")
+READABLE = b"\t\r\n" + bytes(range(0x20, 0x7F))
 #: A run over line ends.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++(?:\r?\n)?={0,2}")
 #: How base64 of gzip and zlib data begins, wherever it lies in a run.
@@ -42,8 +48,10 @@ STRETCH = re.compile(
     rb"(?:[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]"
     rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){8,}+"
 )
-#: Bytes that a compressed part may unfold to; larger ones are bombs and are not opened.
-UNFOLDED = 1 << 24
+#: Letters of a run over line ends, as a stream meets them.
+RUN = re.compile(r"(?:[A-Za-z0-9+/_-]++|\r?\n[ \t]*+|\r)*+")
+#: Bytes or characters of unfolded data that are held at once; characters that two pieces share.
+PIECE, SHARED = 1 << 19, 1 << 17
 
 MASK = "[SECRET]"
 
@@ -74,36 +82,228 @@ def _readable(data: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
-def _unfold(data: bytes) -> list[bytes] | None:
-    """What gzip or zlib data holds: each member, all in a row, and what follows them. None if it is neither, is broken or too large."""
-    members, rest = [], data
-    while rest[:2] == b"\x1f\x8b" or len(rest) > 2 and rest[0] == 0x78 and (rest[0] << 8 | rest[1]) % 31 == 0:
-        unpack = zlib.decompressobj(47)
+def _mark(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+class Stream:
+    """Bytes that come by pieces, of any number: unfolded while they are compressed, then scanned as text.
+
+    The kinds of secrets below are added to `kinds`. `above` has marks of what this lies in, so data
+    that unfolds to itself ends. Members of compressed data are read in a row and one by one.
+    """
+
+    def __init__(self, kinds: set[str], above: frozenset[bytes]):
+        self.kinds, self.above = kinds, above
+        self.held = bytearray()  # until it is known what it is
+        self.unpack = self.text = None
+        self.below: list[Stream] = []  # the members in a row, the member at hand
+        self.first: bytearray | None = None  # the first member, while it is small
+        #: Whether all compressed data was unfolded to its end.
+        self.sound = False
+
+    def feed(self, data: bytes) -> None:
+        while data:
+            if self.text:
+                self.text.feed_bytes(data)
+                return
+            if self.unpack:
+                data = self._unfold(data)
+                continue
+            self.held += data
+            if len(self.held) < PIECE:
+                return
+            data = self._decide()
+
+    def _decide(self) -> bytes:
+        """Settle what the held bytes begin; gives them back."""
+        data = bytes(self.held)
+        self.held.clear()
+        mark = _mark(data)
+        if _packed(data) and mark not in self.above:
+            self.unpack, self.sound = zlib.decompressobj(47), False
+            if self.below:
+                self.below = [self.below[0], Stream(self.kinds, self.above | {mark})]
+                if self.first is not None:  # it has been read in a row only
+                    alone = Stream(self.kinds, self.above | {mark})
+                    alone.feed(bytes(self.first))
+                    alone.close()
+                    self.first = None
+            else:
+                self.below, self.first = [Stream(self.kinds, self.above | {mark})], bytearray()
+        else:
+            self.text = Text(self.kinds, self.above)
+        return data
+
+    def _unfold(self, data: bytes) -> bytes:
+        """Unfold one piece; gives the bytes that are left."""
         try:
-            out = unpack.decompress(rest, UNFOLDED)
+            out = self.unpack.decompress(data, PIECE)
         except zlib.error:
-            break
-        if not unpack.eof:
-            break
-        members.append(out)
-        rest = unpack.unused_data
-    if not members:
-        return None
-    return members + [b"".join(members)] * (len(members) > 1) + [rest] * bool(rest)
-
+            self.unpack, self.text = None, Text(self.kinds, self.above)
+            return data
+        for stream in self.below:
+            stream.feed(out)
+        if self.first is not None and len(self.below) == 1:
+            self.first += out
+            if len(self.first) > PIECE:  # as text it is read by pieces, whatever follows
+                self.first = None
+        if not self.unpack.eof:
+            return self.unpack.unconsumed_tail
+        rest, self.unpack, self.sound = self.unpack.unused_data, None, True
+        for stream in self.below[1:]:
+            stream.close()
+        self.below = self.below[:1]
+        return rest
+
+    def close(self) -> None:
+        while self.held:
+            data = self._decide()
+            while data and self.unpack:
+                data = self._unfold(data)
+            if data and self.text:
+                self.text.feed_bytes(data)
+            elif data:
+                self.held += data
+        for stream in self.below:  # if the data was cut off, what there was is scanned
+            stream.close()
+        if self.text:
+            self.text.close()
+
+
+class Text:
+    """Text that comes by pieces; the kinds of secrets in it and under it are added to `kinds`.
+
+    A text of one piece must be readable. Of a longer one pieces are scanned that share their ends, and what may go
+    on over several pieces has streams of its own: base64 runs, and the text under percent signs or escapes.
+    """
 
-def _unfolded(data: bytes) -> list[bytes]:
-    """What compressed data holds when no layer of it is compressed any more; empty if it is not compressed."""
-    work, seen, found = _unfold(data) or [], set(), []
-    while work:
-        part = work.pop()
-        mark = hashlib.blake2b(part, digest_size=16).digest()
-        if mark not in seen:
-            seen.add(mark)
-            below = _unfold(part)
-            found += [part] if below is None else []
-            work += below or []
-    return found
+    def __init__(self, kinds: set[str], above: frozenset[bytes]):
+        self.kinds, self.above = kinds, above
+        self.raw: bytearray | None = bytearray()  # until there is more than a piece
+        self.decoder = codecs.getincrementaldecoder("utf-8")()
+        self.rest = b""
+        self.fresh, self.tail = "", ""
+        self.under: dict[str, Text] = {}
+        self.runs: list[Base64Stream] = []
+
+    def feed_bytes(self, data: bytes) -> None:
+        if self.raw is not None:
+            self.raw += data
+            if len(self.raw) <= PIECE:
+                return
+            data, self.raw = bytes(self.raw), None
+        if self.decoder:
+            try:
+                self.feed(self.decoder.decode(data))
+                return
+            except UnicodeDecodeError:
+                data, self.decoder = self.decoder.getstate()[0] + data, None
+        self.feed(self._readable_parts(data))
+
+    def _readable_parts(self, data: bytes) -> str:
+        """Of bytes that are no UTF-8, what is readable; its end waits for the next bytes."""
+        data = self.rest + data
+        loose = len(data) - len(data.rstrip(READABLE))
+        at = len(data) - (loose if loose < 16 else 8)
+        self.rest = data[at:]
+        parts, end = [], 0
+        for m in STRETCH.finditer(data[:at]):
+            parts += ["\0"] * (m.start() > end) + [m[0].decode()]
+            end = m.end()
+        return "".join(parts) + "\0" * (end < at)
+
+    def feed(self, text: str) -> None:
+        self.raw = None
+        self.fresh += text
+        at = 0
+        while len(self.fresh) - at >= PIECE:
+            piece = self.fresh[at : at + PIECE]
+            open_end = max(piece.rfind("%", PIECE - 12), piece.rfind("\\", PIECE - 12))  # not within %41
+            piece = piece[: open_end if open_end > 0 else PIECE]
+            at += len(piece)
+            self._scan(piece, False)
+        self.fresh = self.fresh[at:]
+
+    def close(self) -> None:
+        if self.raw is not None:
+            text = _readable(bytes(self.raw))
+            self._find(text or "")
+        else:
+            self._scan(self.fresh + self.rest.decode(), True)
+            for text in self.under.values():
+                text.close()
+        self.raw, self.fresh = bytearray(), ""
+
+    def _find(self, text: str) -> None:
+        if text and (mark := _mark(text.encode("utf-8", "replace"))) not in self.above:
+            self.kinds.update(kind for _, _, kind in find(text, self.above | {mark})[1])
+
+    def _scan(self, piece: str, last: bool) -> None:
+        if self.runs:
+            end = RUN.match(piece).end()
+            for run in self.runs:
+                run.feed(piece[:end])
+            if end < len(piece) or last:
+                self._end_runs()
+        window = re.sub("\x20{2,}", "\x20", self.tail + piece)  # any number of blanks is as good as one
+        self._find(window)
+        for mark, parts in (("%", _percent), ("\\", _escaped)):
+            found = [p for p in parts(piece) if p[2] is not None] if mark in piece else []
+            if found and mark not in self.under and not last:
+                self.under[mark] = Text(self.kinds, self.above)
+                self.under[mark].feed(self.tail)
+            if mark in self.under:
+                self.under[mark].feed(_replaced((piece, None), found)[0])
+        if not last and not self.runs:
+            start = len(window) - RUN_BACK.match(window[::-1]).end()
+            if len(window) - start >= LEAST_RUN:
+                letters = re.sub("[ \t\r\n]", "", window[start:])
+                heads = {*range(4), *(m.start() for m in PACKED.finditer(letters))}
+                self.runs = [Base64Stream(self.kinds, self.above, letters[k:], k > 3) for k in sorted(heads) if k < len(letters)]
+        self.tail = window[-SHARED:]
+
+    def _end_runs(self) -> None:
+        for run in self.runs:
+            run.close()
+        self.runs = []
+
+
+class Base64Stream:
+    """A base64 run that comes by pieces. `packed`: it matters only if it is compressed data."""
+
+    def __init__(self, kinds: set[str], above: frozenset[bytes], letters: str, packed: bool):
+        self.stream: Stream | None = Stream(kinds, above)
+        if packed and not _opens(_bytes(letters[:1024])):
+            self.stream = None
+        self.held = ""
+        self.feed(letters)
+
+    def feed(self, text: str) -> None:
+        if self.stream:
+            letters = self.held + re.sub("[ \t\r\n]", "", text)
+            whole = len(letters) // 4 * 4
+            self.held = letters[whole:]
+            self.stream.feed(_bytes(letters[:whole]))
+
+    def close(self) -> None:
+        if self.stream:
+            self.stream.feed(_bytes(self.held))
+            self.stream.close()
+
+
+def _packed(data: bytes) -> bool:
+    """Whether data begins as gzip or zlib data does."""
+    head = data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0
+    return head and _opens(data[:1024])
+
+
+def _opens(data: bytes) -> bool:
+    try:
+        zlib.decompressobj(47).decompress(data, PIECE)
+    except zlib.error:
+        return False
+    return True
 
 
 def _percent(text: str) -> Iterator[tuple[int, int, str | None]]:
@@ -151,19 +351,22 @@ def _replaced(layer: Layer, parts: list[tuple[int, int, str]]) -> Layer:
     return "".join(out), places
 
 
-def decoded(layer: Layer) -> Iterator[Layer]:
-    """The layers one decoding below: percent and escapes within the text, each base64 run by itself."""
+def decoded(layer: Layer, far: list[Span], above: frozenset[bytes]) -> Iterator[Layer]:
+    """The layers one decoding below: percent and escapes within the text, each base64 run by itself.
+
+    Secrets under compression are added to `far`.
+    """
     text, _ = layer
     for mark, parts in (("%", _percent), ("\\", _escaped)):
         if mark in text and (found := [p for p in parts(text) if p[2] is not None]):
             yield _replaced(layer, found)
     for m in BASE64.finditer(text):
-        yield from _base64(layer, m[0].rstrip("="), range(*m.span()), m.end())
+        yield from _base64(layer, m[0].rstrip("="), range(*m.span()), m.end(), far, above)
     if "\n" in text:
         for m in WRAPPED.finditer(text):
             at = [k for k in range(*m.span()) if text[k] not in " \t\r\n="]
             if len(at) >= LEAST_RUN:
-                yield from _base64(layer, "".join(text[k] for k in at), at, m.end())
+                yield from _base64(layer, "".join(text[k] for k in at), at, m.end(), far, above)
 
 
 def _bytes(run: str) -> bytes:
@@ -172,7 +375,7 @@ def _bytes(run: str) -> bytes:
     return base64.b64decode(run[:whole].replace("-", "+").replace("_", "/") + "=" * (-whole % 4), validate=True)
 
 
-def _base64(layer: Layer, run: str, at: Sequence[int], end: int) -> Iterator[Layer]:
+def _base64(layer: Layer, run: str, at: Sequence[int], end: int, far: list[Span], above: frozenset[bytes]) -> Iterator[Layer]:
     """The layers under a run whose letters are at these places of the layer; `end` is after its padding.
 
     A run that does not decode as a whole may have a payload behind a path or a prefix, or before
@@ -187,18 +390,24 @@ def _base64(layer: Layer, run: str, at: Sequence[int], end: int) -> Iterator[Lay
             places.append(_origin(layer, at[start + k * 4 // 3], end if last > len(run) else at[last - 1] + 1))
         return places
 
+    def unfold(data: bytes, start: int) -> bool:
+        kinds: set[str] = set()
+        stream = Stream(kinds, above)
+        stream.feed(data)
+        stream.close()
+        far.extend((*_origin(layer, at[start], end), kind) for kind in kinds)
+        return stream.sound
+
     data = _bytes(run)
-    unfolded = _unfolded(data)
-    whole = [below for part in unfolded or [data] if (below := _readable(part)) is not None]
-    for below in whole:
-        exact = not unfolded and len(below) == len(data)
-        yield below, spread(0, len(below)) if exact else [_origin(layer, at[0], end)] * len(below)
-    if whole:
+    if _packed(data) and unfold(data, 0):
+        return
+    below = _readable(data)
+    if below is not None:
+        yield below, spread(0, len(below)) if len(below) == len(data) else [_origin(layer, at[0], end)] * len(below)
         return
     for m in PACKED.finditer(run, 1):
-        for part in _unfolded(_bytes(run[m.start() :])):
-            if (below := _readable(part)) is not None:
-                yield below, [_origin(layer, at[m.start()], end)] * len(below)
+        if _packed(_bytes(run[m.start() : m.start() + 1024])):
+            unfold(_bytes(run[m.start() :]), m.start())
     for offset in range(4):
         for m in STRETCH.finditer(_bytes(run[offset:])):
             below, start = m[0].decode(), m.start()
@@ -209,7 +418,7 @@ def _base64(layer: Layer, run: str, at: Sequence[int], end: int) -> Iterator[Lay
                 yield below, [_origin(layer, at[head], at[min(len(run), head + -(-(skip + len(m[0])) * 4 // 3)) - 1] + 1)] * len(below)
 
 
-def layers(text: str) -> Iterator[Layer]:
+def layers(text: str, far: list[Span], above: frozenset[bytes] = frozenset()) -> Iterator[Layer]:
     """The text and all layers below it. A layer's text at the same place is opened once, so cycles end."""
     work: list[Layer] = [(text, None)]
     seen = set()
@@ -217,30 +426,31 @@ def layers(text: str) -> Iterator[Layer]:
         layer = work.pop()
         own, places = layer
         if places is not None:
-            mark = (hashlib.blake2b(own.encode("utf-8", "replace"), digest_size=16).digest(), places[0], places[-1])
+            mark = (_mark(own.encode("utf-8", "replace")), places[0], places[-1])
             if mark in seen:
                 continue
             seen.add(mark)
         yield layer
-        work += decoded(layer)
+        work += decoded(layer, far, above)
 
 
 def _sorted(spans) -> list[Span]:
     return sorted(set(spans), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def find(text: str | None) -> tuple[list[Span], list[Span]]:
+def find(text: str | None, above: frozenset[bytes] = frozenset()) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of a text, in code points of it, end exclusive, by start and kind."""
+    far: list[Span] = []
     base: list[Span] = []
     every: list[Span] = []
-    for layer in layers(text or ""):
+    for layer in layers(text or "", far, above):
         found = scan(layer[0])
         if layer[1] is None:
             base = found
             every += found
         else:
             every += [(*_origin(layer, start, end), kind) for start, end, kind in found]
-    return _sorted(base), _sorted(every)
+    return _sorted(base), _sorted(every + far)
 
 
 def joined(spans: list[Span]) -> str:

@@ -23,6 +23,8 @@ BITS, WINDOW, ALPHA = 16, 24, 0.1
 SAMPLE = 1500
 #: Steps of expectation-maximisation; factor of the penalty for one more language (BIC: 1).
 STEPS, PENALTY = 12, 2.0
+#: How far from the level of strange text to that of its own a language asks text to be.
+OWN = 0.4
 UNKNOWN = "und"
 
 _LETTER: list[np.ndarray] = []
@@ -63,6 +65,17 @@ def mixture(likelihood: np.ndarray, chosen: list[int]) -> tuple[np.ndarray, floa
     return share, float(np.log(ratio @ share).sum() + top.sum())
 
 
+def fitting(text: str | None, model: LanguageModel) -> float:
+    """The share of a text in windows that are as likely as text of a learned language, all languages together."""
+    grams = trigrams(text) if text and model.languages else np.empty(0, np.uint16)
+    if not len(grams):
+        return 0.0
+    starts = np.arange(0, len(grams), WINDOW)
+    sizes = np.diff(np.append(starts, len(grams)))
+    windows = np.add.reduceat(model.table[grams], starts, axis=0) / sizes[:, None]
+    return float(sizes[(windows >= model.least).any(1)].sum() / len(grams))
+
+
 def infer(text: str | None, table: np.ndarray) -> tuple[int, float, list[tuple[int, float]]]:
     """(language or -1, score, proportions) of a text under table[trigram, language].
 
@@ -95,10 +108,26 @@ def infer(text: str | None, table: np.ndarray) -> tuple[int, float, list[tuple[i
 
 
 class LanguageModel:
-    """Names of languages and the log-likelihood of each hashed trigram under each of them."""
+    """Names of languages, the log-likelihood of each hashed trigram under each of them, and the least
+    log-likelihood a trigram of text that fits each of them."""
+
+    def __init__(self, languages: list[str], table: np.ndarray, least: np.ndarray):
+        self.languages, self.table, self.least = languages, table, least
 
-    def __init__(self, languages: list[str], table: np.ndarray):
-        self.languages, self.table = languages, table
+
+def levels(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each language the log-likelihood a trigram that lies OWN of the way from strange texts to its own.
+
+    Its own: the labelled texts, each trigram judged without itself. Strange: the nearest other
+    language's texts under its table, or, if that is likelier, any trigram by chance.
+    """
+    total = np.maximum(counts.sum(0), 1)
+    without = np.log((np.maximum(counts - 1, 0) + ALPHA) / (total - 1 + ALPHA * len(counts)))
+    own = (counts * without).sum(0) / total
+    others = counts.T @ table / total[:, None]  # [texts of, under the table of]
+    np.fill_diagonal(others, -math.log(len(counts)))
+    strange = np.maximum(others.max(0), -math.log(len(counts)))
+    return strange + OWN * (own - strange)
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
@@ -124,8 +153,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     if languages:
         columns = np.array([place[name] for name in sums.column("lang").to_pylist()])
         table[sums.column("gram").to_numpy(), columns] = sums.column("n").to_numpy()
-        table = np.log((table + ALPHA) / (table.sum(0) + ALPHA * len(table)))
-    return LanguageModel(languages, table.astype(np.float32))
+        counts, table = table, np.log((table + ALPHA) / (table.sum(0) + ALPHA * len(table)))
+    least = levels(counts, table) if languages else np.empty(0)
+    return LanguageModel(languages, table.astype(np.float32), least.astype(np.float32))
 
 
 def _counted(texts: list[str | None]) -> list[pa.Array]:
@@ -135,15 +165,17 @@ def _counted(texts: list[str | None]) -> list[pa.Array]:
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """docs(text, *keep) -> keep, lang_pred, score, languages map<string, double>; one row per row.
+    """docs(text, *keep) -> keep, lang_pred, score, languages map<string, double>, fit; one row per row.
 
-    Null text, or none with a letter: `und`, score 0 and no languages; so it is for every text if
+    fit: the share of the text that is as likely as text of the learned languages, see fitting().
+    Null text, or none with a letter: `und`, score 0, no languages and fit 0; so it is for every text if
     the model has none. The model is broadcast: 4 * 2**BITS bytes a language.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.least))
 
     def work():
-        languages, table = shared.value
+        model = LanguageModel(*shared.value)
+        languages, table = model.languages, model.table
 
         def do(texts: list[str | None]) -> list[pa.Array]:
             found = [infer(t, table) for t in texts]
@@ -154,11 +186,12 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
                     [[(languages[k], share) for k, share in shares] for _, _, shares in found],
                     pa.map_(pa.string(), pa.float64()),
                 ),
+                pa.array([fitting(t, model) for t in texts], pa.float64()),
             ]
 
         return do
 
-    return map_texts(docs, keep, "text", work, "lang_pred string, score double, languages map<string,double>")
+    return map_texts(docs, keep, "text", work, "lang_pred string, score double, languages map<string,double>, fit double")
 
 
 def fold(modulus: int):

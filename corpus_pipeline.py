@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpus_engine.llm import byte_bpe, language_mixture, mix_sources, secret_layers, simhash_tiles
 from corpus_engine.shared import materialize
 
-#: A document goes if no language holds at least this share of it (times the certainty).
+#: A document goes if less than this share of it fits the learned languages, all of them together.
 LEAST_SHARE = 0.25
 
 
@@ -40,8 +40,9 @@ def with_rows(docs: DataFrame, name: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents without a letter, or without a language that holds a fair share, go.
+    """Operator 7: documents without a letter, or of which too little fits the learned languages, go.
 
+    So text of other languages, code and gibberish go; documents of several learned languages stay.
     Null texts have no letter, so they go. If nothing is labelled, no language can be known: then
     every document with a letter stays.
     """
@@ -50,7 +51,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     predicted = language_mixture.predict(docs, model, docs.columns)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    return named(predicted.toDF(*names, "lang_pred", "score", "languages").where(F.col("score") >= LEAST_SHARE), docs)
+    return named(predicted.toDF(*names, "lang_pred", "score", "languages", "fit").where(F.col("fit") >= LEAST_SHARE), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,28 @@ def test_stages_against_brute_force(spark, small):
         assert list(r.ids) == ids and r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(array.array("I", ids).tobytes()).hexdigest()
 
 
+def test_text_of_no_learned_language_goes(spark, small):
+    import random
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null")
+    texts = {r.lang: r.text for r in docs.where("lang in ('en', 'de', 'es') and n_chars > 600").collect()}
+    draw = random.Random(1)
+    odd = {
+        -1: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(600)),
+        -2: "for (int i = 0; i < n; i++) { buf[i] = ptr->next; if (!ctx) return NULL; memcpy(dst, src, sizeof(xs)); } " * 5,
+        -3: "Wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci i swych praw. Sa oni obdarzeni rozumem i sumieniem. " * 3,
+        -4: texts["en"][:600] + " " + texts["de"][:600] + " " + texts["es"][:600], -5: texts["en"][:600],
+    }
+    added = spark.createDataFrame([(k, t, None, "a", len(t)) for k, t in odd.items()], SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(added), small).collect()}
+    assert kept & set(odd) == {-4, -5} and docs.where("text is not null").count() == len(kept) - 2
+    unlearned = docs.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    found = {r.doc_id: r.lang for r in docs.collect()}
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, unlearned, small).collect()}
+    assert sum(found[k] == "de" for k in kept) <= 0.1 * sum(x == "de" for x in found.values())
+    assert sum(found[k] != "de" for k in kept) >= 0.95 * sum(x != "de" for x in found.values())
+
+
 def test_odd_documents(spark, small):
     rows = [
         (1, "the cat sat on the mat with the dog", "en", "a", 35), (1, "the cat sat on the mat with the dog", "en", "a", 35), (None, "the cat sat on the mat", None, None, None),

@@ -6,7 +6,7 @@ are compatible, that is, merging their bytes alone gives the two again; that is
 the longest matches are tried first, and where neighbours do not go together the search goes
 back to shorter ones; a position once given up is not tried again, so the time is linear.
 
-Words recur: the ids of a piece of text between single spaces are kept in a bounded table.
+Words recur: each different word of a batch of texts is encoded once, see word_table.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_engine.llm import word_table
 from corpus_engine.llm.batches import map_texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Entries of a worker's tables of words and of neighbour pairs.
-WORDS, PAIRS = 300_000, 500_000
+#: Entries of a worker's table of neighbour pairs.
+PAIRS = 500_000
 
 
 def last_merge(data: bytes, ranks: dict[bytes, int]) -> tuple[list[int], tuple[bytes, bytes] | None]:
@@ -71,41 +72,17 @@ def load_vocabulary(path: str) -> tuple[dict[bytes, int], dict[int, tuple[int, i
     return ranks, made
 
 
-class Words(dict):
-    """A bounded table of words' ids, filled as words come up.
-
-    A full table is put aside, and words found there come back; the one put aside before goes.
-    """
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.aside = encode, {}
-
-    def __missing__(self, word: str) -> bytes | None:
-        if len(self) >= WORDS:
-            self.aside = dict(self)
-            self.clear()
-        ids = self.aside.get(word, 0)
-        if ids == 0:
-            ids = self.encode(word)
-        self[word] = ids
-        return ids
-
-
 class ByteBpe:
     """Encodes and decodes texts; one per Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], made: dict[int, tuple[int, int]], pattern: str):
         import ahocorasick
-        import regex
 
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.tokens[i] = token
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
-        self.findall = regex.compile(pattern).findall
-        self.edge = regex.compile(r"\s").match
         self.automaton = ahocorasick.Automaton()
         self.parts = made
         self.made = {self.tokens[i].decode("latin-1"): i for i in made}
@@ -114,7 +91,7 @@ class ByteBpe:
         self.automaton.make_automaton()
         self.growths: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.words = Words(self._word)
+        self.words = word_table.WordEncoder(pattern, self._piece, "<u4")
 
     def _growth(self, token: int, side: int) -> list[int]:
         """The tokens at one end of a token (0 first, 1 last) while it is being merged, in time."""
@@ -218,39 +195,18 @@ class ByteBpe:
                 size -= 1
         return ids
 
-    def _ids(self, text: str) -> bytes:
+    def _piece(self, piece: str) -> bytes:
         packed = self.packed
-        return b"".join([packed[i] for piece in self.findall(text) for i in self.encode_piece(piece)])
+        return b"".join([packed[i] for i in self.encode_piece(piece)])
 
-    def _word(self, word: str) -> bytes | None:
-        """Ids of a word with the space before it; None if white space is at its ends."""
-        if not word or self.edge(word[0]) or self.edge(word[-1]):
-            return None
-        return self._ids(" " + word)
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        ids, begins = self.words.batch(texts)
+        at = begins.tolist()
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
-
-        A space between two characters that are not white space always begins a match of the
-        pattern, so the words between such spaces are encoded apart.
-        """
-        first, *rest = text.split(" ")
-        if not rest or not first or self.edge(first[-1]):
-            return self._ids(text) if not rest else self._mixed(first, rest)
-        ids = [self.words[word] for word in rest]
-        return self._mixed(first, rest) if None in ids else b"".join([self._ids(first), *ids])
-
-    def _mixed(self, first: str, rest: list[str]) -> bytes:
-        """As encode, where white space stands beside some spaces: no cut is made at those."""
-        parts: list[list[str]] = [[first]]
-        black = bool(first) and not self.edge(first[-1])
-        for word in rest:
-            if black and word and not self.edge(word[0]):
-                parts.append(["", word])
-            else:
-                parts[-1].append(word)
-            black = bool(word) and not self.edge(word[-1])
-        return b"".join([self._ids(" ".join(part)) for part in parts])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
@@ -289,7 +245,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...]
         bpe, sha256 = get(), hashlib.sha256
 
         def do(texts: list[str | None]) -> list[pa.Array]:
-            encoded = [bpe.encode(t or "") for t in texts]
+            encoded = bpe.encode_all([t or "" for t in texts])
             made = [
                 pa.array([len(e) // 4 for e in encoded], pa.int64()),
                 pa.array([sha256(e).hexdigest() for e in encoded], pa.string()),
@@ -308,6 +264,11 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...]
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded; one row per row, repeated rows and null doc_ids kept.
+
+    Null and empty texts: 0 tokens, hashes of no bytes. Texts of any length are encoded whole, in
+    batches by their length. Other columns are not read. No documents: no rows.
+    """
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

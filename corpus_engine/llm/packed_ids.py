@@ -3,14 +3,15 @@
 A file holds the ids of a range of documents in ascending doc_id order, each id in the fewest
 bits that hold every id of the vocabulary. Its layout, integers little-endian:
 
-    header    8 bytes magic, uint32 version, uint32 bits, uint64 vocabulary, uint64 n_ids,
-              uint64 n_docs, uint32 ids in a block, uint32 n_blocks
+    header    8 bytes magic, uint32 version, uint32 bits, uint64 vocabulary, uint32 ids in a block
+    ids       the blocks; id k of a block has bits k * bits and on, lowest first
     blocks    n_blocks uint64: the offset of each block in the file
     starts    n_docs + 1 uint64: the first id of each document in the file, and n_ids
     doc_ids   n_docs int64, then n_docs bytes: 1 where the doc_id is null
-    ids       the blocks; id k of a block has bits k * bits and on, lowest first
+    footer    uint64 offset of `blocks`, uint64 n_ids, uint64 n_docs, uint64 n_blocks, 8 bytes magic
 
-so any run of ids is read by the offsets of its blocks and unpacked by numpy at once.
+so a file is written as its ids come, one block held at a time, and any run of ids is read by the
+offsets of its blocks and unpacked by numpy at once.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +30,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_engine.shared import new_path, partitions, ship
+from corpus_engine.llm import word_table
+from corpus_engine.llm.batches import parts
+from corpus_engine.shared import materialize, new_path, partitions, ship
 
 VOCABULARY = "byte_bpe_50k.json"
-MAGIC, VERSION = b"BITPACK1", 1
-HEADER = struct.Struct("<8sIIQQQII")
+MAGIC, VERSION = b"BITPACK2", 2
+HEADER, FOOTER = struct.Struct("<8sIIQI"), struct.Struct("<QQQQ8s")
 #: Ids of a block: a multiple of 8, so that blocks end on whole bytes.
 BLOCK = 65_536
 END = 0
-#: Entries of a worker's table of words.
-WORDS = 450_000
+#: Ids that a reader holds at once.
+READ = 1 << 20
 
 
 def width(vocabulary: int) -> int:
@@ -64,18 +69,45 @@ def unpack(data: bytes, bits: int, n: int, first: int = 0) -> np.ndarray:
     return ((out >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype("<u4")
 
 
-def file_bytes(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray, vocabulary: int) -> Iterator[bytes]:
-    """The parts of a file in order."""
-    bits = width(vocabulary)
-    n_blocks = -(-len(ids) // BLOCK)
-    start = HEADER.size + 8 * n_blocks + 8 * (len(sizes) + 1) + 9 * len(sizes)
-    yield HEADER.pack(MAGIC, VERSION, bits, vocabulary, len(ids), len(sizes), BLOCK, n_blocks)
-    yield (start + np.arange(n_blocks, dtype="<u8") * (BLOCK * bits // 8)).astype("<u8").tobytes()
-    yield np.concatenate([[0], np.cumsum(sizes)]).astype("<u8").tobytes()
-    yield np.array([d or 0 for d in doc_ids], "<i8").tobytes()
-    yield np.array([d is None for d in doc_ids], np.uint8).tobytes()
-    for at in range(0, len(ids), BLOCK):
-        yield pack(ids[at : at + BLOCK], bits)
+class PackedWriter:
+    """Writes a file document by document; holds one block of ids and 17 bytes a document."""
+
+    def __init__(self, sink, vocabulary: int):
+        self.sink, self.bits = sink, width(vocabulary)
+        self.held: list[np.ndarray] = []
+        self.n_held = self.n_ids = 0
+        self.at = HEADER.size
+        self.offsets, self.starts, self.doc_ids, self.null = array("Q"), array("Q"), array("q"), bytearray()
+        sink.write(HEADER.pack(MAGIC, VERSION, self.bits, vocabulary, BLOCK))
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.starts.append(self.n_ids)
+        self.doc_ids.append(doc_id or 0)
+        self.null.append(doc_id is None)
+        self.n_ids += len(ids)
+        self.held.append(ids)
+        self.n_held += len(ids)
+        if self.n_held >= BLOCK:
+            ids = np.concatenate(self.held)
+            whole = len(ids) // BLOCK * BLOCK
+            for at in range(0, whole, BLOCK):
+                self._block(ids[at : at + BLOCK])
+            self.held, self.n_held = [ids[whole:].copy()], len(ids) - whole
+
+    def _block(self, ids: np.ndarray) -> None:
+        data = pack(ids, self.bits)
+        self.offsets.append(self.at)
+        self.at += len(data)
+        self.sink.write(data)
+
+    def close(self) -> None:
+        if self.n_held:
+            self._block(np.concatenate(self.held))
+        self.starts.append(self.n_ids)
+        for part in (np.array(self.offsets, "<u8"), np.array(self.starts, "<u8"), np.array(self.doc_ids, "<i8")):
+            self.sink.write(part.tobytes())
+        self.sink.write(bytes(self.null))
+        self.sink.write(FOOTER.pack(self.at, self.n_ids, len(self.doc_ids), len(self.offsets), MAGIC))
 
 
 class PackedFile:
@@ -83,18 +115,17 @@ class PackedFile:
 
     def __init__(self, source: pa.NativeFile):
         self.source = source
-        head = HEADER.unpack(source.read_at(HEADER.size, 0))
-        magic, version, self.bits, self.vocabulary, self.n_ids, self.n_docs, self.block, n_blocks = head
-        if magic != MAGIC or version != VERSION:
+        magic, version, self.bits, self.vocabulary, self.block = HEADER.unpack(source.read_at(HEADER.size, 0))
+        at, self.n_ids, self.n_docs, n_blocks, last = FOOTER.unpack(source.read_at(FOOTER.size, source.size() - FOOTER.size))
+        if magic != MAGIC or version != VERSION or last != MAGIC:
             raise ValueError("not a file of packed ids")
-        at = HEADER.size
+        self.end = at
         self.offsets = np.frombuffer(source.read_at(8 * n_blocks, at), "<u8")
         at += 8 * n_blocks
         self.starts = np.frombuffer(source.read_at(8 * (self.n_docs + 1), at), "<u8").astype(np.int64)
         at += 8 * (self.n_docs + 1)
-        doc_ids = np.frombuffer(source.read_at(8 * self.n_docs, at), "<i8")
-        null = np.frombuffer(source.read_at(self.n_docs, at + 8 * self.n_docs), np.uint8)
-        self.doc_ids = [None if none else int(d) for d, none in zip(doc_ids, null)]
+        self.doc_ids = np.frombuffer(source.read_at(8 * self.n_docs, at), "<i8")
+        self.null = np.frombuffer(source.read_at(self.n_docs, at + 8 * self.n_docs), np.uint8).astype(bool)
 
     def ids(self, first: int, last: int) -> np.ndarray:
         """Ids first to last, the latter not included."""
@@ -102,30 +133,46 @@ class PackedFile:
             return np.empty(0, "<u4")
         low, high = first // self.block, (last - 1) // self.block
         begin = int(self.offsets[low])
-        end = min(begin + (high - low + 1) * self.block * self.bits // 8, self.source.size())
+        end = min(begin + (high - low + 1) * self.block * self.bits // 8, self.end)
         return unpack(self.source.read_at(end - begin, begin), self.bits, last - first, first - low * self.block)
 
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
+    def checksum(self, k: int) -> int:
+        """crc32 of a document's ids as unsigned 32-bit integers; long ones are read by pieces."""
+        crc, last = 0, int(self.starts[k + 1])
+        for at in range(int(self.starts[k]), last, READ):
+            crc = zlib.crc32(self.ids(at, min(at + READ, last)), crc)
+        return crc
+
+
+def located(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark gives it, so that driver and executors mean the same place."""
+    jvm, configuration = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    uri = found.getFileSystem(configuration).makeQualified(found).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
 
-def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(0x100 + hidden.index(b)) for b in range(256)]
 
 
-class WordEncoder:
-    """Encodes whole texts as the tokenizers library does, each recurring word once.
+class Encoder:
+    """Encodes texts as the tokenizers library does.
 
-    The tokenizer splits texts by its byte-level pattern, under which a space between characters
-    that are not white space always begins a piece. Words between such spaces are given to the
-    library's own model once and kept in a bounded table. Where that does not hold (white space
-    beside a space, a special token in the text) the library encodes the whole text.
+    Where the definition splits texts by its byte-level pattern and no more, each different piece
+    of a batch is given to the library's own model once; texts that hold a special token, and all
+    texts under other definitions, go to the library whole.
     """
 
     def __init__(self, definition: str):
         import json
 
-        import regex
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
@@ -135,115 +182,108 @@ class WordEncoder:
         plain = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
         self.by_word = plain and parts["normalizer"] is None and parts["post_processor"] is None and parts["truncation"] is None
         self.special = [t["content"] for t in parts["added_tokens"]]
+        vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.bytes = 2 if width(vocabulary) <= 16 else 4
+        self.packed = [i.to_bytes(self.bytes, "little") for i in range(vocabulary)]
         self.model = self.tokenizer.model
-        self.findall = regex.compile(PATTERN).findall
-        self.edge = regex.compile(r"\s").match
-        self.simple = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+").fullmatch
-        self.letters = _byte_letters()
-        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.words: dict[str, bytes | None] = {}
-        self.aside: dict[str, bytes | None] = {}
+        self.letters = dict(enumerate(_byte_letters()))
+        self.words = word_table.WordEncoder(PATTERN, self._piece, f"<u{self.bytes}")
 
     def _piece(self, piece: str) -> bytes:
-        letters, packed = self.letters, self.packed
-        spelled = "Ġ" + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalpha() else "".join([letters[b] for b in piece.encode()])
+        if piece.isascii() and piece.isprintable():
+            spelled = piece.replace(" ", self.letters[32])
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+        packed = self.packed
         return b"".join([packed[t.id] for t in self.model.tokenize(spelled)])
 
-    def _word(self, word: str) -> bytes | None:
-        known = self.aside.get(word, 0)
-        if known == 0:
-            if not word or self.edge(word[0]) or self.edge(word[-1]):
-                known = None
-            else:
-                spaced = " " + word
-                pieces = [spaced] if self.simple(word) else self.findall(spaced)
-                known = b"".join(map(self._piece, pieces))
-        if len(self.words) >= WORDS:
-            self.words, self.aside = {}, self.words
-        self.words[word] = known
-        return known
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers, without special tokens added."""
-        if not self.by_word or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = text.split(" ")
-        if not first or self.edge(first[-1]):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, out = self.words, []
-        for word in rest:
-            ids = words.get(word, 0)
-            if ids == 0:
-                ids = self._word(word)
-                words = self.words
-            if ids is None:
-                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            out.append(ids)
-        return b"".join([*map(self._piece, self.findall(first)), *out])
-
-
-def _byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies write for each byte: itself if printable, else from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return [chr(b) if b in shown else chr(0x100 + hidden.index(b)) for b in range(256)]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, without special tokens added."""
+        whole = [not self.by_word or any(s in t for s in self.special) for t in texts]
+        ids, begins = self.words.batch([t for t, odd in zip(texts, whole) if not odd])
+        cut = iter(zip(begins.tolist(), begins[1:].tolist()))
+        return [
+            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.words.dtype) if odd else ids[slice(*next(cut))]
+            for t, odd in zip(texts, whole)
+        ]
 
 
 class _Worker:
     """The encoder of this Python process."""
 
-    held: dict[int, WordEncoder] = {}
+    held: dict[int, Encoder] = {}
 
     @classmethod
-    def get(cls, definition: str) -> WordEncoder:
+    def get(cls, definition: str) -> Encoder:
         key = zlib.crc32(definition.encode())
         if key not in cls.held:
             cls.held.clear()
-            cls.held[key] = WordEncoder(definition)
+            cls.held[key] = Encoder(definition)
         return cls.held[key]
 
 
+def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """docs(doc_id, text) -> doc_id long, h, ids binary: the ids in whole bytes, END after them.
+
+    h is the hash of the text. Null text counts as empty. Needs no shuffle; texts are worked on in
+    batches of bounded size.
+    """
+    from tokenizers import Tokenizer
+
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(Tokenizer.from_file(tokenizer_path).to_str())  # fixed size
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _Worker.get(shared.value)
+        end = END.to_bytes(encoder.bytes, "little")
+        for batch in batches:
+            for start, texts in parts(batch.column(2)):
+                ids = [i.tobytes() + end for i in encoder.encode(texts)]
+                kept = [batch.column(i).slice(start, len(texts)) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.binary())], names=["doc_id", "h", "ids"])
+
+    return rows.mapInArrow(run, "doc_id bigint, h bigint, ids binary")
+
+
 def write_packed(docs: DataFrame, tokenizer_path: str, path: str) -> DataFrame:
     """Encode docs(doc_id, text), end each with id 0, write files under `path`; one row per file.
 
     Returns (file_no, file, n_docs, n_ids), files in ascending doc_id order, nulls first, rows of
-    one doc_id by the hash of their text. Null text counts as empty: the end id only. A task
-    writes its file under a name of its own and lists it in its result, so a task that runs again
-    after a lost executor leaves a file that nothing names.
+    one doc_id by the hash of their text. Null text counts as empty: the end id only. doc_id is
+    cast to a 64-bit integer. Texts are encoded where they lie; only the ids are written, dealt out
+    by ranges of doc_id and sorted. A task writes its file as ids come, under a name of its own,
+    and lists it in its result, so a task that runs again after a lost executor leaves a file that
+    nothing names.
     """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    ship(spark)
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    vocabulary = tokenizer.get_vocab_size(with_added_tokens=True)
-    shared = spark.sparkContext.broadcast(tokenizer.to_str())  # fixed size
+    vocabulary = Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)
+    carried = "<u2" if width(vocabulary) <= 16 else "<u4"
     order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    rows = materialize(encoded(docs, tokenizer_path), "packed-rows")
+    ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    uri = located(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Worker.get(shared.value)
-        bits = np.uint16 if width(vocabulary) <= 16 else np.uint32
-        end = np.array([END], bits)
-        doc_ids, sizes, ids = [], [], []
-        for batch in batches:
-            doc_ids += batch.column(0).to_pylist()
-            for value in batch.column(1):
-                own = np.frombuffer(encoder.encode(value.as_py()), "<u4").astype(bits)
-                sizes.append(len(own) + 1)
-                ids += [own, end]
-        if not doc_ids:
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
             return
         number = TaskContext.get().partitionId()
-        system, folder = file_system(path)
+        system, folder = pa.fs.FileSystem.from_uri(uri)
         system.create_dir(folder, recursive=True)
         name = f"ids-{number:05d}-{uuid.uuid4().hex}.bin"
         with system.open_output_stream(f"{folder}/{name}") as out:
-            for part in file_bytes(doc_ids, sizes, np.concatenate(ids), vocabulary):
-                out.write(part)
+            writer = PackedWriter(out, vocabulary)
+            for batch in chain([first], batches):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    writer.add(doc_id, np.frombuffer(ids.as_buffer(), carried))
+            writer.close()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int32()), pa.array([name]), pa.array([len(doc_ids)], pa.int64()), pa.array([sum(sizes)], pa.int64())],
+            [pa.array([number], pa.int32()), pa.array([name]), pa.array([len(writer.doc_ids)], pa.int64()), pa.array([writer.n_ids], pa.int64())],
             names=["file_no", "file", "n_docs", "n_ids"],
         )
 
@@ -253,27 +293,38 @@ def write_packed(docs: DataFrame, tokenizer_path: str, path: str) -> DataFrame:
 def read_packed(spark: SparkSession, files: list[tuple[str, int]], path: str) -> DataFrame:
     """files [(name, ids before it)] -> doc_id, start, n_tokens, ids_crc32, read from the files.
 
-    One row per document; `start` counts the ids of all documents before it.
+    One row per document; `start` counts the ids of all documents before it. About READ ids are
+    held at once, also of longer documents.
     """
     ship(spark)
     listed = spark.createDataFrame(files, "file string, base long").repartition(max(1, len(files)), "file")
+    uri = located(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = file_system(path)
+        system, folder = pa.fs.FileSystem.from_uri(uri)
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with system.open_input_file(f"{folder}/{name}") as source:
                     packed = PackedFile(source)
-                    for at in range(0, packed.n_docs, 2048):
-                        last = min(at + 2048, packed.n_docs)
+                    at = 0
+                    while at < packed.n_docs:
+                        last = int(np.searchsorted(packed.starts, packed.starts[at] + READ, "right")) - 1
+                        last = min(max(last, at + 1), at + 65_536, packed.n_docs)
                         starts = packed.starts[at : last + 1]
-                        ids = packed.ids(int(starts[0]), int(starts[-1]))
-                        cuts = (starts - starts[0]).tolist()
-                        crc = [zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+                        if last == at + 1:
+                            crc = [packed.checksum(at)]
+                        else:
+                            ids = packed.ids(int(starts[0]), int(starts[-1]))
+                            cuts = (starts - starts[0]).tolist()
+                            crc = [zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(packed.doc_ids[at:last], pa.int64()), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crc, pa.int64())],
+                            [
+                                pa.array(packed.doc_ids[at:last], pa.int64(), mask=packed.null[at:last]), pa.array(starts[:-1] + base),
+                                pa.array(np.diff(starts)), pa.array(crc, pa.int64()),
+                            ],
                             names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                        )
+                        )
+                        at = last
 
     return listed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
@@ -288,6 +339,12 @@ def packed_documents(docs: DataFrame, tokenizer_path: str, path: str | None = No
 
 
 def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, written as packed files and read back; one row per row.
+
+    Null and empty texts: the end id only. Null doc_ids come first and stay null; repeated rows and
+    rows that share a doc_id are kept one by one, by the hash of their text. Texts of any length
+    are encoded whole. Other columns are not read. No documents: no rows.
+    """
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

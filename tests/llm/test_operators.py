@@ -4,6 +4,7 @@ import array
 import base64
 import gzip
 import hashlib
+import io
 import itertools
 import re
 import sys
@@ -246,9 +247,10 @@ def test_language_mixture_finds_both(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     model = language_mixture.learned(docs)
     parts = {r.lang: r.text for r in docs.where("n_chars > 800").select("lang", "text").collect()}
-    language, score, shares = language_mixture.infer(parts["en"][:800] + " " + parts["de"][:400], model.table)
+    infer = lambda text: language_mixture.infer(language_mixture.windows_of(text, model.table)[0])
+    language, score, shares = infer(parts["en"][:800] + " " + parts["de"][:400])
     assert model.languages[language] == "en" and {model.languages[k] for k, _ in shares} == {"en", "de"} and 0.5 < score < 0.85
-    assert language_mixture.infer("123 !?", model.table) == (-1, 0.0, []) and language_mixture.infer(None, model.table)[0] == -1
+    assert infer("123 !?") == (-1, 0.0, []) and infer(None)[0] == -1
 
 
 def brute_fingerprint(text: str) -> int:
@@ -429,10 +431,11 @@ def test_word_encoder_is_the_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path(packed_ids.VOCABULARY))
-    own = packed_ids.WordEncoder(library.to_str())
-    for point in itertools.chain(range(1, 0x600), range(0x2000, 0x2100), range(0x3000, 0x3100)):
-        text = f"a b{chr(point)}c {chr(point)} d<|endoftext|> 's"
-        assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    own = packed_ids.Encoder(library.to_str())
+    points = list(map(chr, itertools.chain(range(1, 0x600), range(0x2000, 0x2100), range(0x3000, 0x3100))))
+    texts = [f"a b{c}c {c} d" for c in points] + [f"{c}b{c} x{c}{c}y z" for c in points] + ["", " ", "a", " a", "a  b", "a <|endoftext|> 's"]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("bits", [1, 5, 8, 11, 16, 17, 24, 31, 32])
@@ -441,7 +444,12 @@ def test_packing_round_trip_and_random_access(bits, tmp_path):
 
     ids = np.random.default_rng(bits).integers(0, 2**bits, 150_000, dtype=np.uint64).astype("<u4")
     sizes = [0, 70_000, 1, 79_999]
-    data = b"".join(packed_ids.file_bytes([3, None, 5, 9], sizes, ids, 2**bits))
-    file = packed_ids.PackedFile(pa.PythonFile(__import__("io").BytesIO(data), mode="r"))
-    assert file.bits == bits and file.doc_ids == [3, None, 5, 9]
+    data = io.BytesIO()
+    writer = packed_ids.PackedWriter(data, 2**bits)
+    for doc_id, end, size in zip([3, None, 5, 9], np.cumsum(sizes), sizes):
+        writer.add(doc_id, ids[end - size : end])
+    writer.close()
+    file = packed_ids.PackedFile(pa.PythonFile(io.BytesIO(data.getvalue()), mode="r"))
+    assert file.bits == bits and file.doc_ids.tolist() == [3, 0, 5, 9] and file.null.tolist() == [False, True, False, False]
+    assert [file.checksum(k) for k in range(4)] == [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(np.cumsum(sizes), sizes)]
     assert (file.document(1) == ids[:70_000]).all() and (file.ids(65_530, 131_080) == ids[65_530:131_080]).all() and len(file.document(0)) == 0

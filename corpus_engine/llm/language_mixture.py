@@ -9,6 +9,7 @@ a penalty. The prediction is the language of the largest proportion.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from corpus_engine.llm.batches import map_texts
 
 #: Bits of a hashed trigram, letters of a window, pseudo-count of a trigram.
 BITS, WINDOW, ALPHA = 16, 24, 0.1
+#: Code points of a text that are trigrams at once; what stands for other characters than letters.
+PIECE, BLANK = 1 << 20, 32
 #: Most documents a language is learned from: the smallest hashes of doc_id.
 SAMPLE = 1500
 #: Steps of expectation-maximisation; factor of the penalty for one more language (BIC: 1).
@@ -37,20 +40,51 @@ def letters() -> np.ndarray:
     return _LETTER[0]
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Hashed trigrams of a lower-cased text in which every run of other characters is one blank."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-    letter = letters()[points]
-    if not letter.any():
-        return np.empty(0, np.uint16)
-    points = np.where(letter, points, 32)
-    kept = np.ones(len(points), bool)
-    kept[1:] = letter[1:] | letter[:-1]
-    points = np.concatenate(([32], points[kept], [32])).astype(np.uint32)
-    mixed = points[:-2] * np.uint32(0x9E3779B1) + points[1:-1] * np.uint32(0x85EBCA77) + points[2:] * np.uint32(0xC2B2AE3D)
-    mixed ^= mixed >> np.uint32(15)
-    mixed *= np.uint32(0x2C1B3C6D)
-    return (mixed >> np.uint32(32 - BITS)).astype(np.uint16)
+def trigrams(text: str, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """Hashed trigrams of a lower-cased text, by pieces of the text.
+
+    Every run of other characters is one blank, and one stands at either end. Texts without a
+    letter give nothing.
+    """
+    low = text.lower()
+    held, after_letter = np.array([BLANK], np.uint32), False
+    for at in range(0, len(low), piece):
+        points = np.frombuffer(low[at : at + piece].encode("utf-32-le", "replace"), "<u4")
+        letter = letters()[points]
+        kept = letter.copy()
+        kept[1:] |= letter[:-1]
+        kept[0] |= after_letter
+        after_letter = bool(letter[-1])
+        held = np.concatenate((held, np.where(letter, points, BLANK)[kept].astype(np.uint32)))
+        if at + piece >= len(low) and len(held) > 1 and after_letter:
+            held = np.append(held, np.uint32(BLANK))
+        if len(held) > 2:
+            mixed = held[:-2] * np.uint32(0x9E3779B1) + held[1:-1] * np.uint32(0x85EBCA77) + held[2:] * np.uint32(0xC2B2AE3D)
+            mixed ^= mixed >> np.uint32(15)
+            mixed *= np.uint32(0x2C1B3C6D)
+            yield (mixed >> np.uint32(32 - BITS)).astype(np.uint16)
+            held = held[-2:]
+
+
+def windows_of(text: str | None, table: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihoods of the text's windows under each language, trigrams in each window).
+
+    Only one piece of the text is held as trigrams at once; windows run on over pieces.
+    """
+    if not text or not table.shape[1]:
+        return np.empty((0, table.shape[1])), np.empty(0, np.int64)
+    sums, rest = [], np.empty(0, np.uint16)
+    for grams in trigrams(text, piece):
+        grams = np.concatenate((rest, grams)) if len(rest) else grams
+        whole = len(grams) // WINDOW * WINDOW
+        if whole:
+            sums.append(np.add.reduceat(table[grams[:whole]], np.arange(0, whole, WINDOW), axis=0).astype(np.float64))
+        rest = grams[whole:]
+    sizes = np.full(sum(map(len, sums)) + bool(len(rest)), WINDOW)
+    if len(rest):
+        sums.append(table[rest].sum(0, keepdims=True).astype(np.float64))
+        sizes[-1] = len(rest)
+    return (np.concatenate(sums) if sums else np.empty((0, table.shape[1]))), sizes
 
 
 def mixture(likelihood: np.ndarray, chosen: list[int]) -> tuple[np.ndarray, float]:
@@ -65,34 +99,31 @@ def mixture(likelihood: np.ndarray, chosen: list[int]) -> tuple[np.ndarray, floa
     return share, float(np.log(ratio @ share).sum() + top.sum())
 
 
-def fitting(text: str | None, model: LanguageModel) -> float:
+def fitting(windows: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> float:
     """The share of a text in windows that are as likely as text of a learned language, all languages together."""
-    grams = trigrams(text) if text and model.languages else np.empty(0, np.uint16)
-    if not len(grams):
+    if not len(sizes):
         return 0.0
-    starts = np.arange(0, len(grams), WINDOW)
-    sizes = np.diff(np.append(starts, len(grams)))
-    windows = np.add.reduceat(model.table[grams], starts, axis=0) / sizes[:, None]
-    return float(sizes[(windows >= model.least).any(1)].sum() / len(grams))
+    return float(sizes[(windows / sizes[:, None] >= least).any(1)].sum() / sizes.sum())
 
 
-def infer(text: str | None, table: np.ndarray) -> tuple[int, float, list[tuple[int, float]]]:
-    """(language or -1, score, proportions) of a text under table[trigram, language].
+def infer(windows: np.ndarray) -> tuple[int, float, list[tuple[int, float]]]:
+    """(language or -1, score, proportions) of a text, from its windows' log-likelihoods.
 
-    Score: the language's proportion times its chance to be the right one of the single
-    languages, so short or strange texts score low. Ties go to the first language.
+    Languages join the set one by one, the one that adds most likelihood first, while it adds more
+    than the penalty. A language is tried only if it can: no mixture is likelier in a window than
+    its likeliest language, so one whose windows do not raise that sum by the penalty cannot. Score:
+    the language's proportion times its chance to be the right one of the single languages, so
+    short or strange texts score low. Ties go to the first language.
     """
-    grams = trigrams(text) if text and table.shape[1] else np.empty(0, np.uint16)
-    if not len(grams):
+    if not len(windows):
         return -1, 0.0, []
-    windows = np.add.reduceat(table[grams], np.arange(0, len(grams), WINDOW), axis=0).astype(np.float64)
     total = windows.sum(0)
     chosen = [int(total.argmax())]
     share, best = np.ones(1), float(total.max())
     penalty = PENALTY * (math.log(len(windows)) + 1)
-    while len(chosen) < table.shape[1]:
+    while len(chosen) < windows.shape[1]:
         held = windows[:, chosen].max(1)
-        rivals = [k for k in range(table.shape[1]) if k not in chosen and (windows[:, k] - held).clip(0).sum() > penalty]
+        rivals = [k for k in range(windows.shape[1]) if k not in chosen and float(np.maximum(windows[:, k], held).sum()) - best > penalty]
         found = [(mixture(windows, [*chosen, k]), k) for k in rivals]
         if not found:
             break
@@ -130,18 +161,28 @@ def levels(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
     return strange + OWN * (own - strange)
 
 
+def sampled(labelled: DataFrame, sample: int) -> DataFrame:
+    """labelled(doc_id, lang) -> _id, _lang: the `sample` ids of each language with the smallest hashes.
+
+    Ids far above the cut, by twice the share that is wanted, are left out before they are told
+    apart and ordered, so no task orders more than about twice the sample of a language.
+    """
+    ids = labelled.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.xxhash64("doc_id").alias("_h"))
+    sizes = ids.groupBy("_lang").agg(F.approx_count_distinct("_id", 0.02).alias("_n")).withColumnRenamed("_lang", "_of")
+    cut = F.when(F.col("_n") > 4 * sample, F.lit(2.0**64) * (2 * sample / F.col("_n")) - 2.0**63).otherwise(F.lit(2.0**63))
+    near = ids.join(sizes, F.col("_lang") == F.col("_of")).where(F.col("_h") <= cut).select("_lang", "_h", "_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id"))
+    return near.withColumn("_r", rank).where(F.col("_r") <= sample).select("_id", "_lang")
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Learn from labelled(doc_id, text, lang) without null lang; any of its rows may be used.
 
     The sample is bounded by `sample` documents a language. Counts are summed on the executors;
     the driver gets at most 2**BITS rows a language. No rows: a model without languages.
     """
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (
-        labelled.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).distinct()
-        .withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= sample)
-        .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    )
+    picked = sampled(labelled, sample)
     texts = labelled.join(F.broadcast(picked), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
 
     counted = map_texts(texts, ["lang"], "text", lambda: _counted, "grams array<int>, counts array<int>")
@@ -159,9 +200,15 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
 
 
 def _counted(texts: list[str | None]) -> list[pa.Array]:
-    found = [np.unique(trigrams(t or ""), return_counts=True) for t in texts]
+    found = []
+    for text in texts:
+        counts = np.zeros(1 << BITS, np.int64)
+        for grams in trigrams(text or ""):
+            counts += np.bincount(grams, minlength=1 << BITS)
+        seen = np.flatnonzero(counts)
+        found.append((seen.astype(np.int32), counts[seen].astype(np.int32)))
     kind = pa.list_(pa.int32())
-    return [pa.array([g.astype(np.int32) for g, _ in found], kind), pa.array([n.astype(np.int32) for _, n in found], kind)]
+    return [pa.array([g for g, _ in found], kind), pa.array([n for _, n in found], kind)]
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
@@ -178,7 +225,11 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
         languages, table = model.languages, model.table
 
         def do(texts: list[str | None]) -> list[pa.Array]:
-            found = [infer(t, table) for t in texts]
+            found, fits = [], []
+            for text in texts:
+                windows, sizes = windows_of(text, table)
+                found.append(infer(windows))
+                fits.append(fitting(windows, sizes, model.least))
             return [
                 pa.array([languages[k] if k >= 0 else UNKNOWN for k, _, _ in found], pa.string()),
                 pa.array([score for _, score, _ in found], pa.float64()),
@@ -186,7 +237,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
                     [[(languages[k], share) for k, share in shares] for _, _, shares in found],
                     pa.map_(pa.string(), pa.float64()),
                 ),
-                pa.array([fitting(t, model) for t in texts], pa.float64()),
+                pa.array(fits, pa.float64()),
             ]
 
         return do
@@ -204,6 +255,12 @@ def learned(docs: DataFrame) -> LanguageModel:
 
 
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; one row per row, repeated rows and ids kept, other columns not read.
+
+    Null, empty and letterless texts: `und`, score 0. A null doc_id is not held out and teaches
+    nothing. Texts of any length are read whole, by pieces. Ties go to the first language by
+    name. No labelled documents: `und` for all. No documents: no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learned(docs)
     return predict(docs, model, ["doc_id"]).select(

@@ -170,8 +170,9 @@ def sampled(labelled: DataFrame, sample: int) -> DataFrame:
     ids = labelled.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.xxhash64("doc_id").alias("_h"))
     sizes = ids.groupBy("_lang").agg(F.approx_count_distinct("_id", 0.02).alias("_n")).withColumnRenamed("_lang", "_of")
+    # sizes: a row a language, of which the model holds 2**BITS numbers
     cut = F.when(F.col("_n") > 4 * sample, F.lit(2.0**64) * (2 * sample / F.col("_n")) - 2.0**63).otherwise(F.lit(2.0**63))
-    near = ids.join(sizes, F.col("_lang") == F.col("_of")).where(F.col("_h") <= cut).select("_lang", "_h", "_id").distinct()
+    near = ids.join(F.broadcast(sizes), F.col("_lang") == F.col("_of")).where(F.col("_h") <= cut).select("_lang", "_h", "_id").distinct()
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id"))
     return near.withColumn("_r", rank).where(F.col("_r") <= sample).select("_id", "_lang")
 

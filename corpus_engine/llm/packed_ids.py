@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpus_engine.llm import word_table
 from corpus_engine.llm.batches import parts
-from corpus_engine.shared import materialize, new_path, partitions, ship
+from corpus_engine.shared import new_path, partitions, ship
 
 VOCABULARY = "byte_bpe_50k.json"
 MAGIC, VERSION = b"BITPACK2", 2
@@ -222,39 +223,59 @@ class _Worker:
         return cls.held[key]
 
 
-def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """docs(doc_id, text) -> doc_id long, h, ids binary: the ids in whole bytes, END after them.
+#: The order of documents in files: by doc_id, nulls first, then by the hash of the text; what is equal in both, by its place in the table.
+ORDER = ("known", "doc_id", "h", "row")
 
-    h is the hash of the text. Null text counts as empty. Needs no shuffle; texts are worked on in
-    batches of bounded size.
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> the columns of ORDER and text; doc_id is cast to a 64-bit integer."""
+    text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    return docs.select(
+        doc_id.isNotNull().cast("int").alias("known"), F.coalesce(doc_id, F.lit(0)).alias("doc_id"), F.xxhash64(text).alias("h"),
+        F.monotonically_increasing_id().alias("row"), text.alias("text"),
+    )
+
+
+def range_starts(rows: DataFrame) -> list[tuple]:
+    """Where ranges of about equal numbers of rows begin in the order of ORDER: a tuple for each range."""
+    light = rows.select(*ORDER)
+    ranged = light.repartitionByRange(partitions(rows.sparkSession), *ORDER)
+    first = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(*ORDER)).alias("first"))
+    return sorted(tuple(r.first) for r in first.collect())  # a row a range
+
+
+def encoded(rows: DataFrame, tokenizer_path: str, starts: list[tuple]) -> DataFrame:
+    """keyed() rows -> the columns of ORDER, part (its range) and ids binary: ids in whole bytes, END after them.
+
+    Needs no shuffle; texts are worked on in batches of bounded size.
     """
     from tokenizers import Tokenizer
 
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(Tokenizer.from_file(tokenizer_path).to_str())  # fixed size
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    shared = spark.sparkContext.broadcast((Tokenizer.from_file(tokenizer_path).to_str(), starts))  # fixed size, a tuple a range
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Worker.get(shared.value)
+        definition, starts = shared.value
+        encoder = _Worker.get(definition)
         end = END.to_bytes(encoder.bytes, "little")
         for batch in batches:
-            for start, texts in parts(batch.column(2)):
+            for start, texts in parts(batch.column(len(ORDER))):
                 ids = [i.tobytes() + end for i in encoder.encode(texts)]
-                kept = [batch.column(i).slice(start, len(texts)) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.binary())], names=["doc_id", "h", "ids"])
+                kept = [batch.column(i).slice(start, len(texts)) for i in range(len(ORDER))]
+                part = [max(0, bisect_right(starts, key) - 1) for key in zip(*[k.to_pylist() for k in kept])]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(part, pa.int32()), pa.array(ids, pa.binary())], names=[*ORDER, "part", "ids"])
 
-    return rows.mapInArrow(run, "doc_id bigint, h bigint, ids binary")
+    return rows.mapInArrow(run, "known int, doc_id bigint, h bigint, row bigint, part int, ids binary")
 
 
 def write_packed(docs: DataFrame, tokenizer_path: str, path: str) -> DataFrame:
     """Encode docs(doc_id, text), end each with id 0, write files under `path`; one row per file.
 
     Returns (file_no, file, n_docs, n_ids), files in ascending doc_id order, nulls first, rows of
-    one doc_id by the hash of their text. Null text counts as empty: the end id only. doc_id is
-    cast to a 64-bit integer. Texts are encoded where they lie; only the ids are written, dealt out
-    by ranges of doc_id and sorted. A task writes its file as ids come, under a name of its own,
+    one doc_id by the hash of their text. Null text counts as empty: the end id only. Ranges are
+    found from ids and hashes; texts are encoded where they lie, and only their ids are shuffled,
+    once, to the range of the document, and sorted there. A task writes its file as ids come, under a name of its own,
     and lists it in its result, so a task that runs again after a lost executor leaves a file that
     nothing names.
     """
@@ -263,9 +284,12 @@ def write_packed(docs: DataFrame, tokenizer_path: str, path: str) -> DataFrame:
     spark = docs.sparkSession
     vocabulary = Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)
     carried = "<u2" if width(vocabulary) <= 16 else "<u4"
-    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
-    rows = materialize(encoded(docs, tokenizer_path), "packed-rows")
-    ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    rows = keyed(docs)
+    starts = range_starts(rows)
+    if not starts:
+        return spark.createDataFrame([], "file_no int, file string, n_docs bigint, n_ids bigint")
+    dealt = encoded(rows, tokenizer_path, starts).repartitionById(len(starts), F.col("part"))
+    ranged = dealt.sortWithinPartitions(*ORDER).select("known", "doc_id", "ids")
     uri = located(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,8 +303,8 @@ def write_packed(docs: DataFrame, tokenizer_path: str, path: str) -> DataFrame:
         with system.open_output_stream(f"{folder}/{name}") as out:
             writer = PackedWriter(out, vocabulary)
             for batch in chain([first], batches):
-                for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    writer.add(doc_id, np.frombuffer(ids.as_buffer(), carried))
+                for known, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    writer.add(doc_id if known else None, np.frombuffer(ids.as_buffer(), carried))
             writer.close()
         yield pa.RecordBatch.from_arrays(
             [pa.array([number], pa.int32()), pa.array([name]), pa.array([len(writer.doc_ids)], pa.int64()), pa.array([writer.n_ids], pa.int64())],

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_engine.llm.batches import map_texts
+from corpus_engine.shared import materialize
 
 #: Bits of a hashed word; most words that the classifier keeps.
 BITS, KEPT = 20, 4096
@@ -45,34 +46,30 @@ class Classifier:
         self.ids, self.weights, self.bias = ids, weights, bias
 
 
-def uneven(positive: list[np.ndarray], other: list[np.ndarray], kept: int = KEPT, least: float = EVIDENCE) -> np.ndarray:
-    """The hashed words that occur in a larger share of the positive texts, by log-likelihood ratio.
+def uneven(counts: DataFrame, n: int, m: int, kept: int = KEPT, least: float = EVIDENCE) -> DataFrame:
+    """counts(word, p, u) of texts that hold a word, of n positive and m other ones -> the words to keep.
 
-    Words below `least` are left out, so that rare words of a few positives are not learned by
-    heart; words that mark other texts are too, so that a long text cannot outweigh its evidence.
+    Words that occur in a larger share of the positive texts, by log-likelihood ratio; smaller
+    hashes first among equals. Words below `least` are left out, so that rare words of a few positives are not
+    learned by heart; words that mark other texts are too, so that a long text cannot outweigh its
+    evidence.
     """
-    size = 1 << BITS
-    p = np.bincount(np.concatenate(positive), minlength=size).astype(float)
-    u = np.bincount(np.concatenate(other), minlength=size).astype(float)
-    n, m = len(positive), len(other)
-    pooled = (p + u) / (n + m)
-
-    def gain(count: np.ndarray, total: int) -> np.ndarray:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            yes = np.where(count > 0, count * np.log(count / (total * pooled)), 0)
-            no = np.where(count < total, (total - count) * np.log((total - count) / (total * (1 - pooled))), 0)
+    pooled = (F.col("p") + F.col("u")) / (n + m)
+
+    def gain(count: F.Column, total: int) -> F.Column:
+        yes = F.when(count > 0, count * F.ln(count / (total * pooled))).otherwise(0.0)
+        no = F.when(count < total, (total - count) * F.ln((total - count) / (total * (1 - pooled)))).otherwise(0.0)
         return 2 * (yes + no)
 
-    ratio = np.where(p / n > u / m, gain(p, n) + gain(u, m), 0)
-    order = np.lexsort((np.arange(size), -ratio))[:kept]
-    return np.sort(order[ratio[order] >= least]).astype(np.int64)
+    rated = counts.where(F.col("p") / n > F.col("u") / m).withColumn("ratio", gain(F.col("p"), n) + gain(F.col("u"), m))
+    return rated.where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "word").limit(kept).select("word")
 
 
 class _Rows:
     """Texts as rows of a sparse 0/1 matrix over the kept words."""
 
     def __init__(self, texts: list[np.ndarray], kept: np.ndarray):
-        found = [np.searchsorted(kept, t[np.isin(t, kept, assume_unique=True)]) for t in texts]
+        found = [np.searchsorted(kept, t) for t in texts]
         self.n = len(texts)
         self.row = np.repeat(np.arange(self.n), [len(f) for f in found])
         self.column = np.concatenate(found) if found else np.empty(0, int)
@@ -84,9 +81,11 @@ class _Rows:
         return np.bincount(self.column, by_row[self.row], width)
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Classifier:
-    """Minimise the non-negative risk under logistic loss by Adam; the same input gives the same result."""
-    kept = uneven(positive, unlabelled)
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], kept: np.ndarray, prior: float) -> Classifier:
+    """Minimise the non-negative risk under logistic loss by Adam; the same input gives the same result.
+
+    Texts are their kept words, distinct and sorted.
+    """
     width = len(kept)
     p, u = _Rows(positive, kept), _Rows(unlabelled, kept)
     theta = np.zeros(width + 1)
@@ -126,8 +125,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     """Train from docs(doc_id, text) and labels(doc_id, toxic), both without held-out rows.
 
     A doc_id is toxic if any of its labels is. The ids of the sample are the smallest hashes, at
-    most `positives` and `unlabelled` of them; only the hashed words of those texts are gathered.
-    Without toxic or without other texts the classifier knows no words and scores the prior.
+    most `positives` and `unlabelled` of them. Words are counted and chosen on the executors; the
+    driver gets the kept words and, for each text of the sample, which of them it holds: at most KEPT
+    numbers a text, however long it is. Without toxic or without other texts the classifier knows
+    no words and scores the prior.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = marked.agg(F.count("*"), F.sum("toxic")).first()
@@ -143,15 +144,22 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         kind = pa.list_(pa.int32())
         return lambda found: [pa.array([word_ids(t) for t in found], kind)]
 
-    rows = map_texts(texts, ["_p"], "text", work, "words array<int>").toArrow()
-    kinds = rows.column("_p").to_numpy()
-    words = rows.column("words").combine_chunks() if rows.num_rows else []
-    sets = [np.asarray(w.values, np.int32) for w in words]
-    sets = sorted(zip(kinds.tolist(), sets), key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
-    positive, other = [w for k, w in sets if k == 1], [w for k, w in sets if k == 0]
-    if not positive or not other:
+    rows = materialize(map_texts(texts, ["_p"], "text", work, "words array<int>").withColumn("row", F.monotonically_increasing_id()), "toxic-words")
+    single = rows.select("_p", "row", F.explode("words").alias("word"))
+    n, m = (rows.where(F.col("_p") == k).count() for k in (1, 0))
+    if not n or not m:
         return Classifier(np.empty(0, np.int64), np.empty(0), float(np.log(prior / (1 - prior))))
-    return train(positive, other, prior)
+    counts = single.groupBy("word").agg(F.sum("_p").alias("p"), F.sum(1 - F.col("_p")).alias("u"))
+    chosen_words = [r.word for r in uneven(counts, n, m).collect()]  # KEPT at most
+    words = single.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in chosen_words], "_word int")), F.col("word") == F.col("_word"))
+    held = words.groupBy("row", "_p").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    found = held.groupBy("_p", "words").agg(F.count("*").alias("n")).collect()  # KEPT numbers a text of the sample at most
+    sets: list[list[np.ndarray]] = [[], []]
+    for r in sorted(found, key=lambda r: (len(r.words), r.words)):
+        sets[r._p] += [np.array(r.words, np.int64)] * r.n
+    for k, size in ((1, n), (0, m)):  # texts without any kept word
+        sets[k] = [np.empty(0, np.int64)] * (size - len(sets[k])) + sets[k]
+    return train(sets[1], sets[0], np.sort(np.array(chosen_words, np.int64)), prior)
 
 
 class _Weights(dict):
@@ -194,6 +202,12 @@ def fold():
 
 
 def op4_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; one row per row, repeated rows and ids kept, other columns not read.
+
+    Null and empty texts score by the bias. A null doc_id is not held out and teaches nothing, nor
+    do labels without a document. Texts of any length are read whole; a word counts once. Without
+    labels every score is the least prior. No documents: no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     classifier = fit(docs.select("doc_id", "text").where(fold() != 0), labels.where(fold() != 0))

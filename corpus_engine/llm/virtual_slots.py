@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_engine.shared import materialize, new_path
+from corpus_engine.shared import materialize, new_path, range_buckets, running_total
 
 SLOTS = 4096
 SHARDS = 16
@@ -88,45 +88,39 @@ def shard_records(records: DataFrame, slots: int = SLOTS, shards: int = SHARDS,
     """records(record long, size long, ...) -> the same with virtual_slot, shard, slot, map_version.
 
     `slot` numbers the records of a shard from 0 without gaps: slots in order, within a slot by
-    record and size. Records with equal hashes share a slot and follow each other. Any other
-    columns are kept. No records: no rows. One record (or many with one hash) larger than a
+    record and size, then as they lie in the table. The order is dealt out by ranges, so a slot
+    with very many records is the work of several tasks. Records with equal hashes share a slot and
+    follow each other. Any other columns are kept. No records: no rows. One record (or many with one hash) larger than a
     shard's share stays whole, in one shard.
     """
     spark = records.sparkSession
-    records = materialize(records.withColumn("virtual_slot", virtual_slot(F.col("record"), slots)), "slot-records")
+    numbered = records.withColumns({"virtual_slot": virtual_slot(F.col("record"), slots), "_row": F.monotonically_increasing_id()})
+    records = materialize(numbered, "slot-records")
     sums = {r.virtual_slot: (r.bytes, r.records) for r in slot_bytes(records).collect()}  # one row per slot at most
     sizes = {slot: size for slot, (size, _) in sums.items()}
     slot_map = SlotMap(spark, path or new_path(spark, "slot-map"))
     slot_map.append(1, first_map(slots, shards))
     slot_map.append(2, rebalanced(slot_map.mapping(1), sizes, shards))
     current = slot_map.mapping()
-    starts, filled = [], dict.fromkeys(range(shards), 0)
-    for slot in range(slots):
-        starts.append((slot, filled[current[slot]]))
-        filled[current[slot]] += sums.get(slot, (0, 0))[1]
-    starts = spark.createDataFrame(starts, "_slot int, _start long")
-    mapped = slot_map.read().select(
-        F.col("virtual_slot").alias("_mapped"), "shard", F.col("version").alias("map_version")
-    )
-    placed = mapped.join(starts, F.col("_mapped") == F.col("_slot")).drop("_slot")
-    within = Window.partitionBy("virtual_slot").orderBy("record", "size")
-    return (
-        records.join(F.broadcast(placed), F.col("virtual_slot") == F.col("_mapped"))  # a row per slot: fixed size
-        .withColumn("slot", F.col("_start") + F.row_number().over(within) - 1)
-        .drop("_mapped", "_start")
-    )
+    mapped = slot_map.read().select(F.col("virtual_slot").alias("_mapped"), "shard", F.col("version").alias("map_version"))
+    placed = records.join(F.broadcast(mapped), F.col("virtual_slot") == F.col("_mapped")).drop("_mapped")  # a row per slot: fixed size
+    order = [F.col(c) for c in ("virtual_slot", "record", "size", "_row")]
+    dealt = range_buckets(placed, [F.col("shard"), *order], "slot-order")
+    return running_total(dealt, ["shard"], order, F.lit(1).cast("long"), "slot").drop("_bucket", "_row")
 
 
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law `bytes`. Null text: size 1, crc32 of no bytes. Rows equal in doc_id and text are one
-    record repeated and share a slot; equal texts under other ids are spread."""
+    record repeated and share a slot; equal texts under other ids are spread, and so are rows of null
+    doc_id. A text of any length is one record and stays whole. Other columns are not read. No
+    documents: no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce(F.col("text"), F.lit(""))
     records = docs.select(
         "doc_id",
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.xxhash64("doc_id", "text").alias("record"),
+        F.xxhash64("doc_id", "text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).alias("record"),
     )
     return shard_records(records).select(
         "doc_id",

@@ -124,18 +124,18 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        last = None
+        last = kind = None
 
         def batch_of(ids: list, pairs: list, edge: int | None, texts: list) -> pa.RecordBatch:
             n = len(ids)
             made = _made(pairs) if pairs else [pa.nulls(n, k) for k in (pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), *made, pa.array([part] * n, pa.int32()), pa.array([edge] * n, pa.int32()), pa.array(texts, pa.string())],
+                [pa.array(ids, kind), *made, pa.array([part] * n, pa.int32()), pa.array([edge] * n, pa.int32()), pa.array(texts, pa.string())],
                 names=["doc_id", *_NAMES, "part", "edge", "text"],
             )
 
         for batch in batches:
-            ids, pairs = [], []
+            ids, pairs, kind = [], [], batch.schema.field(0).type
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = value.as_py()
                 own = codes(text.encode())
@@ -174,6 +174,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def op2_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text; one row per row.
+
+    Null texts count as empty; an empty text has the all-zero fingerprint. Null doc_ids come last in
+    the order, rows of one doc_id by the hash of their text, a single row follows itself. Texts of any
+    length are read whole. Other columns are not read. No documents: no rows.
+    """
     return with_next(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

@@ -119,6 +119,13 @@ def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of every document; one row per row, other columns not read.
+
+    Null texts have size 0 and are not taken. A null source is a source of its own, the last one.
+    Null doc_ids are told apart by their texts; rows equal in both share a key and are taken in the
+    order of the table. Long texts count whole, so a source ends within half a document of its
+    target. No documents: no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mixed_documents(docs, labels).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
@@ -141,7 +148,7 @@ step AS (
   UNION ALL
   SELECT i + 1, (SELECT ({SHARE}::DOUBLE * sum(source_size) - sum(CASE WHEN {MAX_EPOCHS} * source_size <= weight * rate THEN {MAX_EPOCHS} * source_size ELSE 0 END))
                  / nullif(sum(CASE WHEN {MAX_EPOCHS} * source_size <= weight * rate THEN 0 ELSE weight END), 0) FROM w)
-  FROM step WHERE i < 40 AND rate IS NOT NULL),
+  FROM step WHERE i <= (SELECT count(*) FROM w) AND rate IS NOT NULL),
 t AS (SELECT source, source_size, round(least({MAX_EPOCHS} * source_size, weight * (SELECT max(rate) FROM step)), 6)::DOUBLE AS target FROM w),
 p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, tag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
 e AS (SELECT p.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS epochs

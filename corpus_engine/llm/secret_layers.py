@@ -499,6 +499,11 @@ def mask_secrets(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def op9_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; one row per row, repeated rows and null doc_ids kept, other columns not read.
+
+    Null and empty texts: counts 0, the hash of no bytes, no spans. Spans that are equal count once
+    in `spans`. Texts of any length are read whole. No documents: no rows.
+    """
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
 
 

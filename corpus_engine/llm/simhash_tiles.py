@@ -302,6 +302,12 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def op8_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; one row per row, other columns not read.
+
+    Null, empty and blank texts have fingerprint zero and are linked by it. Null doc_ids take part in
+    links but name no component; a component of such rows only has none. Texts of any length are
+    read whole. No documents: no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 

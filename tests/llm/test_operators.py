@@ -2,11 +2,14 @@
 
 import array
 import base64
+import collections
 import gzip
 import hashlib
 import io
 import itertools
+import math
 import re
+import struct
 import sys
 import urllib.parse
 import zlib
@@ -88,6 +91,36 @@ def test_targets_reshare_what_full_sources_cannot_take(spark):
     assert found["a"] == 20 and found[None] == 0 and found["b"] + found["c"] == pytest.approx(1.5 * 2010 - 20) and found["c"] == pytest.approx(2 * found["b"], abs=1e-4)
 
 
+def plain_codes(data: bytes) -> list[int]:
+    """Triplets counted one by one: the length step, then how many quarters of the buckets each bucket is above."""
+    if not data:
+        return [0] * 257
+    tables = [row.tolist() for row in quartile_digest._tables()]
+    padded = data + b"\0" * (3 - len(data))
+    counts = [0] * 256
+    for i in range(len(padded) - 2):
+        counts[tables[0][padded[i]] ^ tables[1][padded[i + 1]] ^ tables[2][padded[i + 2]]] += 1
+    order = sorted(counts)
+    return [min(255, 1 + round(8 * math.log2(len(data))))] + [sum(c > order[edge] for edge in (63, 127, 191)) for c in counts]
+
+
+def plain_digest(codes: list[int]) -> str:
+    return f"{codes[0]:02x}" + "".join(f"{codes[i] + 4 * codes[i + 1] + 16 * codes[i + 2] + 64 * codes[i + 3]:02x}" for i in range(1, 257, 4))
+
+
+def plain_likeness(a: list[int], b: list[int]) -> float:
+    steps = 6 * min(24, abs(a[0] - b[0]))
+    held = sum(map(max, a[1:], b[1:])) + steps
+    return 1 - (sum(abs(x - y) for x, y in zip(a[1:], b[1:])) + steps) / held if held else 1.0
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "long"])
+def test_digest_keeps_the_type_of_ids(spark, kind):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (None, "b")], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    found = quartile_digest.with_next(rows)
+    assert found.schema["doc_id"].dataType == rows.schema["doc_id"].dataType and found.count() == 3
+
+
 def test_digest_pairs(spark, small, docs):
     ids = sorted(docs, reverse=True)
     following = {d: docs[ids[(i + 1) % len(ids)]] for i, d in enumerate(ids)}
@@ -97,10 +130,10 @@ def test_digest_pairs(spark, small, docs):
         text = docs[r.doc_id]
         half = len(text) // 2
         new = text[: len(text) - half] + following[r.doc_id][:half]
-        a, b, c = (quartile_digest.codes(t.encode()) for t in (text, new, following[r.doc_id]))
+        a, b, c = (plain_codes(t.encode()) for t in (text, new, following[r.doc_id]))
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(new.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (quartile_digest.digest(a), quartile_digest.digest(b))
-        assert r.near_edited == pytest.approx(quartile_digest.likeness(a, b)) and r.near_next == pytest.approx(quartile_digest.likeness(a, c))
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_digest(a), plain_digest(b))
+        assert r.near_edited == pytest.approx(plain_likeness(a, b)) and r.near_next == pytest.approx(plain_likeness(a, c))
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
     assert np.mean([r.near_edited > r.near_next for r in rows]) > 0.95
 
@@ -159,11 +192,57 @@ def test_toxicity_on_held_out_rows(spark):
     assert ((rows.toPandas().score >= 0.5) == (rows.toPandas().predicted == 1)).all()
 
 
+def test_toxicity_is_that_of_plain_python(spark):
+    """Words, their evidence, the risk and its descent, done again with plain loops over dense rows."""
+    rng = np.random.default_rng(4)
+    texts, toxic = [], []
+    for k in range(240):
+        bad = k % 4 == 0
+        words = [f"w{i}" for i in rng.integers(0, 60, 12)] + ["vile", "Nasty!"] * bad + ["nasty"] * (k % 31 == 1)
+        texts.append(" ".join(words))
+        toxic.append(int(bad and k % 8 == 0))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, t) for k, t in enumerate(toxic) if t or k % 3], "doc_id long, toxic int")
+    found = {r.doc_id: r.score for r in positive_unlabelled.score(docs, positive_unlabelled.fit(docs, labels), ["doc_id"]).collect()}
+
+    sets = [set(re.findall(r"\w+", t.lower())) for t in texts] + [set(), set()]
+    ids = [*range(240), 900, 901]
+    known = {k for k, t in enumerate(toxic) if t}
+    prior = sum(toxic) / sum(1 for k, t in enumerate(toxic) if t or k % 3)
+    yes, no = [s for i, s in zip(ids, sets) if i in known], [s for i, s in zip(ids, sets) if i not in known]
+
+    def side(count, total, pooled):
+        out = count * math.log(count / (total * pooled)) if count else 0
+        return 2 * (out + ((total - count) * math.log((total - count) / (total * (1 - pooled))) if count < total else 0))
+
+    kept = []
+    for word in set().union(*sets):
+        p, u = sum(word in s for s in yes), sum(word in s for s in no)
+        pooled = (p + u) / (len(yes) + len(no))
+        if p / len(yes) > u / len(no) and side(p, len(yes), pooled) + side(u, len(no), pooled) >= positive_unlabelled.EVIDENCE:
+            kept.append(word)
+    assert {"vile", "nasty"} <= set(kept)
+    P, U = (np.array([[w in s for w in kept] + [True] for s in part], float) for part in (yes, no))
+    theta = np.append(np.zeros(len(kept)), math.log(prior / (1 - prior)))
+    m, v = np.zeros(len(theta)), np.zeros(len(theta))
+    for step in range(1, positive_unlabelled.STEPS + 1):
+        a, b = P @ theta, U @ theta
+        up = lambda x: 1 / (1 + np.exp(-x))
+        rest = np.log1p(np.exp(b)).mean() - prior * np.log1p(np.exp(a)).mean()
+        slope = (U * up(b)[:, None]).mean(0) - prior * (P * up(a)[:, None]).mean(0)
+        g = slope - prior * (P * up(-a)[:, None]).mean(0) if rest >= 0 else -slope
+        g[:-1] += positive_unlabelled.RIDGE * theta[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - positive_unlabelled.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    for i, s in zip(ids, sets):
+        assert found[i] == pytest.approx(1 / (1 + math.exp(-theta @ np.array([w in s for w in kept] + [True]))), abs=1e-6)
+
+
 def test_risk_goes_up_the_slope_below_zero():
     rng = np.random.default_rng(0)
     bad = [np.array([7, *rng.integers(100, 900, 20)], np.int32) for _ in range(300)]
     mixed = [np.unique(np.array([7] * (rng.random() < 0.2) + list(rng.integers(100, 900, 20)), np.int32)) for _ in range(3000)]
-    model = positive_unlabelled.train([np.unique(b) for b in bad], mixed, 0.2)
+    model = positive_unlabelled.train([b[b == 7].astype(int) for b in map(np.unique, bad)], [b[b == 7].astype(int) for b in mixed], np.array([7]), 0.2)
     assert 7 in model.ids and model.weights[list(model.ids).index(7)] + model.bias > 0 > model.bias
 
 
@@ -175,6 +254,41 @@ def test_shards_are_even_and_gapless(spark, small, docs):
     assert all(r.size == len(docs[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(docs[r.doc_id].encode()) for r in rows.itertuples())
 
 
+def test_shards_are_those_of_plain_python(spark, small, docs):
+    """Slots by the hash of (doc_id, text), their bytes, the edited map and the numbers of records, done again."""
+    from xxhash import xxh64_intdigest
+
+    records = []
+    for doc_id, text in docs.items():
+        h = xxh64_intdigest(text.encode(), xxh64_intdigest(struct.pack("<q", doc_id), 42))
+        records.append((h - (h >> 63 << 64), len(text.encode()) + 1, doc_id))
+    sizes: dict = {}
+    for record, size, _ in records:
+        sizes[record % 4096] = sizes.get(record % 4096, 0) + size
+    shard = {slot: slot % 16 for slot in range(4096)}
+    while True:
+        load = [sum(size for slot, size in sizes.items() if shard[slot] == s) for s in range(16)]
+        full, empty = load.index(max(load)), load.index(min(load))
+        gap = load[full] - load[empty]
+        movable = sorted((abs(gap - 2 * size), slot) for slot, size in sizes.items() if shard[slot] == full and size < gap)
+        if not movable:
+            break
+        shard[movable[0][1]] = empty
+    want, places = {}, [0] * 16
+    for record, size, doc_id in sorted(records, key=lambda r: (r[0] % 4096, r[0], r[1])):
+        own = shard[record % 4096]
+        want[doc_id] = (own, places[own], record % 4096)
+        places[own] += 1
+    rows = virtual_slots.op5_virtual_slots(spark, small).collect()
+    assert {r.doc_id: (r.shard, r.slot, r.virtual_slot) for r in rows} == want
+
+
+def test_many_equal_records_are_numbered(spark):
+    rows = spark.range(0, 5000, 1, 8).select(F.lit(None).cast("long").alias("doc_id"), F.lit(7).cast("long").alias("record"), F.lit(1).cast("long").alias("size"))
+    found = virtual_slots.shard_records(rows).select("shard", "slot").toPandas()
+    assert found.shard.nunique() == 1 and sorted(found.slot) == list(range(5000))
+
+
 def test_map_edits_are_versions(spark, tmp_path):
     old = virtual_slots.first_map(64, 4)
     grown = virtual_slots.rebalanced(old, {s: 10 for s in range(64)}, 5)
@@ -186,48 +300,82 @@ def test_map_edits_are_versions(spark, tmp_path):
     assert set(virtual_slots.rebalanced(grown, {s: 10 for s in range(64)}, 4).values()) == {0, 1, 2, 3}
 
 
-def test_forest_recall(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    own = {r.vec_id: np.array(r.embedding, float) for r in rows.collect()}
-    ids = np.array(sorted(own))
-    matrix = np.stack([own[i] for i in ids])
-    found = {}
-    for r in prefix_forest.nearest(rows, rows.where("vec_id % 20 = 0"), candidates=800, block_rows=1000, query_rows=30).collect():
-        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+def recall(spark, rows, asked, found) -> tuple[float, int]:
+    """(share of the exact nearest that were found, number of queries), after checks of ranks and scores."""
+    table = rows.select("vec_id", "embedding").toPandas()
+    ids, matrix = table.vec_id.to_numpy(), np.stack(table.embedding).astype(float)
+    wanted = {r.vec_id: np.array(r.embedding, float) for r in asked.collect()}
+    given: dict = {}
+    for r in found.collect():
+        given.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(given) == set(wanted)
     hits = []
-    for query, best in found.items():
-        scores = (matrix * own[query]).sum(1)
-        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != query][:20]
+    for query, best in given.items():
+        scores = (matrix * wanted[query]).sum(1)
+        scores[ids == query] = -np.inf
+        least = np.sort(scores)[-20]
         best.sort()
-        assert [b[0] for b in best] == list(range(1, 21)) and all(abs(s - own[query] @ own[v]) < 1e-9 for _, v, s in best)
-        hits.append(len({v for _, v, _ in best} & set(ids[order])) / 20)
-    assert len(hits) == 100 and np.mean(hits) >= 0.9
+        assert [b[0] for b in best] == list(range(1, 21)) and [(-s, v) for _, v, s in best] == sorted((-s, v) for _, v, s in best)
+        own = dict(zip(ids.tolist(), scores.tolist()))
+        assert len({v for _, v, _ in best}) == 20 and all(abs(s - own[v]) < 1e-9 for _, v, s in best)
+        hits.append(np.mean([s >= least - 1e-9 for _, _, s in best]))
+    return float(np.mean(hits)), len(hits)
 
 
-@pytest.mark.parametrize("copies", [0, 3000])
-def test_forest_recall_of_a_block_with_copies(copies):
-    """At the parameters in use; queries include some that lie near the group of copies in a few trees."""
-    rng = np.random.default_rng(11)
-    hot = rng.standard_normal(48)
-    data = np.concatenate([rng.standard_normal((9000 - copies, 48)), np.tile(hot, (copies, 1))])
+def test_forest_recall(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = rows.where("vec_id % 20 = 0")
+    share, n = recall(spark, rows, asked, prefix_forest.nearest(rows, asked, block_rows=300, query_rows=30))
+    assert n == 100 and share >= 0.9
+
+
+def made_vectors(spark, path: str, n: int, spread: float, copies: int = 0, seed: int = 3):
+    """n unit vectors about n / 100 centres, and copies of one of them."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n // 100, 64))
+    data = centres[rng.integers(0, len(centres), n)] + spread * rng.standard_normal((n, 64))
+    data[:copies] = data[0]
     data /= np.sqrt((data**2).sum(1, keepdims=True))
-    names = rng.permutation(len(data))
-    asked = np.concatenate([data[:60], [0.4 * data[-1] + x for x in data[60:120]]])
-    own = np.array([*range(60), *[-1] * 60])
-    hits = []
-    for k, (rows, scores) in enumerate(prefix_forest.Forest(data, names).search(asked, own, 20, prefix_forest.CANDIDATES)):
-        exact = (data * asked[k]).sum(1)
-        want = [r for r in np.lexsort((names, -exact.round(12))) if r != own[k]][:20]
-        assert len(rows) == len(set(rows)) == 20 and own[k] not in rows and np.allclose(scores, exact[rows])
-        hits.append(len(set(names[rows]) & set(names[want])) / 20)
-    assert np.mean(hits) >= 0.9 and np.mean(hits[:60]) >= 0.9
+    pq.write_table(pa.table({"vec_id": rng.permutation(n), "embedding": list(data.astype(np.float32))}), path)
+    return spark.read.parquet(path)
+
 
+@pytest.mark.parametrize("spread, copies", [(100.0, 0), (100.0, 9000), (0.4, 0)])
+def test_forest_recall_of_three_blocks(spark, tmp_path, spread, copies):
+    """At the parameters in use: random vectors, a third of them copies, vectors in clusters."""
+    rows = made_vectors(spark, str(tmp_path / "v.parquet"), 27_000, spread, copies)
+    asked = rows.where("vec_id % 540 = 0")
+    share, n = recall(spark, rows, asked, prefix_forest.nearest(rows, asked))
+    assert n == 50 and share >= 0.9
 
-def test_forest_places_copies_by_id_without_the_own_row():
-    data = np.array([[1.0, 0.0]] * 5 + [[0.0, 1.0], [1.0, -0.0]])
-    names = np.array([7, 3, 3, 9, 1, 2, 4])
-    (rows, scores), = prefix_forest.Forest(data, names).search(data[:1], np.array([4]), 5, 1)
-    assert names[rows].tolist() == [3, 3, 4, 7, 9] and scores.tolist() == [1.0] * 5
+
+def test_forest_ranks_few_vectors_among_near_ones(spark, tmp_path):
+    """In clusters the depth, and with it the share of vectors that is ranked, follows the neighbours, and blocks are passed by."""
+    rows = made_vectors(spark, str(tmp_path / "v.parquet"), 27_000, 0.2)
+    forest = prefix_forest.planted(rows, rows.where("vec_id % 540 = 0"), block_rows=1000)
+    assert forest.where("kind = 0 and size(ids) = 1").count() == 27_000
+    visited = prefix_forest.visits(forest)
+    asked = visited.select("q1", "length").distinct().toPandas()
+    assert len(asked) == 50 and asked.length.median() >= 12
+    assert visited.count() < 0.7 * 50 * forest.where("kind = 0").select("block").distinct().count()
+
+
+def test_forest_depths_keep_the_chance():
+    cosines = np.array([-1.0, 0.0, 0.3, 0.5, 0.9, 0.99, 1.0])
+    length, more = prefix_forest.depths(cosines)
+    letter = 1 - np.arccos(cosines) / np.pi
+    missed = (1 - letter ** (length + 1)) ** more * (1 - letter**length) ** (prefix_forest.TREES - more)
+    assert (missed[(length > 0)] <= prefix_forest.MISS + 1e-9).all() and (np.diff(length + more / 64) >= 0).all() and length[-1] == prefix_forest.LETTERS
+
+
+def test_forest_places_copies_by_id_without_the_own_row(spark):
+    data = [(7, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (9, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (4, [1.0, -0.0])]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    found = sorted(prefix_forest.nearest(rows, rows.where("vec_id = 1"), top=5).collect(), key=lambda r: r.rank)
+    assert [r.vec_id for r in found] == [3, 3, 4, 7, 9] and {r.score for r in found} == {1.0}
 
 
 def test_forest_odd_vectors(spark, odd):
@@ -243,6 +391,86 @@ def test_languages_on_held_out_rows(spark, small):
     assert len(rows) > 20 and (rows.lang == rows.lang_pred).mean() > 0.97 and rows.score.between(0, 1).all()
 
 
+def plain_trigrams(text: str) -> list[int]:
+    out, letters = [], " "
+    for c in text.lower():
+        letters += c if c.isalpha() else "" if letters[-1] == " " else " "
+    if letters == " ":
+        return []
+    letters += "" if letters[-1] == " " else " "
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        h = (ord(a) * 0x9E3779B1 + ord(b) * 0x85EBCA77 + ord(c) * 0xC2B2AE3D) % 2**32
+        out.append(((h ^ h >> 15) * 0x2C1B3C6D % 2**32) >> 16)
+    return out
+
+
+def test_languages_are_those_of_plain_python(spark, small):
+    """Counting, windows, expectation-maximisation and the choice of the set, done again one by one."""
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").limit(60).collect()
+    labelled = [r for r in rows if r.doc_id % 2]
+    texts = {r.doc_id: r.text[:900] + " " + s.text[:300] for r, s in zip(rows, reversed(rows))} | {-1: "12 !", -2: "Ärger, garçon! 中文"}
+    schema = "doc_id long, text string, lang string"
+    model = language_mixture.fit(spark.createDataFrame([tuple(r) for r in labelled], schema))
+    found = {r.doc_id: r for r in language_mixture.predict(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model, ["doc_id"]).collect()}
+    names = sorted({r.lang for r in labelled})
+    counts = {n: collections.Counter() for n in names}
+    for r in labelled:
+        counts[r.lang].update(plain_trigrams(r.text))
+    log = lambda n, g: math.log((counts[n][g] + 0.1) / (counts[n].total() + 0.1 * 65536))
+
+    def mixed(windows, chosen):
+        share = {n: 1 / len(chosen) for n in chosen}
+        for _ in range(12 if len(chosen) > 1 else 0):
+            new = dict.fromkeys(chosen, 0.0)
+            for w in windows:
+                top = max(w[n] for n in chosen)
+                parts = {n: share[n] * math.exp(w[n] - top) for n in chosen}
+                for n in chosen:
+                    new[n] += parts[n] / sum(parts.values()) / len(windows)
+            share = new
+        return share, sum(math.log(sum(share[n] * math.exp(w[n] - max(w[m] for m in chosen)) for n in chosen)) + max(w[m] for m in chosen) for w in windows)
+
+    several = 0
+    for doc_id, text in texts.items():
+        grams = plain_trigrams(text)
+        if not grams:
+            assert (found[doc_id].lang_pred, found[doc_id].score) == ("und", 0)
+            continue
+        windows = [{n: sum(log(n, g) for g in grams[i : i + 24]) for n in names} for i in range(0, len(grams), 24)]
+        total = {n: sum(w[n] for w in windows) for n in names}
+        chosen = [max(names, key=lambda n: total[n])]
+        share, best = mixed(windows, chosen)
+        penalty = 2 * (math.log(len(windows)) + 1)
+        while len(chosen) < len(names):  # every language is tried
+            tried = {n: mixed(windows, [*chosen, n]) for n in names if n not in chosen}
+            n = max(tried, key=lambda n: tried[n][1])
+            if tried[n][1] - best <= penalty:
+                break
+            chosen, (share, best) = [*chosen, n], tried[n]
+        first = max(chosen, key=lambda n: share[n])
+        sure = 1 / (1 + sum(math.exp(total[n] - total[chosen[0]]) for n in names if n not in chosen))
+        several += len(chosen) > 1
+        assert found[doc_id].lang_pred == first and found[doc_id].score == pytest.approx(share[first] * sure, abs=2e-3)
+        assert set(found[doc_id].languages) == set(chosen)
+    assert several > 5
+
+
+def test_windows_do_not_depend_on_pieces(spark):
+    table = np.random.default_rng(1).standard_normal((1 << 16, 3)).astype(np.float32)
+    for text in ("  Straße, und so!  " * 40 + "x", "a", "é" * 100, "12", "ab 1 " * 9 + "!!!!!!!!!!"):
+        whole, sizes = language_mixture.windows_of(text, table)
+        assert sizes.sum() == len(plain_trigrams(text)) and len(whole) == len(sizes)
+        for piece in (1, 2, 7, 24, 50):
+            cut, again = language_mixture.windows_of(text, table, piece)
+            assert np.allclose(whole, cut, atol=1e-4) and (sizes == again).all()
+
+
+def test_language_sample_is_bounded_and_whole(spark):
+    ids = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 19_900, "aa").otherwise("bb").alias("lang"))
+    found = {r._lang: r["count"] for r in language_mixture.sampled(ids.unionByName(ids), 300).groupBy("_lang").count().collect()}
+    assert found == {"aa": 300, "bb": 100}
+
+
 def test_language_mixture_finds_both(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     model = language_mixture.learned(docs)

@@ -27,7 +27,7 @@ EVIDENCE = 20.0
 POSITIVES, UNLABELLED = 8000, 16_000
 #: Bounds of the class prior, which is the share of toxic labels among the labelled texts.
 PRIOR = (0.01, 0.5)
-STEPS, RATE, RIDGE = 400, 0.05, 1e-3
+STEPS, RATE, RIDGE = 400, 0.05, 2e-4
 #: Words whose weight a worker keeps at hand.
 WORDS = 500_000
 

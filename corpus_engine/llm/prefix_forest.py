@@ -4,7 +4,7 @@ Every tree gives each vector a long hash string and holds the strings sorted. A
 trees to its longest matching prefixes and ascends in all of them together, letter by letter, until
 the vectors under its prefixes are enough; those are ranked by their exact inner products.
 
-The forest is planted once: equal vectors become one, and ranges of the first tree's strings are
+The forest is planted once: equal vectors become one, and runs of prefixes of the first tree are
 blocks, each with its part of every tree. In the block where a query's own string lies it ascends
 until it has a few hundred candidates; their scores tell how near its neighbours are at least, and
 so the depth at which a neighbour as near as that shares a prefix with it in some tree, but for a
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +29,10 @@ TOP = 20
 TREES, LETTERS = 64, 32
 #: Vectors of a block on average; queries that meet one block in one task.
 BLOCK_ROWS, QUERY_ROWS = 8192, 16_384
+#: Letters of the first tree's prefixes that blocks are made of.
+CELL = 18
 #: Distinct vectors at which a query stops ascending in its own block.
-HOME = 512
+HOME = 2048
 #: Chance that a neighbour as near as the last one found at home shares no prefix with the query.
 MISS = 0.1
 #: Lengths of prefixes by which blocks are found; queries that need shorter ones visit all blocks.
@@ -182,7 +183,23 @@ def _strings(column: pa.ChunkedArray, trees: int = TREES) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), trees).astype(np.int64)
 
 
-FOREST = "kind int, q1 bigint, q2 bigint, dims int, block int, strings binary, length int, more int"
+FOREST = "kind int, q1 bigint, q2 bigint, dims int, block int, strings binary, length int, more int, least double"
+
+
+def dealt(cells: list[tuple[int, int]], block_rows: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """cells [(prefix, vectors)] in order -> (prefixes, their first block, how many blocks they are spread over).
+
+    Neighbours share a block until it is full; a prefix of more vectors than a block has several of its own.
+    """
+    blocks, spread, block, held = [], [], first, 0
+    for _, n in cells:
+        parts = -(-n // block_rows)
+        if held and (parts > 1 or held + n > block_rows):
+            block, held = block + 1, 0
+        blocks.append(block)
+        spread.append(parts)
+        block, held = (block + parts, 0) if parts > 1 else (block, held + n)
+    return np.array([c for c, _ in cells]), np.array(blocks), np.array(spread)
 
 
 def planted(vectors: DataFrame, queries: DataFrame, top: int = TOP, block_rows: int = BLOCK_ROWS, home: int = HOME, miss: float = MISS) -> DataFrame:
@@ -190,7 +207,8 @@ def planted(vectors: DataFrame, queries: DataFrame, top: int = TOP, block_rows:
 
     Columns: those of FOREST, v, and ids: the smallest ids of the vector's rows, as many as can be in a
     result. Only those are kept, so a vector with any number of copies is one row. length and more
-    say at which depth a query must look, see depths(). A task holds one block.
+    say at which depth a query must look, see depths(), least is a score that as many rows reach as are asked
+    for. A task holds one block.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -211,7 +229,6 @@ def planted(vectors: DataFrame, queries: DataFrame, top: int = TOP, block_rows:
     long2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.sqrt(F.max(long2)).alias("longest")).collect()  # a row a length
     longest = {r.dims: r.longest for r in sizes}
-    blocks = max(1, sum(-(-r.n // block_rows) for r in sizes))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,48 +236,62 @@ def planted(vectors: DataFrame, queries: DataFrame, top: int = TOP, block_rows:
             kinds, dims = batch.column(0).to_numpy(), batch.column(3).to_numpy()
             for d, k in set(zip(dims.tolist(), kinds.tolist())):
                 at = np.flatnonzero((dims == d) & (kinds == k))
-                if k or d in longest:
-                    found[at] = strings_of(_matrix(batch.column(4).take(pa.array(at))), None if k else longest[d], 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "s0"])
-
-    schema = f"kind int, q1 bigint, q2 bigint, dims int, v {kind}, ids array<bigint>, s0 bigint"
-    ranged = both.mapInArrow(place, schema).repartitionByRange(blocks, "dims", "s0", "q1", "q2", "kind")
-
-    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        block, rows = TaskContext.get().partitionId(), pa.Table.from_batches(held)
-        kinds, dims = rows.column("kind").to_numpy(), rows.column("dims").to_numpy()
-        for d in sorted(set(dims.tolist())):
-            own, met = (rows.take(pa.array(np.flatnonzero((dims == d) & (kinds == k)))) for k in (0, 1))
-            forest = None
-            for part in (own, met):
-                if not part.num_rows:
-                    continue
-                matrix, n = _matrix(part.column("v")), part.num_rows
-                length = more = np.zeros(n, np.int64)
-                if part is own:
-                    strings = strings_of(matrix, longest[d])
-                    forest = Forest(matrix, *_lists(part.column("ids")), strings)
-                else:
-                    strings, cosines = strings_of(matrix, None), np.full(n, -1.0)
-                    if forest:
-                        for k, near in enumerate(forest.ascend(strings, home)):
-                            _, scores, _ = forest.best(matrix[k], near, top + 1)  # its own row may be one of them
-                            if len(scores) > top:
-                                cosines[k] = scores[-1] / (np.sqrt((matrix[k] ** 2).sum()) * longest[d])
-                    length, more = depths(cosines, miss)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[part.column(c).combine_chunks() for c in ("kind", "q1", "q2", "dims")], pa.array(np.full(n, block, np.int32)),
-                        pa.array([s.tobytes() for s in strings.astype("<u4")], pa.binary()), pa.array(length.astype(np.int32)), pa.array(more.astype(np.int32)),
-                        part.column("v").combine_chunks(), part.column("ids").combine_chunks(),
-                    ],
-                    names=[c.split()[0] for c in FOREST.split(", ")] + ["v", "ids"],
-                )
-
-    return materialize(ranged.mapInArrow(plant, f"{FOREST}, v {kind}, ids array<bigint>"), "forest")
+                if d in longest:
+                    found[at] = strings_of(_matrix(batch.column(4).take(pa.array(at))), None if k else longest[d], 1)[:, 0] >> (LETTERS - CELL)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "cell"])
+
+    placed = both.mapInArrow(place, f"kind int, q1 bigint, q2 bigint, dims int, v {kind}, ids array<bigint>, cell bigint")
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for r in placed.where("kind = 0").groupBy("dims", "cell").count().orderBy("dims", "cell").collect():  # 2**CELL rows a length at most
+        counts.setdefault(r.dims, []).append((r.cell, r["count"]))
+    maps, used = {}, 0
+    for d, cells in counts.items():
+        maps[d] = dealt(cells, block_rows, used)
+        used = int((maps[d][1] + maps[d][2]).max())
+    shared = spark.sparkContext.broadcast(maps)  # three numbers a cell
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, cell, mark = (batch.column(i).to_numpy() for i in (3, 6, 1))
+            block = np.full(batch.num_rows, -1, np.int64)
+            for d in set(dims.tolist()) & set(shared.value):
+                prefixes_, first, spread = shared.value[d]
+                at = np.flatnonzero(dims == d)
+                own = np.maximum(np.searchsorted(prefixes_, cell[at], "right") - 1, 0)
+                block[at] = first[own] + mark[at] % spread[own]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(block.astype(np.int32))], names=[*batch.schema.names[:6], "block"])
+
+    blocks = placed.mapInArrow(deal, f"kind int, q1 bigint, q2 bigint, dims int, v {kind}, ids array<bigint>, block int").where("block >= 0")
+
+    def plant(rows: pa.Table) -> pa.Table:
+        kinds, d = rows.column("kind").to_numpy(), rows.column("dims")[0].as_py()
+        own, met = (rows.take(pa.array(np.flatnonzero(kinds == k))) for k in (0, 1))
+        forest, out = None, []
+        for part in (own, met):
+            if not part.num_rows:
+                continue
+            matrix, n = _matrix(part.column("v")), part.num_rows
+            length, more, least = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -np.inf)
+            if part is own:
+                strings = strings_of(matrix, longest[d])
+                forest = Forest(matrix, *_lists(part.column("ids")), strings)
+            else:
+                strings, cosines = strings_of(matrix, None), np.full(n, -1.0)
+                for k, near in enumerate(forest.ascend(strings, home) if forest else []):
+                    _, scores, _ = forest.best(matrix[k], near, top + 1)  # its own row may be one of them
+                    if len(scores) > top:
+                        least[k] = scores[-1]
+                        cosines[k] = least[k] / (np.sqrt((matrix[k] ** 2).sum()) * longest[d])
+                length, more = depths(cosines, miss)
+            made = {
+                "strings": pa.array([s.tobytes() for s in strings.astype("<u4")], pa.binary()), "length": pa.array(length.astype(np.int32)),
+                "more": pa.array(more.astype(np.int32)), "least": pa.array(least),
+            }
+            out.append(pa.table({name: made[name] if name in made else part.column(name) for name in columns}))
+        return pa.concat_tables(out)
+
+    columns = [*[c.split()[0] for c in FOREST.split(", ")], "v", "ids"]
+    return materialize(blocks.groupBy("dims", "block").applyInArrow(plant, f"{FOREST}, v {kind}, ids array<bigint>"), "forest")
 
 
 def prefixes(forest: DataFrame, keep: list[str], levels: list[int]) -> DataFrame:
@@ -287,19 +318,19 @@ def prefixes(forest: DataFrame, keep: list[str], levels: list[int]) -> DataFrame
 
 
 def visits(forest: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """Which query vectors visit which blocks: q1, q2, dims, block, v, strings, length, more.
+    """Which query vectors visit which blocks: q1, q2, dims, block, home, v, strings, length, more, least.
 
     A block is visited if it holds a vector that shares a prefix with the query in any tree, of the
     greatest of `levels` that is no longer than the query must look under.
     """
-    base, asked = forest.where("kind = 0"), forest.where("kind = 1").drop("block", "ids", "kind")
+    base, asked = forest.where("kind = 0"), forest.where("kind = 1").withColumnRenamed("block", "home").drop("ids", "kind")
     level = F.lit(0)
     for step in sorted(levels):
         level = F.when(F.col("length") >= step, step).otherwise(level)
     asked = asked.withColumn("level", level)
     present = base.groupBy("dims").agg(F.collect_set("block").alias("blocks"))  # an array a length, a number a block
     wide = asked.where("level = 0").join(present.withColumnRenamed("dims", "_dims"), F.col("dims") == F.col("_dims")).withColumn("block", F.explode("blocks"))
-    columns = ["q1", "q2", "dims", "block", "v", "strings", "length", "more"]
+    columns = ["q1", "q2", "dims", "block", "home", "v", "strings", "length", "more", "least"]
     found = wide.select(*columns)
     used = sorted(r.level for r in asked.where("level > 0").select("level").distinct().collect())  # a number a level
     if used:
@@ -318,6 +349,7 @@ def nearest(
     query_rows: int = QUERY_ROWS,
     miss: float = MISS,
     levels: tuple[int, ...] = LEVELS,
+    home: int = HOME,
 ) -> DataFrame:
     """vectors(vec_id, embedding), queries(vec_id, embedding) -> query_id, rank, vec_id, score.
 
@@ -328,7 +360,7 @@ def nearest(
     give a null vec_id. Each distinct query vector is searched for once, whatever number of queries
     has it.
     """
-    forest = planted(vectors, queries, top, block_rows, miss=miss)
+    forest = planted(vectors, queries, top, block_rows, home, miss)
     met = materialize(visits(forest, levels), "forest-visits")
     tiles = met.groupBy("dims", "block").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("_tiles"))
     tiles = F.broadcast(tiles.select(F.col("dims").alias("_dims"), F.col("block").alias("_block"), "_tiles"))  # a row a block
@@ -343,11 +375,16 @@ def nearest(
         if own.num_rows and asked.num_rows:
             grove = Forest(_matrix(own.column("v")), *_lists(own.column("ids")), _strings(own.column("strings")))
             q1, q2 = (own.column(c).to_numpy() for c in ("q1", "q2"))
-            wanted = {c: asked.column(c).to_numpy() for c in ("q1", "q2", "length", "more")}
-            matrix = _matrix(asked.column("v"))
-            near = grove.at_depth(_strings(asked.column("strings")), wanted["length"].astype(np.int64), wanted["more"].astype(np.int64))
+            wanted = {c: asked.column(c).to_numpy() for c in ("q1", "q2", "length", "more", "least")}
+            matrix, strings = _matrix(asked.column("v")), _strings(asked.column("strings"))
+            here = np.flatnonzero(asked.column("home").to_numpy() == asked.column("block").to_numpy())
+            again = dict(zip(here.tolist(), grove.ascend(strings[here], home)))  # what `least` comes from
+            near = grove.at_depth(strings, wanted["length"].astype(np.int64), wanted["more"].astype(np.int64))
             for k, rows in enumerate(near):
+                rows = np.union1d(rows, again[k]) if k in again else rows
                 ids, scores, of = grove.best(matrix[k], rows, top + 1)
+                good = scores >= wanted["least"][k]  # as many as are asked for are so near
+                ids, scores, of = ids[good], scores[good], of[good]
                 one, two = wanted["q1"][k], wanted["q2"][k]
                 for name, values in (("q1", np.full(len(ids), one)), ("q2", np.full(len(ids), two)), ("vec_id", ids), ("score", scores), ("same", (q1[of] == one) & (q2[of] == two))):
                     parts[name].append(values)

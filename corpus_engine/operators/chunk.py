@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_engine.functions.text import cn_to_int, strip
+from corpus_engine.shared import materialize
 
 SIZE, OVERLAP = 500, 50
 # Separators in the order they are tried, and the marks of structure.
@@ -71,16 +72,18 @@ def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str,
     return out
 
 
-def split_recursive(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
-    """df(doc_id, text) -> doc_id, chunk_index, chunk_total, text, char_count; blank texts have no chunk."""
+def split_recursive(
+    df: DataFrame, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """df(doc_id, text, *keep) -> doc_id, *keep, chunk_index, chunk_total, text, char_count; blank texts have no chunk."""
 
     @F.pandas_udf("array<string>")
     def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield batch.map(lambda t: recursive_pieces(t or "", size, overlap, separators))
 
-    rows = df.select("doc_id", pieces(F.col("text")).alias("p"))
-    return rows.select("doc_id", F.size("p").alias("chunk_total"), F.posexplode("p").alias("chunk_index", "text")).withColumn(
+    rows = df.select("doc_id", *keep, pieces(F.col("text")).alias("p"))
+    return rows.select("doc_id", *keep, F.size("p").alias("chunk_total"), F.posexplode("p").alias("chunk_index", "text")).withColumn(
         "char_count", F.length("text")
     )
 
@@ -123,14 +126,22 @@ def rejoin_chunks(chunks: DataFrame, mark: str = "\n\n") -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.concat_ws(mark, F.transform(ordered, lambda c: c["text"])).alias("text"))
 
 
+def with_rows(df: DataFrame) -> DataFrame:
+    """df with a number for each row, `_row`, written, so that the numbers stay."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def split_structured(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """df(doc_id, file_name, text) -> (parents, children) by chapter, section and article lines.
 
     A chapter or section opens a parent; articles before any are a parent of their own. A
     parent's text runs from its heading to the end of its last article, children are articles.
-    Parents without articles go. Documents without marks are a parent, and have no child.
+    Parents without articles go. Documents without marks are a parent, and have no child. Each row is a
+    document of its own, also where rows share a doc_id; `_row` tells them apart.
     """
-    lines = df.select("doc_id", F.regexp_replace("file_name", r"\.[^.]*$", "").alias("law_name"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    if "_row" not in df.columns:
+        df = with_rows(df.select("doc_id", "file_name", "text"))
+    lines = df.select("_row", "doc_id", F.regexp_replace("file_name", r"\.[^.]*$", "").alias("law_name"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
 
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract("line", pattern, group)
@@ -138,7 +149,7 @@ def split_structured(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     level = (
         F.when(F.col("line").rlike(CHAPTER), "chapter").when(F.col("line").rlike(SECTION), "section").when(F.col("line").rlike(ARTICLE), "article")
     )
-    upto = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("_row").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("level", level)
     heading = F.col("level").isin("chapter", "section")
     placed = marked.withColumns({
@@ -152,7 +163,7 @@ def split_structured(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a section holds until the next chapter
     chapters = F.sum((F.col("level") == "chapter").cast("int")).over(upto)
     placed = placed.withColumn("chap", chapters)
-    within = Window.partitionBy("doc_id", "chap").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("_row", "chap").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumns({
         "section": F.last(F.when(F.col("level") == "section", part(SECTION, 2)), True).over(within),
         "section_number": F.last(F.when(F.col("level") == "section", cn_to_int(part(SECTION, 1))), True).over(within),
@@ -160,10 +171,10 @@ def split_structured(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     inside = placed.where("marks > 0")
     in_order = F.sort_array(F.collect_list(F.struct("n", "line")))
     text = strip(F.concat_ws("\n", F.transform(in_order, lambda x: x["line"])))
-    keys = ["doc_id", "law_name", "grp"]
+    keys = ["_row", "doc_id", "law_name", "grp"]
     context = [F.max(c).alias(c) for c in ("chapter", "chapter_number", "section", "section_number")]
     # lines of a group before its first article and after its heading belong to the parent only
-    first_article = F.min(F.when(F.col("level") == "article", F.col("art"))).over(Window.partitionBy("doc_id", "grp"))
+    first_article = F.min(F.when(F.col("level") == "article", F.col("art"))).over(Window.partitionBy("_row", "grp"))
     grouped = inside.withColumn("first_article", first_article).where("first_article is not null")
     in_article = (F.col("art") >= F.col("first_article"))
     children = grouped.where(in_article).groupBy(*keys, "art").agg(
@@ -172,7 +183,7 @@ def split_structured(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     parents = grouped.groupBy(*keys).agg(
         text.alias("text"), F.count(F.when(F.col("level") == "article", 1)).alias("child_count"), *context
     )
-    plain = marked.groupBy("doc_id", "law_name").agg(F.count("level").alias("m"), text.alias("text")).where("m = 0")
+    plain = marked.groupBy("_row", "doc_id", "law_name").agg(F.count("level").alias("m"), text.alias("text")).where("m = 0")
     parent_id = chunk_id(F.lit("parent"), F.col("doc_id").cast("string"), F.col("grp").cast("string"))
     parents = parents.unionByName(plain.drop("m").withColumn("grp", F.lit(0)), allowMissingColumns=True)
     parents = parents.withColumns({"parent_chunk_id": parent_id, "chunk_type": F.lit("parent"), "char_count": F.length("text"), "child_count": F.coalesce("child_count", F.lit(0))})
@@ -185,10 +196,11 @@ def split_structured(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def route_and_split(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """df(doc_id, file_name, text, doc_type): law by structure (plain chunks if it gives no child), others plain."""
-    law, other = df.where("doc_type = 'law'"), df.where("doc_type is distinct from 'law'")
+    rows = with_rows(df.select("doc_id", "file_name", "text", "doc_type"))
+    law, other = rows.where("doc_type = 'law'"), rows.where("doc_type is distinct from 'law'")
     parents, children = split_structured(law)
-    with_child = children.select("doc_id").distinct()
-    plain = other.unionByName(law.join(with_child, "doc_id", "left_anti"))
-    pieces = split_recursive(plain, size, overlap).join(plain.select("doc_id", "doc_type"), "doc_id")
-    parts = parents.join(with_child, "doc_id", "left_semi").unionByName(children, allowMissingColumns=True).withColumn("doc_type", F.lit("law"))
+    with_child = children.select("_row").distinct()
+    plain = other.unionByName(law.join(with_child, "_row", "left_anti"))
+    pieces = split_recursive(plain, size, overlap, keep=("_row", "doc_type"))
+    parts = parents.join(with_child, "_row", "left_semi").unionByName(children, allowMissingColumns=True).withColumn("doc_type", F.lit("law"))
     return pieces.withColumn("chunk_type", F.lit("plain")).unionByName(parts, allowMissingColumns=True)

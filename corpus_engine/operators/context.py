@@ -51,23 +51,54 @@ def history_budget(messages: DataFrame, window: int = 30_000, reserved: int = 2_
 
 
 def repeat_queries(messages: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """User messages whose characters are much like those of an earlier one of the session."""
-    asked = messages.where("role = 'user'").select("session_id", "id", "created_at", characters(F.col("content")).alias("c"))
-    before = asked.select("session_id", F.col("id").alias("_id"), F.col("created_at").alias("_at"), F.col("c").alias("_c"))
-    earlier = (F.col("_at") < F.col("created_at")) | ((F.col("_at") == F.col("created_at")) & (F.col("_id") < F.col("id")))
-    like = jaccard(F.array_distinct("c"), F.array_distinct("_c"))
-    pairs = asked.join(before, "session_id").where(earlier).withColumn("like", F.round(like, 6)).where(F.col("like") > threshold)
-    return pairs.groupBy("session_id", "id").agg(F.max("like").alias("likeness"))
+    """User messages whose characters are much like those of an earlier one of the session.
+
+    A session's messages are reduced to their different sets of characters. Sets of a likeness above
+    the threshold share one of the first characters, rarest first, of which a set of n has
+    n - ceil(threshold * n) + 1; only sets that do are compared. Empty texts are like none.
+    """
+    asked = messages.where("role = 'user'").select(
+        "session_id", "id", "created_at", F.array_sort(F.array_distinct(characters(F.coalesce("content", F.lit(""))))).alias("c")
+    ).where(F.size("c") > 0)
+    asked = asked.withColumn("set", F.xxhash64("c"))
+    sets = asked.groupBy("session_id", "set", "c").agg(F.min(F.struct("created_at", "id")).alias("first"))
+    single = sets.select("session_id", "set", "c", F.explode("c").alias("ch"))
+    rare = single.groupBy("ch").agg(F.count("*").alias("_n")).withColumnRenamed("ch", "_ch")
+    own = Window.partitionBy("session_id", "set", "c").orderBy("_n", "ch")
+    n = F.size("c")
+    prefix = single.join(rare, F.col("ch") == F.col("_ch")).withColumn("_k", F.row_number().over(own))
+    prefix = prefix.where(F.col("_k") <= n - F.ceil(F.lit(threshold) * n) + 1).select("session_id", "ch", "set", "c")
+    other = prefix.select(F.col("session_id").alias("_s"), F.col("ch").alias("_ch"), F.col("set").alias("_set"), F.col("c").alias("_c"))
+    met = prefix.join(other, (F.col("session_id") == F.col("_s")) & (F.col("ch") == F.col("_ch")) & ((F.col("set") != F.col("_set")) | (F.col("c") != F.col("_c"))))
+    pairs = met.select("session_id", "set", "c", "_set", "_c").distinct().withColumn("like", F.round(jaccard(F.col("c"), F.col("_c")), 6))
+    pairs = pairs.where(F.col("like") > threshold)
+    same = sets.select("session_id", "set", "c", F.lit(1.0).alias("like"), "first")
+    firsts = sets.select(F.col("session_id").alias("_s"), F.col("set").alias("_set2"), F.col("c").alias("_c2"), "first")
+    near = pairs.join(firsts, (F.col("session_id") == F.col("_s")) & (F.col("_set") == F.col("_set2")) & (F.col("_c") == F.col("_c2")))
+    near = near.select("session_id", "set", "c", "like", "first").unionByName(same)
+    near = near.select(F.col("session_id").alias("_s"), F.col("set").alias("_set"), F.col("c").alias("_c"), "like", "first")
+    earlier = (F.col("session_id") == F.col("_s")) & (F.col("set") == F.col("_set")) & (F.col("c") == F.col("_c")) & (F.col("first") < F.struct("created_at", "id"))
+    return asked.join(near, earlier).groupBy("session_id", "id").agg(F.max("like").alias("likeness"))
 
 
 def session_summary(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session_id").agg(F.max("created_at").alias("updated_at"), F.count("*").alias("messages"))
 
 
+SOURCES = "array<struct<content:string,metadata:map<string,string>,score:double>>"
+
+
 def session_detail(sessions: DataFrame, messages: DataFrame) -> DataFrame:
-    """sessions(session_id, title) with their messages in order."""
-    parts = F.sort_array(F.collect_list(F.struct("created_at", "id", "role", "content")))
-    found = messages.groupBy("session_id").agg(parts.alias("messages"))
+    """sessions(session_id, title) with their messages in order; `sources` texts are decoded, bad JSON gives null."""
+    held = ["created_at", "id", "role", "content"]
+    if "sources" in messages.columns:
+        decoded = F.from_json("sources", SOURCES)
+        messages = messages.withColumn("sources", F.when(F.exists(decoded, lambda s: s.isNotNull()) | (F.size(decoded) == 0), decoded))
+        held.append("sources")
+    parts = F.collect_list(F.struct(*held))
+    ordered = F.array_sort(parts, lambda a, b: F.when((a["created_at"] < b["created_at"]) | ((a["created_at"] == b["created_at"]) & (a["id"] < b["id"])), -1).when(
+        (a["created_at"] == b["created_at"]) & (a["id"] == b["id"]), 0).otherwise(1))
+    found = messages.groupBy("session_id").agg(ordered.alias("messages"))
     return sessions.join(found, "session_id", "left")
 
 
@@ -103,22 +134,67 @@ def delete_sessions(sessions: DataFrame, messages: DataFrame, ids: DataFrame) ->
     return sessions.join(gone, "session_id", "left_anti"), messages.join(gone, "session_id", "left_anti")
 
 
-def append_messages(sessions: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all messages, new ones of unknown sessions)."""
+def append_messages(sessions: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all messages, new ones of unknown sessions, sessions with the time of their last new message as updated_at).
+
+    `sources` of new messages, an array of structs, are kept as JSON; an empty one as null.
+    """
+    if "sources" in new.columns:
+        new = new.withColumn("sources", F.when(F.size("sources") > 0, F.to_json("sources")))
     known = new.join(sessions.select("session_id"), "session_id", "left_semi")
-    return messages.unionByName(known, allowMissingColumns=True), new.join(sessions.select("session_id"), "session_id", "left_anti")
+    last = known.groupBy("session_id").agg(F.max("created_at").alias("_at"))
+    held = F.col("updated_at") if "updated_at" in sessions.columns else F.lit(None).cast("timestamp")
+    touched = sessions.join(last, "session_id", "left").withColumn("updated_at", F.coalesce("_at", held)).drop("_at")
+    unknown = new.join(sessions.select("session_id"), "session_id", "left_anti")
+    return messages.unionByName(known, allowMissingColumns=True), unknown, touched
+
+
+def create_sessions(new: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """new(session_id, title) appended to sessions; without a title one is called 新对话."""
+    made = new.withColumn("title", F.coalesce("title", F.lit(NEW_TITLE)))
+    return made if sessions is None else sessions.unionByName(made, allowMissingColumns=True)
 
 
 def retitle_sessions(sessions: DataFrame, titles: DataFrame) -> DataFrame:
-    new = titles.select("session_id", F.col("title").alias("_new")).dropDuplicates(["session_id"])
+    """titles(session_id, title) replace titles; of several for a session the greatest counts, null ones do nothing."""
+    new = titles.groupBy("session_id").agg(F.max("title").alias("_new"))
     return sessions.join(new, "session_id", "left").withColumn("title", F.coalesce("_new", "title", F.lit(NEW_TITLE))).drop("_new")
 
 
+CONTEXT_HEAD = "检索到的文档内容：\n"
+
+
 def context_block(results: DataFrame) -> DataFrame:
-    """results(query_id, rank, source, text) -> query_id, context: numbered parts with their sources."""
-    part = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] 来源: "), "source", F.lit("\n内容: "), "text")
-    parts = F.sort_array(F.collect_list(F.struct("rank", part.alias("t"))))
-    return results.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n---\n\n").alias("context"))
+    """results(query_id, rank, source, text) -> query_id, context: numbered parts with their sources.
+
+    Null sources are 未知, null texts empty; parts are numbered by rank, then text.
+    """
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "text"))
+    part = F.concat(
+        F.lit("["), F.col("_n").cast("string"), F.lit("] 来源: "), F.coalesce(F.col("source").cast("string"), F.lit("未知")), F.lit("\n内容: "), F.coalesce("text", F.lit(""))
+    )
+    parts = F.sort_array(F.collect_list(F.struct("_n", part.alias("t"))))
+    joined = F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n---\n\n")
+    return results.withColumn("_n", place).groupBy("query_id").agg(F.concat(F.lit(CONTEXT_HEAD), joined).alias("context"))
+
+
+# The instructions before a question, with and without retrieved documents.
+RETRIEVED = "{retrieval_block}"
+
+
+def select_prompt(queries: DataFrame, templates: DataFrame, contexts: DataFrame, default: str) -> DataFrame:
+    """queries(query_id, query_type), templates(query_type, with_context, without_context) -> query_id, prompt.
+
+    contexts(query_id, context) fill {retrieval_block}. A query without a context, or with an empty
+    one, takes the text for that of its type, or of the default type; unknown types count as the default.
+    The templates are a small table that the caller writes; Spark checks its size.
+    """
+    named = templates.select(F.col("query_type").alias("_type"), "with_context", "without_context")
+    usual = F.broadcast(templates.where(F.col("query_type") == default).agg(F.max("with_context").alias("_with"), F.max("without_context").alias("_without")))  # one row
+    met = queries.select("query_id", "query_type").join(named, F.col("query_type") == F.col("_type"), "left").join(usual)
+    met = met.join(contexts.select("query_id", F.nullif("context", F.lit("")).alias("context")), "query_id", "left")
+    filled = F.replace(F.coalesce("with_context", "_with"), F.lit(RETRIEVED), F.col("context"))
+    return met.select("query_id", F.coalesce(filled, "without_context", "_without").alias("prompt"))
 
 
 def last_messages(messages: DataFrame, n: int = 5) -> DataFrame:

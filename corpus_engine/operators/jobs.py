@@ -7,17 +7,34 @@ from pyspark.sql import functions as F
 
 from corpus_engine.functions import rules, text
 from corpus_engine.operators import chunk, search, store
+from corpus_engine.shared import materialize
 
 
-def ingest(files: DataFrame, known: DataFrame) -> DataFrame:
-    """files(doc_id, file_name, text): new ones cleaned, classified and cut into chunks of both kinds."""
-    fresh = store.dedup_ingest(files, known).select("doc_id", "file_name", "text")
-    cleaned = text.clean_corpus(fresh, steps=(text.strip, text.strip_tags, text.strip_control))
-    return chunk.route_and_split(rules.classify_documents(cleaned).select("doc_id", "file_name", "text", "doc_type"))
+def ingest(files: DataFrame, known: DataFrame, steps: tuple = text.DEFAULT_STEPS) -> DataFrame:
+    """files(doc_id, file_name, text): new ones cleaned by all steps, classified and cut into chunks of both kinds.
+
+    Markdown files pass as they are. Chunks carry the file's hash and the confidence of its kind.
+    """
+    fresh = store.dedup_ingest(files, known).select("doc_id", "file_name", "text", "file_hash")
+    cleaned = text.clean_corpus(fresh, steps=steps, source="file_name").select("doc_id", "file_name", "text", "file_hash")
+    kinds = rules.classify_documents(cleaned)
+    facts = kinds.select("doc_id", "file_hash", F.col("confidence").alias("classification_confidence"))
+    chunks = chunk.route_and_split(kinds.select("doc_id", "file_name", "text", "doc_type"))
+    return chunks.join(facts, "doc_id")
+
+
+def stored(chunks: DataFrame, path: str, collection: str, dims: int = 64) -> DataFrame:
+    """Chunks with ids and hash vectors appended to a collection at `path`; gives back what the store then holds."""
+    numbered = chunks.withColumn("chunk_id", F.coalesce("chunk_id", chunk.chunk_id(F.col("doc_id").cast("string"), F.col("chunk_type"), F.coalesce(F.col("chunk_index"), F.col("grp")).cast("string"))))
+    numbered = numbered.select("chunk_id", "doc_id", "doc_type", "chunk_type", "text")
+    found = search.hash_vectors(numbered, "chunk_id", dims).withColumnRenamed("chunk_id", "_id")
+    store.append_to_collection(numbered.join(found, F.col("chunk_id") == F.col("_id"), "left").drop("_id"), path, collection)
+    return chunks.sparkSession.read.parquet(path)
 
 
 def ingest_summary(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("doc_id", "doc_type").agg(F.count("*").alias("chunk_count"))
+    """For each file: how many chunks, its kind and how sure that is, its hash."""
+    return chunks.groupBy("doc_id", "doc_type", "classification_confidence", "file_hash").agg(F.count("*").alias("chunk_count"))
 
 
 def preprocess_summary(docs: DataFrame) -> DataFrame:
@@ -59,20 +76,41 @@ def top_score_confidence(queries: DataFrame, ranked: DataFrame) -> DataFrame:
     return met.select("query_id", F.coalesce("_s", F.lit(0.0)).alias("confidence"), F.when(F.col("_s").isNull(), "general").otherwise("rag").alias("question_type"))
 
 
-def knn_search_approx(queries: DataFrame, vectors: DataFrame, k: int, width: float = 1.0, tables: int = 8, far: float = 1.6) -> DataFrame:
+def knn_search_approx(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 4, width: float = 2.0) -> DataFrame:
     """knn_search by random projections: only pairs that share a bucket of a table are compared.
 
     queries(query_id, v), vectors(chunk_id, v) -> query_id, chunk_id, distance (squared), rank.
+    Buckets are `width` deviations of a projection wide, measured on the vectors; any distance counts.
+    Queries that meet fewer than k vectors are answered exactly. Vectors as in knn_search take part;
+    those of one length only, the commonest.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.select("chunk_id", array_to_vector(F.col("v").cast("array<double>")).alias("features"))
-    asked = queries.select("query_id", array_to_vector(F.col("v").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=1).fit(rows)
-    pairs = model.approxSimilarityJoin(asked, rows, far, "d")
+    sound = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x))
+    rows = vectors.select("chunk_id", F.col("v").cast("array<double>").alias("v")).where(sound)
+    asked = queries.select("query_id", F.col("v").cast("array<double>").alias("v")).where(sound)
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.sum(square).alias("sum")).collect()  # a row a length
+    if not sizes:
+        return search.knn_search(asked, rows, k)
+    common = max(sizes, key=lambda r: (r.n, r.dims))
+    rows, asked = (df.where(F.size("v") == common.dims) for df in (rows, asked))
+    deviation = (common["sum"] / common.n / common.dims) ** 0.5 or 1.0
+    points = lambda df, key: df.select(key, array_to_vector("v").alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width * deviation, numHashTables=tables, seed=1)
+    pairs = model.fit(points(rows, "chunk_id")).approxSimilarityJoin(points(asked, "query_id"), points(rows, "chunk_id"), float("inf"), "d")
     near = pairs.select("datasetA.query_id", "datasetB.chunk_id", F.round(F.col("d") * F.col("d"), 6).alias("distance"))
-    return search.top_k(near, k, [F.col("distance"), F.col("chunk_id")])
+    best = materialize(search.top_k(near, k, [F.col("distance"), F.col("chunk_id")]), "knn-approx")
+    full = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+    short = asked.join(full, "query_id", "left_anti")
+    return best.join(full, "query_id", "left_semi").unionByName(search.knn_search(short, rows, k).select(*best.columns))
+
+
+def distinct_kinds(findings: DataFrame) -> DataFrame:
+    """findings(doc_id, error_type, rule, description, severity): of a document, type and rule the first by description and severity."""
+    first = F.min(F.struct("description", "severity"))
+    return findings.groupBy("doc_id", "error_type", "rule").agg(first.alias("f")).select("doc_id", "error_type", "rule", "f.description", "f.severity")
 
 
 def distinct_findings(findings: DataFrame, ratio: float = 0.8) -> DataFrame:

@@ -109,6 +109,12 @@ def generation_metrics(answers: DataFrame) -> DataFrame:
     )
 
 
+def ground_truth_coverage(samples: DataFrame) -> DataFrame:
+    """samples(source_type, ground_truth) -> source_type (null: all), samples, evaluated (those with a truth)."""
+    has = F.count_if(F.size("ground_truth") > 0)
+    return samples.groupingSets([("source_type",), ()], "source_type").agg(F.count("*").alias("samples"), has.alias("evaluated"))
+
+
 def answer_confidence(hits: DataFrame) -> DataFrame:
     """hits(query_id, score) -> query_id, confidence = min((0.6 max + 0.4 mean) * min(n / 5, 1), 1)."""
     raw = (0.6 * F.max("score") + 0.4 * F.avg("score")) * F.least(F.count("*") / 5, F.lit(1.0))

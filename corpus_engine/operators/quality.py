@@ -13,6 +13,11 @@ REPEATED = r"([!.，。？！,;:\\\-])\1+"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 WORD = r"[\p{L}\p{N}_]+"
 ODD_CASE = r"^(?:[a-z]*[A-Z][a-z]*[A-Z][a-zA-Z]*|[A-Z]*[a-z][A-Z]*[a-z][a-zA-Z]*)$"
+#: Words that may be odd: of Latin letters, with a small one, and two capitals in a row or case that changes often.
+MIXED_WORD = (
+    r"(?<![\p{L}\p{N}_])(?=[A-Za-z]*[a-z])(?=[A-Za-z]*(?:[A-Z][A-Z]|[a-z][A-Z]+[a-z]+[A-Z]+[a-z]))[A-Za-z]+(?![\p{L}\p{N}_])"
+)
+MARKS = r"[^()\[\]{}【】（）]"
 URL_LINE, MAIL_LINE = r"^https?://", r"^[\w.-]+@[\w.-]+\.\w+$"
 RULES = {
     "spaces": ("format", "low"), "newlines": ("format", "low"), "odd_case": ("case", "medium"), "repeated": ("punctuation", "low"),
@@ -29,12 +34,12 @@ def odd_case(text: Column) -> Column:
         mixed = word.rlike("[a-z]") & word.rlike("[A-Z]")
         return mixed & ((runs - 1 > 4) | (word.rlike("^[a-z]") & pair) | (word.rlike("^[A-Z]") & pair & (capitals > 4)))
 
-    return F.size(F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: w.rlike(ODD_CASE) & odd(w)))
+    return F.size(F.filter(F.regexp_extract_all(text, F.lit(MIXED_WORD), F.lit(0)), lambda w: w.rlike(ODD_CASE) & odd(w)))
 
 
-def unmatched(text: Column, open_: str, close: str) -> Column:
-    """Closing brackets without an opening one, and opening ones that stay open."""
-    marks = F.filter(F.split(F.regexp_replace(text, f"[^\\{open_}\\{close}]", ""), ""), lambda c: c != "")
+def unmatched(brackets: Column, open_: str, close: str) -> Column:
+    """Closing brackets without an opening one, and opening ones that stay open, of a text's brackets as an array."""
+    marks = F.filter(brackets, lambda c: c.isin(open_, close))
     start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("lost"))
 
     def step(s: Column, c: Column) -> Column:
@@ -59,13 +64,16 @@ def symbols(text: Column) -> Column:
             url = F.regexp_extract(context, r"https?://\S*", 0)
             return ~url.contains(symbol) & ~context.rlike(r"^[\w.-]*@")
 
-        skip = F.trim(line).rlike(URL_LINE) | F.trim(line).rlike(MAIL_LINE) | ~line.rlike("[&@#]")
+        skip = ~line.rlike("[&@#]") | F.trim(line).rlike(URL_LINE) | F.trim(line).rlike(MAIL_LINE)
         return F.when(skip, 0).otherwise(F.size(F.filter(places, counts)))
 
-    return F.aggregate(F.transform(F.split(text, "\n"), in_line), F.lit(0), lambda s, n: s + n)
+    marked = F.filter(F.split(text, "\n"), lambda line: line.rlike("[&@#]"))
+    return F.when(~text.rlike("[&@#]"), 0).otherwise(F.aggregate(F.transform(marked, in_line), F.lit(0), lambda s, n: s + n))
 
 
 def rule_counts(text: Column) -> dict[str, Column]:
+    found = F.regexp_replace(text, MARKS, "")
+    brackets = F.filter(F.split(found, ""), lambda c: c != "")
     return {
         "spaces": F.regexp_count(text, F.lit(" {3,}")),
         "newlines": F.regexp_count(text, F.lit("\n{3,}")),
@@ -73,7 +81,7 @@ def rule_counts(text: Column) -> dict[str, Column]:
         "repeated": F.regexp_count(text, F.lit(REPEATED)),
         "symbols": symbols(text),
         "controls": F.regexp_count(text, F.lit(CONTROL)),
-        "brackets": sum((unmatched(text, a, b) for a, b in BRACKETS), F.lit(0)),
+        "brackets": F.when(found == "", 0).otherwise(sum((unmatched(brackets, a, b) for a, b in BRACKETS), F.lit(0))),
     }
 
 
@@ -105,8 +113,49 @@ def compare_before_after(before: DataFrame, after: DataFrame) -> DataFrame:
     return met.withColumns({"errors_reduced": fewer, "reduction_rate": rate})
 
 
+def _odd_word(word: str) -> bool:
+    import re
+
+    if not re.fullmatch(ODD_CASE[1:-1], word) or not re.search("[a-z]", word) or not re.search("[A-Z]", word):
+        return False
+    pair, capitals = re.search("[A-Z][A-Z]", word), sum(c.isupper() for c in word)
+    return len(re.findall("[A-Z]+|[a-z]+", word)) > 5 or bool(pair and (word[0].islower() or capitals > 4))
+
+
+def _symbol_places(text: str) -> Iterator[int]:
+    import re
+
+    at = 0
+    for line in text.split("\n"):
+        bare = line.strip(" ")
+        if not re.match(URL_LINE, bare) and not re.fullmatch(MAIL_LINE[1:-1], bare, re.ASCII):
+            for m in re.finditer("[&@#]", line):
+                context = line[max(m.start() - 10, 0) : m.start() + 11]
+                url = re.search(r"https?://\S*", context, re.ASCII)
+                if not (url and m[0] in url[0]) and not re.match(r"[\w.-]*@", context, re.ASCII):
+                    yield at + m.start()
+        at += len(line) + 1
+
+
+def _bracket_places(text: str) -> Iterator[int]:
+    for open_, close in BRACKETS:
+        held = []
+        for at, c in enumerate(text):
+            if c == open_:
+                held.append(at)
+            elif c == close:
+                if held:
+                    held.pop()
+                else:
+                    yield at
+        yield from held
+
+
 def finding_positions(df: DataFrame) -> DataFrame:
-    """df(doc_id, text) -> doc_id, rule, position, length of the findings that patterns give."""
+    """df(doc_id, text) -> doc_id, rule, position, length of every finding of every rule.
+
+    There are as many as quality_findings counts. Positions are code points from 0.
+    """
     import pandas as pd
 
     patterns = {"spaces": " {3,}", "newlines": "\n{3,}", "repeated": REPEATED, "controls": CONTROL}
@@ -115,11 +164,19 @@ def finding_positions(df: DataFrame) -> DataFrame:
         import re
 
         compiled = {name: re.compile(p) for name, p in patterns.items()}
+        words = re.compile("[A-Za-z]+")
         for part in parts:
-            rows = [
-                (doc_id, name, m.start(), m.end() - m.start())
-                for doc_id, text in zip(part["doc_id"], part["text"]) for name, p in compiled.items() for m in p.finditer(text or "")
-            ]
+            rows = []
+            for doc_id, text in zip(part["doc_id"], part["text"]):
+                text = text or ""
+                rows += [(doc_id, name, m.start(), m.end() - m.start()) for name, p in compiled.items() for m in p.finditer(text)]
+                for m in words.finditer(text):
+                    edges = text[m.start() - 1 : m.start()] + text[m.end() : m.end() + 1]
+                    if not any(c.isalnum() or c == "_" for c in edges) and _odd_word(m[0]):
+                        rows.append((doc_id, "odd_case", m.start(), m.end() - m.start()))
+                rows += [(doc_id, "symbols", at, 1) for at in _symbol_places(text)]
+                rows += [(doc_id, "brackets", at, 1) for at in _bracket_places(text)]
             yield pd.DataFrame(rows, columns=["doc_id", "rule", "position", "length"])
 
-    return df.select("doc_id", "text").mapInPandas(run, "doc_id long, rule string, position int, length int")
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return df.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, rule string, position int, length int")

@@ -63,30 +63,48 @@ def query_terms(queries: DataFrame, tokenizer: Callable[[Column], Column] = toke
     )
 
 
-def bm25_scores(terms: DataFrame, index: Index, k1: float = K1, b: float = B) -> DataFrame:
-    """All matches of query terms: query_id, chunk_id, score. Statistics are those of the whole index."""
-    weighted = terms.join(index.terms, "term")
-    matches = weighted.join(index.postings, "term").join(F.broadcast(index.totals))  # one row
-    tf = F.col("tf")
-    norm = tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    return matches.groupBy("query_id", "chunk_id").agg(
-        F.sum(F.col("qtf") * F.col("idf") * tf * (k1 + 1) / norm).alias("score")
-    )
+#: Most rows of weighted query terms that are broadcast at once.
+QUERY_TERMS = 200_000
 
 
-def bm25_search(queries: DataFrame, index: Index, k: int, keep: DataFrame | None = None) -> DataFrame:
-    """The k best chunks of each query; `keep`(chunk_id) filters after scoring. Only matched chunks are listed."""
-    scores = bm25_scores(query_terms(queries), index)
+def bm25_scores(terms: DataFrame, index: Index, k1: float = K1, b: float = B, keep: DataFrame | None = None, tile_rows: int = QUERY_TERMS) -> DataFrame:
+    """All matches of query terms: query_id, chunk_id, score. Statistics are those of the whole index.
+
+    The postings are dealt out by chunk, once; the queries' terms come to them in tiles of about
+    tile_rows rows, each broadcast after its rows were counted (one query with more terms than that
+    is left to Spark). So a chunk's scores are summed where its postings lie, and matches are not
+    shuffled. keep(chunk_id): only these chunks are scored.
+    """
+    weighted = terms.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    weighted = materialize(weighted, "query-terms")
+    tiles = max(1, -(-weighted.count() // tile_rows))
+    placed = weighted.withColumn("_tile", F.pmod(F.xxhash64("query_id"), F.lit(tiles)))
+    sizes = {r._tile: r["count"] for r in placed.groupBy("_tile").count().collect()}  # a number a tile
+    postings = index.postings.repartition("chunk_id")
     if keep is not None:
-        scores = scores.join(keep.select("chunk_id"), "chunk_id", "left_semi")
-    scores = scores.withColumn("score", F.round("score", 6))
+        postings = postings.join(keep.select("chunk_id"), "chunk_id", "left_semi")
+    tf = F.col("tf")
+    norm = tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+    out = None
+    for tile in range(tiles):
+        own = placed.where(F.col("_tile") == tile).drop("_tile")
+        own = F.broadcast(own) if sizes.get(tile, 0) <= 4 * tile_rows else own
+        matches = postings.join(own, "term").join(F.broadcast(index.totals))  # one row
+        part = matches.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * tf * (k1 + 1) / norm).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def bm25_search(
+    queries: DataFrame, index: Index, k: int, keep: DataFrame | None = None, tokenizer: Callable[[Column], Column] = tokenize
+) -> DataFrame:
+    """The k best chunks of each query; `keep`(chunk_id) filters results, not statistics. Only matched chunks are listed."""
+    scores = bm25_scores(query_terms(queries, tokenizer), index, keep=keep).withColumn("score", F.round("score", 6))
     return top_k(scores, k, best_first()).select("query_id", "chunk_id", "rank", "score")
 
 
-def hash_vectors(rows: DataFrame, key: str, dims: int = 64, tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
-    """rows(key, text) -> key, v array<double>: signed term hashing, unit length; no tokens: no row."""
-    terms = rows.select(key, F.explode(tokenizer(F.col("text"))).alias("term"))
-    parts = terms.groupBy(key, hash_place(F.col("term"), dims).alias("at")).agg(F.sum(hash_sign(F.col("term"))).alias("w"))
+def _unit_vectors(parts: DataFrame, key: str, dims: int) -> DataFrame:
+    """parts(key, at, w) -> key, v of unit length; rows that come to nothing have none."""
     held = parts.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
     )
@@ -94,6 +112,19 @@ def hash_vectors(rows: DataFrame, key: str, dims: int = 64, tokenizer: Callable[
     return held.where("norm > 0").select(key, values.alias("v"))
 
 
+def posting_vectors(index: Index, dims: int = 64) -> DataFrame:
+    """hash_vectors of the indexed chunks, from their postings: texts are not read again."""
+    weight = F.sum(hash_sign(F.col("term")) * F.col("tf"))
+    return _unit_vectors(index.postings.groupBy("chunk_id", hash_place(F.col("term"), dims).alias("at")).agg(weight.alias("w")), "chunk_id", dims)
+
+
+def hash_vectors(rows: DataFrame, key: str, dims: int = 64, tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
+    """rows(key, text) -> key, v array<double>: signed term hashing, unit length; no tokens: no row."""
+    terms = rows.select(key, F.explode(tokenizer(F.col("text"))).alias("term"))
+    parts = terms.groupBy(key, hash_place(F.col("term"), dims).alias("at")).agg(F.sum(hash_sign(F.col("term"))).alias("w"))
+    return _unit_vectors(parts, key, dims)
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
@@ -113,18 +144,21 @@ def knn_search(
     Exact: every block of vectors meets every block of queries in a task of its own, which gives
     its k nearest a query (and group); these are merged. Both sides are dealt into blocks by
     hash, about block_rows each. Distances are rounded to six places before they are compared.
-    Null vectors take no part.
+    Vectors that are null or hold a null or non-finite component take no part; vectors of different
+    lengths do not meet. Under cosine a zero vector is at distance 1 of all.
     """
     spark = vectors.sparkSession
     ship(spark)
     groups = groups or []
-    asked = queries.select("query_id", F.col("v").cast("array<double>").alias("v")).where("v is not null")
-    rows = vectors.select("chunk_id", *groups, F.col("v").cast("array<double>").alias("v")).where("v is not null")
+    sound = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x))
+    asked = queries.select("query_id", F.col("v").cast("array<double>").alias("v")).where(sound)
+    rows = vectors.select("chunk_id", *groups, F.col("v").cast("array<double>").alias("v")).where(sound)
     n_rows, n_asked = -(-max(rows.count(), 1) // block_rows), -(-max(asked.count(), 1) // block_rows)
     left = rows.withColumn("i", F.pmod(F.xxhash64("chunk_id"), F.lit(n_rows)).cast("int"))
     left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
     right = asked.withColumn("j", F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).cast("int"))
     right = right.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
+    left, right = (side.withColumn("_size", F.size("v")) for side in (left, right))
 
     def matrix(table: pa.Table) -> np.ndarray:
         column = table.column("v").combine_chunks()
@@ -151,7 +185,8 @@ def knn_search(
                     elif metric == "dot":
                         d = -(own * one).sum(1)
                     else:
-                        d = 1 - (own * one).sum(1) / np.sqrt((own**2).sum(1) * (one**2).sum())
+                        length = np.sqrt((own**2).sum(1) * (one**2).sum())
+                        d = 1 - np.divide((own * one).sum(1), length, out=np.zeros(len(own)), where=length > 0)
                     d = np.round(d, 6)
                     best = np.argpartition(d, k)[: k + 1] if len(d) > k + 1 else np.arange(len(d))
                     best = np.flatnonzero(d <= d[best].max()) if len(d) > k + 1 else best
@@ -169,7 +204,8 @@ def knn_search(
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | {"query_id": asked.schema["query_id"].dataType.simpleString()}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("query_id", *groups, "chunk_id")) + ", distance double"
-    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(work, schema)
+    key = ("i", "j", "_size")
+    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(work, schema)
     return top_k(near, k, [F.col("distance"), F.col("chunk_id")], ("query_id", *groups))
 
 

@@ -41,8 +41,9 @@ def delete_by_ids(df: DataFrame, ids: DataFrame, key: str = "chunk_id") -> tuple
 
 
 def update_by_id(df: DataFrame, updates: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """updates(key, text) replace texts; re_embed marks rows whose text is new. Unknown ids do nothing."""
-    new = updates.select(key, F.col("text").alias("_new")).dropDuplicates([key])
+    """updates(key, text) replace texts; re_embed marks rows whose text is new. Unknown ids and null
+    texts do nothing; of several texts for an id the greatest counts."""
+    new = updates.groupBy(key).agg(F.max("text").alias("_new"))
     met = df.join(new, key, "left")
     return met.withColumns({"text": F.coalesce("_new", "text"), "re_embed": F.col("_new").isNotNull()}).drop("_new")
 
@@ -76,10 +77,19 @@ def drop_collection(spark: SparkSession, path: str, name: str, target: str) -> D
 
 
 def dedup_ingest(df: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of new content: one of each hash (the smallest id), none whose hash is known."""
-    hashed = df.withColumn("file_hash", F.sha2("text", 256))
-    first = hashed.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"))
-    return hashed.join(first, ["file_hash", "doc_id"], "left_semi").join(known.select("file_hash"), "file_hash", "left_anti")
+    """Rows of new content: one of each hash, none whose hash is known.
+
+    Of rows of one hash that of the smallest doc_id stays (null first; if several have it, the one
+    whose columns hash smallest). A null text has no content to compare: such rows all stay, their
+    file_hash is null.
+    """
+    hashed = df.withColumns({"file_hash": F.sha2("text", 256), "_row": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])})
+    fresh = hashed.join(known.select("file_hash"), "file_hash", "left_anti")
+    first = fresh.where("file_hash is not null").groupBy("file_hash").agg(F.min(F.struct("doc_id", "_row")).alias("_f"))
+    first = first.select(F.col("file_hash").alias("_hash"), F.col("_f.doc_id").alias("_id"), F.col("_f._row").alias("_of"))
+    same = (F.col("file_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of"))
+    kept = fresh.join(first, same, "left_semi").dropDuplicates(["file_hash"])  # rows that are left of a hash are equal
+    return kept.unionByName(fresh.where("file_hash is null")).select("file_hash", *[F.col(f"`{c}`") for c in df.columns])
 
 
 def compare_ids(asked: DataFrame, df: DataFrame, key: str = "chunk_id") -> DataFrame:

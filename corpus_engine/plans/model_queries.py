@@ -28,7 +28,8 @@ def model_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents of every passage as a text, and read from it again."""
-    ranked = bm25(spark, sf_dir, 8).join(whole(spark, sf_dir), "chunk_id").withColumn("source", F.concat(F.lit("doc "), F.col("chunk_id").cast("string")))
+    ranked = bm25(spark, sf_dir, 8).join(whole(spark, sf_dir), "chunk_id")
+    ranked = ranked.withColumns({"source": F.concat(F.lit("doc "), F.col("chunk_id").cast("string")), "doc_type": F.when(F.col("chunk_id") % 3 == 0, "law")})
     return parsing.parsed_observation(parsing.observation_block(ranked)).withColumn("text", F.md5("text"))
 
 
@@ -44,6 +45,6 @@ ORACLE_SQL = {
         CASE WHEN query_id % 4 = 3 OR query_id % 3 = 0 THEN 'simple' ELSE 'medium' END AS complexity, CASE WHEN query_id % 4 < 2 THEN 'model' ELSE 'rule' END AS origin FROM ({_classified_sql()}) r""",
     "model_findings": """SELECT doc_id, lang AS error_type, source AS description, 'medium' AS severity FROM documents WHERE doc_id % 2 = 0
         UNION ALL SELECT doc_id, 'case', 'd', 'high' FROM documents WHERE doc_id % 2 = 0""",
-    "observations": f"""WITH {search_queries.BM25} SELECT query_id, rank::INT AS rank, 'doc ' || chunk_id AS source, round(score, 3) AS score,
-        md5(CASE WHEN len(text) > 800 THEN substr(text, 1, 800) || '……' ELSE text END) AS text FROM ranked JOIN documents ON doc_id = chunk_id WHERE rank <= 5""",
+    "observations": f"""WITH {search_queries.BM25} SELECT query_id, rank::INT AS rank, 'doc ' || chunk_id AS source, CASE WHEN chunk_id % 3 = 0 THEN 'law' ELSE '' END AS doc_type, round(score, 3) AS score,
+        md5(trim(string_split(CASE WHEN len(text) > 800 THEN substr(text, 1, 800) || '……' ELSE text END, chr(10) || chr(10) || '---')[1])) AS text FROM ranked JOIN documents ON doc_id = chunk_id WHERE rank <= 5""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_engine.operators import assemble, chunk, metrics, search
+from corpus_engine.shared import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,9 +119,12 @@ def knn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
-    keys = whole(spark, sf_dir).select("chunk_id", F.substring("text", 1, 120).alias("key"))
-    near = vectors(spark, sf_dir, k).withColumn("score", F.round(search.distance_to_similarity(F.col("distance")), 6)).drop("distance")
-    return near.join(keys, "chunk_id"), search.minmax_norm(bm25(spark, sf_dir, k)).join(keys, "chunk_id")
+    """Lists of vectors and of words, both from one index."""
+    keys, index = whole(spark, sf_dir).select("chunk_id", F.substring("text", 1, 120).alias("key")), search.bm25_index(whole(spark, sf_dir))
+    asked = search.hash_vectors(passages(spark, sf_dir).withColumnRenamed("query", "text"), "query_id")
+    near = search.knn_search(asked, search.posting_vectors(index), k)
+    near = near.withColumn("score", F.round(search.distance_to_similarity(F.col("distance")), 6)).drop("distance")
+    return near.join(keys, "chunk_id"), search.minmax_norm(search.bm25_search(passages(spark, sf_dir), index, k)).join(keys, "chunk_id")
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,15 +175,15 @@ def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = whole(spark, sf_dir)
-    near, words = _both(spark, sf_dir, 10)
-    fused = search.rrf(near, words, k=10)
+    near, words = (materialize(part, "lists") for part in _both(spark, sf_dir, 10))
+    fused = materialize(search.rrf(near, words, k=10), "fused")
     parts = {"vector": near, "bm25": words, "fusion": fused}
     parts["dedup"] = search.dedup_keep_first(fused.join(texts, "chunk_id")).select("query_id", "chunk_id", "rank", "score")
     out = None
     for name, part in parts.items():
         part = part.select(F.lit(name).alias("stage"), "query_id", "rank", "chunk_id")
         out = part if out is None else out.unionByName(part)
-    return out.join(texts, "chunk_id")
+    return materialize(out, "stages").join(texts, "chunk_id")
 
 
 def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,12 @@ FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one in /tmp."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or FALLBACK_DIR
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine, if unset, one in /tmp."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = FALLBACK_DIR
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 

@@ -129,6 +129,15 @@ def limit_per_dataset(samples: DataFrame, n: int) -> DataFrame:
     return samples.withColumn("_n", place).where(F.col("_n") <= n).drop("_n")
 
 
+def merge_datasets(parts: list[DataFrame]) -> DataFrame:
+    """The samples of several sets one after the other, with `dataset`, the place of theirs; a fixed list of sets."""
+    out = None
+    for number, part in enumerate(parts):
+        part = part.withColumn("dataset", F.lit(number))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def drop_samples_without_truth(samples: DataFrame) -> DataFrame:
     return samples.where(F.size("ground_truth") > 0)
 

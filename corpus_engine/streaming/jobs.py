@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +37,49 @@ def corpus_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("collection").agg(F.count("*").alias("documents"))
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder of any file system that Spark reads; none if it is not there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(found)) if system.exists(found) else []
+
+
+def repeat_query_stream(messages: DataFrame, threshold: float = 0.6, hold: str = "1 day") -> DataFrame:
+    """context.repeat_queries over a stream: session_id, id, likeness of messages like an earlier one of their session.
+
+    messages: a stream of (session_id, id, role, content, created_at). Earlier means that it came before, or in
+    the same batch at an earlier time. A session's state is the different sets of characters it has
+    seen, and goes when the watermark passes `hold` after its last message.
+    """
+    import pandas as pd
+
+    asked = messages.where("role = 'user'").select("session_id", "id", "content", "created_at").withWatermark("created_at", hold)
+    key = messages.schema["session_id"].dataType.simpleString()
+    name = messages.schema["id"].dataType.simpleString()
+
+    def seen(session: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values(["created_at", "id"])
+        known = [frozenset(s) for s in state.get[0]] if state.exists else []
+        out = []
+        for row in rows.itertuples(index=False):
+            own = frozenset(row.content or "")
+            like = max((round(len(own & k) / len(own | k), 6) for k in known), default=0.0) if own else 0.0
+            if like > threshold:
+                out.append((session[0], row.id, like))
+            if own and own not in known:
+                known.append(own)
+        state.update((["".join(sorted(k)) for k in known],))
+        state.setTimeoutTimestamp(int(max(rows.created_at.max().timestamp() * 1000, state.getCurrentWatermarkMs())) + 1 + int(pd.Timedelta(hold).total_seconds() * 1000))
+        yield pd.DataFrame(out, columns=["session_id", "id", "likeness"])
+
+    return asked.groupBy("session_id").applyInPandasWithState(
+        seen, f"session_id {key}, id {name}, likeness double", "sets array<string>", "append", "EventTimeTimeout"
+    )
+
+
 def stream_ingest(
     spark: SparkSession, source: DataFrame, prepare: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, late: str = "1 day"
 ) -> StreamingQuery:
@@ -50,12 +93,9 @@ def stream_ingest(
 
     def append(batch: DataFrame, number: int) -> None:
         path = f"{sink}/batch={number}"
-        try:
-            held = spark.read.parquet(sink).where(F.col("batch") != number).select("file_hash")
+        if others := [p for p in folders(spark, sink) if p != f"batch={number}"]:
+            held = spark.read.parquet(*[f"{sink}/{p}" for p in others]).select("file_hash")
             batch = batch.join(held, "file_hash", "left_anti")
-        except Exception as error:  # the first batch finds no sink
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
         prepare(batch).write.mode("overwrite").parquet(path)
 
     return fresh.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -53,6 +53,7 @@ def map_texts(
             for start, texts in parts(batch.column(at)):
                 kept = [batch.column(i).slice(start, len(texts)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *do(texts)], names=[f"k{i}" for i in range(len(keep))] + made)
+            pa.default_memory_pool().release_unused()  # workers live on, what they hold adds up
 
     out = rows.mapInArrow(run, ", ".join([*fields, schema]))
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *made)

@@ -25,7 +25,7 @@ from corpus_engine.llm.batches import map_texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of a worker's table of neighbour pairs.
-PAIRS = 500_000
+PAIRS = 250_000
 
 
 def last_merge(data: bytes, ranks: dict[bytes, int]) -> tuple[list[int], tuple[bytes, bytes] | None]:

@@ -265,6 +265,7 @@ def encoded(rows: DataFrame, tokenizer_path: str, starts: list[tuple]) -> DataFr
                 kept = [batch.column(i).slice(start, len(texts)) for i in range(len(ORDER))]
                 part = [max(0, bisect_right(starts, key) - 1) for key in zip(*[k.to_pylist() for k in kept])]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(part, pa.int32()), pa.array(ids, pa.binary())], names=[*ORDER, "part", "ids"])
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, "known int, doc_id bigint, h bigint, row bigint, part int, ids binary")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a worker's tables of pieces.
-PIECES = 200_000
+PIECES = 100_000
 #: Nothing, or white space at an end: what any of the libraries takes for white space.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 BLANK = f"^$|^{SPACE}|{SPACE}$"

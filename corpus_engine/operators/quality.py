@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ ODD_CASE = r"^(?:[a-z]*[A-Z][a-z]*[A-Z][a-zA-Z]*|[A-Z]*[a-z][A-Z]*[a-z][a-zA-Z]*
 MIXED_WORD = (
     r"(?<![\p{L}\p{N}_])(?=[A-Za-z]*[a-z])(?=[A-Za-z]*(?:[A-Z][A-Z]|[a-z][A-Z]+[a-z]+[A-Z]+[a-z]))[A-Za-z]+(?![\p{L}\p{N}_])"
 )
-MARKS = r"[^()\[\]{}【】（）]"
+MARKS = r"[^()\[\]{}【】（）]+"
 URL_LINE, MAIL_LINE = r"^https?://", r"^[\w.-]+@[\w.-]+\.\w+$"
 RULES = {
     "spaces": ("format", "low"), "newlines": ("format", "low"), "odd_case": ("case", "medium"), "repeated": ("punctuation", "low"),
@@ -52,10 +52,14 @@ def unmatched(brackets: Column, open_: str, close: str) -> Column:
     return F.aggregate(marks, start, step, lambda s: s["open"] + s["lost"])
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def symbols(text: Column) -> Column:
     """& @ # outside of lines that are URLs or mail addresses, and of such places within lines."""
-    def in_line(line: Column) -> Column:
-        chars = F.split(line, "")
+    def in_chars(line: Column, chars: Column) -> Column:
         places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(line), F.lit(1))), lambda i: F.try_element_at(chars, i).isin("&", "@", "#"))
 
         def counts(i: Column) -> Column:
@@ -64,8 +68,11 @@ def symbols(text: Column) -> Column:
             url = F.regexp_extract(context, r"https?://\S*", 0)
             return ~url.contains(symbol) & ~context.rlike(r"^[\w.-]*@")
 
+        return F.size(F.filter(places, counts))
+
+    def in_line(line: Column) -> Column:
         skip = ~line.rlike("[&@#]") | F.trim(line).rlike(URL_LINE) | F.trim(line).rlike(MAIL_LINE)
-        return F.when(skip, 0).otherwise(F.size(F.filter(places, counts)))
+        return F.when(skip, 0).otherwise(bound(F.split(line, ""), lambda chars: in_chars(line, chars)))
 
     marked = F.filter(F.split(text, "\n"), lambda line: line.rlike("[&@#]"))
     return F.when(~text.rlike("[&@#]"), 0).otherwise(F.aggregate(F.transform(marked, in_line), F.lit(0), lambda s, n: s + n))
@@ -74,6 +81,7 @@ def symbols(text: Column) -> Column:
 def rule_counts(text: Column) -> dict[str, Column]:
     found = F.regexp_replace(text, MARKS, "")
     brackets = F.filter(F.split(found, ""), lambda c: c != "")
+    open_ = bound(brackets, lambda b: sum((unmatched(b, x, y) for x, y in BRACKETS), F.lit(0)))
     return {
         "spaces": F.regexp_count(text, F.lit(" {3,}")),
         "newlines": F.regexp_count(text, F.lit("\n{3,}")),
@@ -81,7 +89,7 @@ def rule_counts(text: Column) -> dict[str, Column]:
         "repeated": F.regexp_count(text, F.lit(REPEATED)),
         "symbols": symbols(text),
         "controls": F.regexp_count(text, F.lit(CONTROL)),
-        "brackets": F.when(found == "", 0).otherwise(sum((unmatched(brackets, a, b) for a, b in BRACKETS), F.lit(0))),
+        "brackets": F.when(found == "", 0).otherwise(open_),
     }
 
 

@@ -6,6 +6,8 @@ are rows of it. Whole tables of queries are answered at once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,3 +103,27 @@ def routed(prepared: DataFrame, index: search.Index, vectors: DataFrame, chunks:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank", "chunk_id")
     alone = alone.withColumn("_n", F.row_number().over(order)).select("query_id", F.col("_n").alias("rank"), "chunk_id", "score")
     return fused.unionByName(alone)
+
+
+def stages(near: DataFrame, words: DataFrame, kinds: DataFrame, chunks: DataFrame, scorer: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
+    """The lists of all six stages of a retrieval run: stage, query_id, rank, chunk_id, text, for metrics.relevance.
+
+    near and words (query_id, chunk_id, rank, score, key) are fused, assembled by kinds(query_id,
+    retrieval_type), reranked to k and deduplicated. scorer gives (query_id, chunk_id, score) of the
+    different rows(query_id, chunk_id, text) that were assembled. Queries missing in kinds, or of a null
+    type, are assembled as they are; every stage is written once.
+    """
+    texts = chunks.select("chunk_id", "text")
+    near, words = materialize(near, "near"), materialize(words, "words")
+    fused = materialize(search.rrf(near, words, k), "fused")
+    typed = fused.join(kinds.select("query_id", "retrieval_type"), "query_id", "left").na.fill("", ["retrieval_type"])
+    met = materialize(renumbered(assembled(typed, chunks)), "assembled")
+    scores = scorer(met.select("query_id", "chunk_id", "text").dropDuplicates(["query_id", "chunk_id"]))
+    light = materialize(assemble.rerank(met.drop("text"), scores, k), "reranked")
+    parts = {"vector": near, "bm25": words, "fusion": fused, "assembly": met, "rerank": light}
+    parts["dedup"] = renumbered(search.dedup_keep_first(light.join(texts, "chunk_id")))
+    out = None
+    for name, part in parts.items():
+        part = part.select(F.lit(name).alias("stage"), "query_id", "rank", "chunk_id")
+        out = part if out is None else out.unionByName(part)
+    return out.join(texts, "chunk_id")

@@ -142,6 +142,18 @@ def routed_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.routed(passages(spark, sf_dir).withColumn("tools", scopes), index, search.posting_vectors(index), chunks, 4)
 
 
+def evaluation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of all six stages; passages take parents, neighbours or nothing by turns, hashes of the pairs rerank them."""
+    kind = F.when(F.col("query_id") % 3 == 0, retrieve.LAW).when(F.col("query_id") % 3 == 1, retrieve.CASE).otherwise("其他")
+    asked = passages(spark, sf_dir).select("query_id", kind.alias("retrieval_type"))
+    pair = F.md5(F.concat_ws("|", F.col("query_id").cast("string"), F.col("chunk_id").cast("string")))
+    score = F.conv(F.substring(pair, 1, 6), 16, 10).cast("double") / 16777216
+    near, words = search_queries._both(spark, sf_dir, 10)
+    found = retrieve.stages(near, words, asked, _decades(spark, sf_dir), lambda rows: rows.select("query_id", "chunk_id", score.alias("score")), 10)
+    rel = metrics.relevance(found, search_queries.truths(spark, sf_dir), lambda text, truth: text.contains(truth))
+    return metrics.stage_metrics(metrics.metrics_at_k(rel), passages(spark, sf_dir))
+
+
 def numbered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as pages of their conversation."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 2 + 5).alias("position"))
@@ -208,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ingested, preprocessed, routed, routed_stats, top_confidence, latencies, generated, corrections, contexts, session_details, variants,
-        knn_approximate, findings_apart, retrieved, routed_both_ways, numbered_pages, appended_messages, samples_kept, truth_coverage, stage_counts,
+        knn_approximate, findings_apart, retrieved, routed_both_ways, evaluation_whole, numbered_pages, appended_messages, samples_kept, truth_coverage, stage_counts,
         language_sizes, bm25_letters, prompts, findings_by_kind,
     )
 }
@@ -285,6 +297,16 @@ two_1 AS (SELECT *, round(CASE WHEN n = 2 THEN rrf ELSE raw END, 6) AS score FRO
 two AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank, chunk_id, score FROM two_1)
 SELECT * FROM two WHERE rank <= 4
 UNION ALL SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, chunk_id) AS rank, chunk_id, score FROM (SELECT * FROM lad UNION ALL SELECT * FROM cad) WHERE query_id % 3 <> 2"""
+_SIX_STAGES = """SELECT 'vector' AS stage, query_id, rank, chunk_id FROM vlist UNION ALL SELECT 'bm25', query_id, rank, chunk_id FROM blist
+UNION ALL SELECT 'fusion', query_id, rank, chunk_id FROM ek UNION ALL SELECT 'assembly', query_id, rank, chunk_id FROM ea
+UNION ALL SELECT 'rerank', query_id, rank, chunk_id FROM er UNION ALL SELECT 'dedup', query_id, rank, chunk_id FROM ed"""
+_WHOLE_EVALUATION = f"""WITH {search_queries.BM25}, {search_queries.VECTORS}, {search_queries._lists(10)},
+ek AS (SELECT query_id, chunk_id, rank, score, CASE query_id % 3 WHEN 0 THEN '法条' WHEN 1 THEN '案例' ELSE '其他' END AS kind FROM fused WHERE rank <= 10),
+{_assembled('ea', 'ek')},
+en AS (SELECT *, ('0x' || substr(md5(query_id || '|' || chunk_id), 1, 6))::BIGINT / 16777216 AS new, count(*) OVER (PARTITION BY query_id) > 10 AS many FROM ea),
+eo AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN NOT many THEN rank END, new DESC, chunk_id) AS place FROM en),
+er AS (SELECT query_id, chunk_id, score, place AS rank FROM eo WHERE place <= 10),
+{_deduped('ed', 'er')}, {search_queries._metrics(_SIX_STAGES)} SELECT * FROM mm"""
 _LETTER_BM25 = search_queries.BM25.replace(search_queries.TOKENS.format("text"), "regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')")
 ORACLE_SQL = {
     "preprocessed": "SELECT count(*) FILTER (text <> '') AS processed, count(*) FILTER (text IS NULL OR text = '') AS pending FROM documents",
@@ -299,6 +321,7 @@ ORACLE_SQL = {
     "variants": _variant("control", text_queries._CLEAN["strip_control"]) + " UNION ALL " + _variant("space", text_queries._CLEAN["collapse_space"]),
     "retrieved": _retrieved_sql(),
     "routed_both_ways": _ROUTED_BOTH,
+    "evaluation_whole": _WHOLE_EVALUATION,
     "numbered_pages": "SELECT conv_id AS doc_id, turn * 2 + 5 AS position, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page_number FROM conversations",
     "appended_messages": f"""WITH {store_queries._M}, g AS (SELECT session_id, count(*) FILTER (session_id % 2 = 0 OR id % 60 < 3) AS messages, nullif(count(*) FILTER (session_id % 2 = 1 AND id % 60 >= 3), 0) AS unknown,
         max(created_at) FILTER (session_id % 2 = 0 AND id % 60 >= 3) AS updated_at FROM m GROUP BY 1) SELECT * FROM g WHERE messages > 0""",

@@ -147,10 +147,22 @@ def metrics_report(metrics: DataFrame, value: str = "recall", ks: tuple[int, ...
     return metrics.groupBy("stage").pivot("k", list(ks)).agg(F.first(value)).toDF("stage", *[f"at_{k}" for k in ks])
 
 
-def write_metrics_report(metrics: DataFrame, path: str) -> str:
-    """Write metrics as JSON lines; give the same as a Markdown table (a few rows)."""
+def _markdown(rows: DataFrame, order: list[str]) -> str:
+    """A table of a few rows as Markdown: fractions with four decimals, null as N/A."""
+    shown = lambda v: "N/A" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
+    return "\n".join(lines + ["| " + " | ".join(map(shown, r)) + " |" for r in rows.orderBy(*order).collect()])
+
+
+def write_metrics_report(metrics: DataFrame, path: str, generation: DataFrame | None = None, ks: tuple[int, ...] = (1, 3, 5, 10)) -> str:
+    """Write metrics (and generation, a row of means) as JSON lines; give them as Markdown tables.
+
+    The tables: each stage and cut, recall by stage and cut, and the generation metrics if given. All have a few rows;
+    stages and cuts that are missing show N/A.
+    """
     metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
-    rows = metrics.orderBy("stage", "k").collect()
-    head = metrics.columns
-    lines = ["| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
-    return "\n".join(lines + ["| " + " | ".join(str(r[c]) for c in head) + " |" for r in rows])
+    parts = {"Stages": _markdown(metrics, ["stage", "k"]), "Recall at k": _markdown(metrics_report(metrics, ks=ks), ["stage"])}
+    if generation is not None:
+        generation.coalesce(1).write.mode("overwrite").json(f"{path}/generation")
+        parts["Generation"] = _markdown(generation, generation.columns)
+    return "\n\n".join(f"## {name}\n\n{table}" for name, table in parts.items())

@@ -58,3 +58,16 @@ def test_ingest_stream(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         jobs.stream_ingest(spark, stream, prepare, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["aaa", "bbb", "ccc"]
+
+
+def test_report(spark, tmp_path):
+    metrics = spark.createDataFrame([("bm25", 1, 0.25), ("bm25", 3, 0.5), ("vector", 1, None)], "stage string, k int, recall double")
+    means = spark.createDataFrame([(0.5, 7)], "rouge_l double, n long")
+    text = files.write_metrics_report(metrics, str(tmp_path), means, ks=(1, 3))
+    tables = [part.splitlines() for part in text.split("\n\n") if part.startswith("|")]
+    assert tables[0][2:] == ["| bm25 | 1 | 0.2500 |", "| bm25 | 3 | 0.5000 |", "| vector | 1 | N/A |"]
+    assert tables[1] == ["| stage | at_1 | at_3 |", "|---|---|---|", "| bm25 | 0.2500 | 0.5000 |", "| vector | N/A | N/A |"]
+    assert tables[2][2:] == ["| 0.5000 | 7 |"]
+    assert spark.read.json(f"{tmp_path}/metrics").count() == 3 and spark.read.json(f"{tmp_path}/generation").first().n == 7
+    empty = files.write_metrics_report(metrics.limit(0), str(tmp_path / "none"))
+    assert "Generation" not in empty and empty.count("\n|") == 4

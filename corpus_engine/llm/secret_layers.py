@@ -12,10 +12,12 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +58,10 @@ PIECE, SHARED = 1 << 19, 1 << 17
 MASK = "[SECRET]"
 
 Span = tuple[int, int, str]
-#: A layer: its text and, for each character, start and end in the original; None: itself.
-Layer = tuple[str, list[tuple[int, int]] | None]
+#: Starts and ends, in the original, of each character of a layer.
+Places = tuple[np.ndarray, np.ndarray]
+#: A layer: its text and the places of its characters; None: it is the original.
+Layer = tuple[str, Places | None]
 
 
 def scan(text: str) -> list[Span]:
@@ -330,25 +334,47 @@ def _escaped(text: str) -> Iterator[tuple[int, int, str | None]]:
 
 def _origin(layer: Layer, start: int, end: int) -> tuple[int, int]:
     _, places = layer
-    return (start, end) if places is None else (places[start][0], places[end - 1][1])
+    return (int(start), int(end)) if places is None else (int(places[0][start]), int(places[1][end - 1]))
 
 
-def _replaced(layer: Layer, parts: list[tuple[int, int, str]]) -> Layer:
-    """The layer with parts put in place of spans; their characters come from the whole span."""
-    text, _ = layer
-    out, places, at = [], [], 0
-    for start, end, new in [*parts, (len(text), len(text), "")]:
-        out += [text[at:start], new]
-        places += [_origin(layer, k, k + 1) for k in range(at, start)]
-        if new:
-            whole = _origin(layer, start, end)
-            step = (end - start) / len(new)
-            if step == int(step) and (whole[1] - whole[0]) == end - start:  # e.g. %41%42: a place for each
-                places += [(whole[0] + int(k * step), whole[0] + int((k + 1) * step)) for k in range(len(new))]
-            else:
-                places += [whole] * len(new)
-        at = end
-    return "".join(out), places
+def _same(origin: tuple[int, int], size: int) -> Places:
+    return np.full(size, origin[0], np.int64), np.full(size, origin[1], np.int64)
+
+
+def _replaced(layer: Layer, parts: Iterator[tuple[int, int, str | None]]) -> Layer | None:
+    """The layer with parts, none longer than its span, put in place of spans; their characters come from the whole span.
+
+    None if there are no parts.
+    """
+    text, places = layer
+    out, at, size = io.StringIO(), 0, 0
+    first, last = np.empty(len(text), np.int64), np.empty(len(text), np.int64)
+
+    def keep(upto: int) -> None:
+        nonlocal size
+        out.write(text[at:upto])
+        own = slice(size, size + upto - at)
+        first[own], last[own] = (np.arange(at, upto), np.arange(at + 1, upto + 1)) if places is None else (places[0][at:upto], places[1][at:upto])
+        size += upto - at
+
+    for start, end, new in parts:
+        if not new:
+            continue
+        if start > at:
+            keep(start)
+        out.write(new)
+        whole = _origin(layer, start, end)
+        own, step = slice(size, size + len(new)), (end - start) // len(new)
+        if len(new) > 1 and step * len(new) == end - start == whole[1] - whole[0]:  # e.g. %41%42: a place for each
+            first[own] = np.arange(whole[0], whole[1], step)
+            last[own] = first[own] + step
+        else:
+            first[own], last[own] = whole
+        at, size = end, size + len(new)
+    if not at:
+        return None
+    keep(len(text))
+    return out.getvalue(), (first[:size], last[:size])
 
 
 def decoded(layer: Layer, far: list[Span], above: frozenset[bytes]) -> Iterator[Layer]:
@@ -358,15 +384,15 @@ def decoded(layer: Layer, far: list[Span], above: frozenset[bytes]) -> Iterator[
     """
     text, _ = layer
     for mark, parts in (("%", _percent), ("\\", _escaped)):
-        if mark in text and (found := [p for p in parts(text) if p[2] is not None]):
-            yield _replaced(layer, found)
+        if mark in text and (below := _replaced(layer, parts(text))) is not None:
+            yield below
     for m in BASE64.finditer(text):
         yield from _base64(layer, m[0].rstrip("="), range(*m.span()), m.end(), far, above)
     if "\n" in text:
         for m in WRAPPED.finditer(text):
-            at = [k for k in range(*m.span()) if text[k] not in " \t\r\n="]
+            at = np.fromiter((k for k in range(*m.span()) if text[k] not in " \t\r\n="), np.int64)
             if len(at) >= LEAST_RUN:
-                yield from _base64(layer, "".join(text[k] for k in at), at, m.end(), far, above)
+                yield from _base64(layer, "".join(c for c in m[0] if c not in " \t\r\n="), at, m.end(), far, above)
 
 
 def _bytes(run: str) -> bytes:
@@ -383,12 +409,11 @@ def _base64(layer: Layer, run: str, at: Sequence[int], end: int, far: list[Span]
     of the four offsets is taken.
     """
 
-    def spread(start: int, size: int) -> list[tuple[int, int]]:  # one byte a character: three of them in four
-        places = []
-        for k in range(size):
-            last = start + -(-(k + 1) * 4 // 3)
-            places.append(_origin(layer, at[start + k * 4 // 3], end if last > len(run) else at[last - 1] + 1))
-        return places
+    def spread(start: int, size: int) -> Places:  # one byte a character: three of them in four
+        k, where = np.arange(size), np.asarray(at)
+        upto = start + ((k + 1) * 4 + 2) // 3
+        first, last = where[start + k * 4 // 3], np.where(upto > len(run), end, where[np.minimum(upto, len(run)) - 1] + 1)
+        return (first, last) if layer[1] is None else (layer[1][0][first], layer[1][1][last - 1])
 
     def unfold(data: bytes, start: int) -> bool:
         kinds: set[str] = set()
@@ -403,7 +428,7 @@ def _base64(layer: Layer, run: str, at: Sequence[int], end: int, far: list[Span]
         return
     below = _readable(data)
     if below is not None:
-        yield below, spread(0, len(below)) if len(below) == len(data) else [_origin(layer, at[0], end)] * len(below)
+        yield below, spread(0, len(below)) if len(below) == len(data) else _same(_origin(layer, at[0], end), len(below))
         return
     for m in PACKED.finditer(run, 1):
         if _packed(_bytes(run[m.start() : m.start() + 1024])):
@@ -413,9 +438,11 @@ def _base64(layer: Layer, run: str, at: Sequence[int], end: int, far: list[Span]
             below, start = m[0].decode(), m.start()
             head, skip = offset + start // 3 * 4, start % 3
             if len(below) == len(m[0]):
-                yield below, spread(head, skip + len(below))[skip:]
+                first, last = spread(head, skip + len(below))
+                yield below, (first[skip:], last[skip:])
             else:
-                yield below, [_origin(layer, at[head], at[min(len(run), head + -(-(skip + len(m[0])) * 4 // 3)) - 1] + 1)] * len(below)
+                upto = at[min(len(run), head + -(-(skip + len(m[0])) * 4 // 3)) - 1] + 1
+                yield below, _same(_origin(layer, at[head], upto), len(below))
 
 
 def layers(text: str, far: list[Span], above: frozenset[bytes] = frozenset()) -> Iterator[Layer]:
@@ -426,7 +453,8 @@ def layers(text: str, far: list[Span], above: frozenset[bytes] = frozenset()) ->
         layer = work.pop()
         own, places = layer
         if places is not None:
-            mark = (_mark(own.encode("utf-8", "replace")), places[0], places[-1])
+            ends = (int(places[0][0]), int(places[1][0]), int(places[0][-1]), int(places[1][-1]))
+            mark = (_mark(own.encode("utf-8", "replace")), ends)
             if mark in seen:
                 continue
             seen.add(mark)

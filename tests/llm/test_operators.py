@@ -681,3 +681,17 @@ def test_packing_round_trip_and_random_access(bits, tmp_path):
     assert file.bits == bits and file.doc_ids.tolist() == [3, 0, 5, 9] and file.null.tolist() == [False, True, False, False]
     assert [file.checksum(k) for k in range(4)] == [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(np.cumsum(sizes), sizes)]
     assert (file.document(1) == ids[:70_000]).all() and (file.ids(65_530, 131_080) == ids[65_530:131_080]).all() and len(file.document(0)) == 0
+
+
+def test_secrets_of_an_encoded_long_text_take_little_memory():
+    import tracemalloc
+
+    words = "words and more " * 100_000
+    for text, least in (("token%3Dabcdef123 " + words, 1), (base64.b64encode((words + "token=abcdef123").encode()).decode(), 1)):
+        tracemalloc.start()
+        try:
+            spans = secret_layers.find(text)[1]
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert len(spans) >= least and peak < 60 * len(text)

@@ -10,10 +10,15 @@ the kinds of secrets in it are kept.
 from __future__ import annotations
 
 import base64
+import bz2
 import codecs
 import hashlib
+import html
+import html.entities
 import io
+import lzma
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -35,7 +40,10 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 NAMES = ("passw", "secret", "token", "api")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
+ESCAPE = re.compile(
+    r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\(?:([0-3][0-7]{2})|N\{([A-Za-z0-9 -]{2,90})\})"
+)
+REFERENCE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 LEAST_RUN = 16
 #: A run at the end of a text, read from there.
@@ -43,8 +51,10 @@ RUN_BACK = re.compile(r"(?:[A-Za-z0-9+/_-]++|[ \t]*+\n\r?)*+")
 READABLE = b"\t\r\n" + bytes(range(0x20, 0x7F))
 #: A run over line ends.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++(?:\r?\n)?={0,2}")
-#: How base64 of gzip and zlib data begins, wherever it lies in a run.
-PACKED = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
+#: How base64 of gzip, zlib, bz2, xz and lzma data begins, wherever it lies in a run.
+PACKED = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]|Qlpo[MNO]|/Td6WFoA|XQAA")
+#: Raw deflate has no mark: data counts as such if it unfolds to at least so many bytes, nearly all of them readable.
+LEAST_RAW = 24
 #: Readable bytes amid others.
 STRETCH = re.compile(
     rb"(?:[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]"
@@ -124,8 +134,9 @@ class Stream:
         data = bytes(self.held)
         self.held.clear()
         mark = _mark(data)
-        if _packed(data) and mark not in self.above:
-            self.unpack, self.sound = zlib.decompressobj(47), False
+        unpack = _unpacker(data) if mark not in self.above else None
+        if unpack:
+            self.unpack, self.sound = unpack, False
             if self.below:
                 self.below = [self.below[0], Stream(self.kinds, self.above | {mark})]
                 if self.first is not None:  # it has been read in a row only
@@ -140,21 +151,21 @@ class Stream:
         return data
 
     def _unfold(self, data: bytes) -> bytes:
-        """Unfold one piece; gives the bytes that are left."""
+        """Unfold data; gives the bytes behind its end."""
         try:
-            out = self.unpack.decompress(data, PIECE)
-        except zlib.error:
+            for out in self.unpack.pieces(data):
+                for stream in self.below:
+                    stream.feed(out)
+                if self.first is not None and len(self.below) == 1:
+                    self.first += out
+                    if len(self.first) > PIECE:  # as text it is read by pieces, whatever follows
+                        self.first = None
+        except BROKEN:
             self.unpack, self.text = None, Text(self.kinds, self.above)
             return data
-        for stream in self.below:
-            stream.feed(out)
-        if self.first is not None and len(self.below) == 1:
-            self.first += out
-            if len(self.first) > PIECE:  # as text it is read by pieces, whatever follows
-                self.first = None
-        if not self.unpack.eof:
-            return self.unpack.unconsumed_tail
-        rest, self.unpack, self.sound = self.unpack.unused_data, None, True
+        if not self.unpack.inner.eof:
+            return b""
+        rest, self.unpack, self.sound = self.unpack.inner.unused_data, None, True
         for stream in self.below[1:]:
             stream.close()
         self.below = self.below[:1]
@@ -178,25 +189,23 @@ class Stream:
 class Text:
     """Text that comes by pieces; the kinds of secrets in it and under it are added to `kinds`.
 
-    A text of one piece must be readable. Of a longer one pieces are scanned that share their ends, and what may go
-    on over several pieces has streams of its own: base64 runs, and the text under percent signs or escapes.
+    Bytes are UTF-8, or UTF-16 where a mark or their zero bytes say so; of others the readable stretches are read.
+    Pieces share their ends, and what may go on over several pieces has streams of its own: base64 runs, and the
+    text under percent signs, escapes or character references.
     """
 
     def __init__(self, kinds: set[str], above: frozenset[bytes]):
         self.kinds, self.above = kinds, above
-        self.raw: bytearray | None = bytearray()  # until there is more than a piece
-        self.decoder = codecs.getincrementaldecoder("utf-8")()
+        self.started = False
+        self.decoder: codecs.IncrementalDecoder | None = None
         self.rest = b""
         self.fresh, self.tail = "", ""
         self.under: dict[str, Text] = {}
         self.runs: list[Base64Stream] = []
 
     def feed_bytes(self, data: bytes) -> None:
-        if self.raw is not None:
-            self.raw += data
-            if len(self.raw) <= PIECE:
-                return
-            data, self.raw = bytes(self.raw), None
+        if not self.started:
+            self.started, self.decoder = True, codecs.getincrementaldecoder(_wide(data) or "utf-8")()
         if self.decoder:
             try:
                 self.feed(self.decoder.decode(data))
@@ -218,26 +227,23 @@ class Text:
         return "".join(parts) + "\0" * (end < at)
 
     def feed(self, text: str) -> None:
-        self.raw = None
         self.fresh += text
         at = 0
         while len(self.fresh) - at >= PIECE:
             piece = self.fresh[at : at + PIECE]
-            open_end = max(piece.rfind("%", PIECE - 12), piece.rfind("\\", PIECE - 12))  # not within %41
+            open_end = max(piece.rfind("%", PIECE - 12), piece.rfind("\\", PIECE - 96), piece.rfind("&", PIECE - 36))  # not within %41
             piece = piece[: open_end if open_end > 0 else PIECE]
             at += len(piece)
             self._scan(piece, False)
         self.fresh = self.fresh[at:]
 
     def close(self) -> None:
-        if self.raw is not None:
-            text = _readable(bytes(self.raw))
-            self._find(text or "")
-        else:
-            self._scan(self.fresh + self.rest.decode(), True)
-            for text in self.under.values():
-                text.close()
-        self.raw, self.fresh = bytearray(), ""
+        if self.decoder and self.decoder.getstate()[0]:  # cut off within a character
+            self.rest += self.decoder.getstate()[0]
+        self._scan(self.fresh + self.rest.decode("utf-8", "replace"), True)
+        for text in self.under.values():
+            text.close()
+        self.fresh, self.rest, self.decoder = "", b"", None
 
     def _find(self, text: str) -> None:
         if text and (mark := _mark(text.encode("utf-8", "replace"))) not in self.above:
@@ -252,13 +258,14 @@ class Text:
                 self._end_runs()
         window = re.sub("\x20{2,}", "\x20", self.tail + piece)  # any number of blanks is as good as one
         self._find(window)
-        for mark, parts in (("%", _percent), ("\\", _escaped)):
+        for mark, parts in REPLACED:
             found = [p for p in parts(piece) if p[2] is not None] if mark in piece else []
             if found and mark not in self.under and not last:
                 self.under[mark] = Text(self.kinds, self.above)
                 self.under[mark].feed(self.tail)
             if mark in self.under:
-                self.under[mark].feed(_replaced((piece, None), found)[0])
+                below = _replaced((piece, None), iter(found))
+                self.under[mark].feed(below[0] if below else piece)
         if not last and not self.runs:
             start = len(window) - RUN_BACK.match(window[::-1]).end()
             if len(window) - start >= LEAST_RUN:
@@ -278,7 +285,7 @@ class Base64Stream:
 
     def __init__(self, kinds: set[str], above: frozenset[bytes], letters: str, packed: bool):
         self.stream: Stream | None = Stream(kinds, above)
-        if packed and not _opens(_bytes(letters[:1024])):
+        if packed and not _unpacker(_bytes(letters[:1024]), False):
             self.stream = None
         self.held = ""
         self.feed(letters)
@@ -296,18 +303,64 @@ class Base64Stream:
             self.stream.close()
 
 
-def _packed(data: bytes) -> bool:
-    """Whether data begins as gzip or zlib data does."""
-    head = data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0
-    return head and _opens(data[:1024])
+BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)
+
+
+class Unpacker:
+    """Compressed data, unfolded by pieces of PIECE bytes at most."""
 
+    def __init__(self, inner):
+        self.inner = inner
 
-def _opens(data: bytes) -> bool:
+    def pieces(self, data: bytes) -> Iterator[bytes]:
+        while not self.inner.eof:
+            out = self.inner.decompress(data, PIECE)
+            if out:
+                yield out
+            data = getattr(self.inner, "unconsumed_tail", b"")  # the others keep what they have not read
+            if not data and len(out) < PIECE and getattr(self.inner, "needs_input", True):
+                return
+
+
+def _readable_share(data: bytes) -> float:
+    return sum(len(m[0]) for m in STRETCH.finditer(data)) / max(len(data), 1)
+
+
+def _unpacker(data: bytes, raw: bool = True) -> Unpacker | None:
+    """What unfolds data that begins as compressed data does. raw: deflate without a mark counts too."""
+    head = data[:4096]
+    if data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0:
+        made = lambda: zlib.decompressobj(47)
+    elif data[:3] == b"BZh" and data[4:10] == b"1AY&SY":
+        made = bz2.BZ2Decompressor
+    elif data[:6] == b"\xfd7zXZ\0" or data[:3] == b"]\0\0":
+        made = lzma.LZMADecompressor
+    elif raw and len(data) >= 8 and _readable_share(head) < 0.8:
+        try:
+            out = zlib.decompressobj(-15).decompress(head, 4096)
+        except zlib.error:
+            return None
+        known = len(out) >= LEAST_RAW and (_readable_share(out) >= 0.9 or _wide(out) or _unpacker(out, False))
+        return Unpacker(zlib.decompressobj(-15)) if known else None
+    else:
+        return None
     try:
-        zlib.decompressobj(47).decompress(data, PIECE)
-    except zlib.error:
-        return False
-    return True
+        made().decompress(head, PIECE)
+    except BROKEN:
+        return None
+    return Unpacker(made())
+
+
+def _wide(data: bytes) -> str | None:
+    """The codec of UTF-16, if data is such text by its mark or by where its zero bytes are."""
+    head = data[:256]
+    if head[:2] in (b"\xff\xfe", b"\xfe\xff") and _readable_share(head[2:]) < 0.5:
+        return "utf-16"
+    if len(head) >= 16:
+        for codec, low, high in (("utf-16-le", head[::2], head[1::2]), ("utf-16-be", head[1::2], head[::2])):
+            if high.count(0) >= 0.9 * len(high) and not low.count(0):
+                return codec
+    return None
 
 
 def _percent(text: str) -> Iterator[tuple[int, int, str | None]]:
@@ -328,10 +381,26 @@ def _percent(text: str) -> Iterator[tuple[int, int, str | None]]:
 
 def _escaped(text: str) -> Iterator[tuple[int, int, str | None]]:
     for m in ESCAPE.finditer(text):
-        point = int(next(g for g in m.groups() if g), 16)
+        if m[6]:
+            try:
+                yield m.start(), m.end(), unicodedata.lookup(m[6])
+            except KeyError:
+                pass
+            continue
+        point = int(m[5], 8) if m[5] else int(next(g for g in m.groups() if g), 16)
         yield m.start(), m.end(), chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else None
 
 
+def _referenced(text: str) -> Iterator[tuple[int, int, str | None]]:
+    for m in REFERENCE.finditer(text):
+        if m[0][1] == "#" or m[0][1:] in html.entities.html5:
+            yield m.start(), m.end(), html.unescape(m[0])
+
+
+#: What stands for other characters within a text: its first character, and what finds it.
+REPLACED = (("%", _percent), ("\\", _escaped), ("&", _referenced))
+
+
 def _origin(layer: Layer, start: int, end: int) -> tuple[int, int]:
     _, places = layer
     return (int(start), int(end)) if places is None else (int(places[0][start]), int(places[1][end - 1]))
@@ -383,7 +452,7 @@ def decoded(layer: Layer, far: list[Span], above: frozenset[bytes]) -> Iterator[
     Secrets under compression are added to `far`.
     """
     text, _ = layer
-    for mark, parts in (("%", _percent), ("\\", _escaped)):
+    for mark, parts in REPLACED:
         if mark in text and (below := _replaced(layer, parts(text))) is not None:
             yield below
     for m in BASE64.finditer(text):
@@ -424,14 +493,23 @@ def _base64(layer: Layer, run: str, at: Sequence[int], end: int, far: list[Span]
         return stream.sound
 
     data = _bytes(run)
-    if _packed(data) and unfold(data, 0):
+    if _unpacker(data) and unfold(data, 0):
         return
     below = _readable(data)
     if below is not None:
         yield below, spread(0, len(below)) if len(below) == len(data) else _same(_origin(layer, at[0], end), len(below))
         return
+    if codec := _wide(data):
+        below = data.decode(codec, "replace")
+        marked = 2 if codec == "utf-16" else 0
+        if 2 * len(below) + marked == len(data):
+            first, last = spread(marked, len(data) - marked)
+            yield below, (first[::2], last[1::2])
+        elif below:
+            yield below, _same(_origin(layer, at[0], end), len(below))
+        return
     for m in PACKED.finditer(run, 1):
-        if _packed(_bytes(run[m.start() : m.start() + 1024])):
+        if _unpacker(_bytes(run[m.start() : m.start() + 1024]), False):
             unfold(_bytes(run[m.start() :]), m.start())
     for offset in range(4):
         for m in STRETCH.finditer(_bytes(run[offset:])):

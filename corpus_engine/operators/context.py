@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_engine.functions.text import characters, estimate_tokens, jaccard
+from corpus_engine.shared import united
 
 PER_MESSAGE = 4
 SUMMARY_MARK = "[历史对话摘要]\n"
@@ -75,7 +76,7 @@ def repeat_queries(messages: DataFrame, threshold: float = 0.6) -> DataFrame:
     same = sets.select("session_id", "set", "c", F.lit(1.0).alias("like"), "first")
     firsts = sets.select(F.col("session_id").alias("_s"), F.col("set").alias("_set2"), F.col("c").alias("_c2"), "first")
     near = pairs.join(firsts, (F.col("session_id") == F.col("_s")) & (F.col("_set") == F.col("_set2")) & (F.col("_c") == F.col("_c2")))
-    near = near.select("session_id", "set", "c", "like", "first").unionByName(same)
+    near = united(["session_id"], near.select("session_id", "set", "c", "like", "first"), same)
     near = near.select(F.col("session_id").alias("_s"), F.col("set").alias("_set"), F.col("c").alias("_c"), "like", "first")
     earlier = (F.col("session_id") == F.col("_s")) & (F.col("set") == F.col("_set")) & (F.col("c") == F.col("_c")) & (F.col("first") < F.struct("created_at", "id"))
     return asked.join(near, earlier).groupBy("session_id", "id").agg(F.max("like").alias("likeness"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpus_engine.functions import rules, text
 from corpus_engine.operators import chunk, search, store
-from corpus_engine.shared import materialize
 
 
 def ingest(files: DataFrame, known: DataFrame, steps: tuple = text.DEFAULT_STEPS) -> DataFrame:
@@ -76,59 +75,7 @@ def top_score_confidence(queries: DataFrame, ranked: DataFrame) -> DataFrame:
     return met.select("query_id", F.coalesce("_s", F.lit(0.0)).alias("confidence"), F.when(F.col("_s").isNull(), "general").otherwise("rag").alias("question_type"))
 
 
-def knn_search_approx(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 4, width: float = 2.0) -> DataFrame:
-    """knn_search by random projections: only pairs that share a bucket of a table are compared.
-
-    queries(query_id, v), vectors(chunk_id, v) -> query_id, chunk_id, distance (squared), rank.
-    Buckets are `width` deviations of a projection wide, measured on the vectors; any distance counts.
-    Queries that meet fewer than k vectors are answered exactly. Vectors as in knn_search take part;
-    those of one length only, the commonest.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    sound = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x))
-    rows = vectors.select("chunk_id", F.col("v").cast("array<double>").alias("v")).where(sound)
-    asked = queries.select("query_id", F.col("v").cast("array<double>").alias("v")).where(sound)
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.sum(square).alias("sum")).collect()  # a row a length
-    if not sizes:
-        return search.knn_search(asked, rows, k)
-    common = max(sizes, key=lambda r: (r.n, r.dims))
-    rows, asked = (df.where(F.size("v") == common.dims) for df in (rows, asked))
-    deviation = (common["sum"] / common.n / common.dims) ** 0.5 or 1.0
-    points = lambda df, key: df.select(key, array_to_vector("v").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width * deviation, numHashTables=tables, seed=1)
-    pairs = model.fit(points(rows, "chunk_id")).approxSimilarityJoin(points(asked, "query_id"), points(rows, "chunk_id"), float("inf"), "d")
-    near = pairs.select("datasetA.query_id", "datasetB.chunk_id", F.round(F.col("d") * F.col("d"), 6).alias("distance"))
-    best = materialize(search.top_k(near, k, [F.col("distance"), F.col("chunk_id")]), "knn-approx")
-    full = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
-    short = asked.join(full, "query_id", "left_anti")
-    return best.join(full, "query_id", "left_semi").unionByName(search.knn_search(short, rows, k).select(*best.columns))
-
-
 def distinct_kinds(findings: DataFrame) -> DataFrame:
     """findings(doc_id, error_type, rule, description, severity): of a document, type and rule the first by description and severity."""
     first = F.min(F.struct("description", "severity"))
     return findings.groupBy("doc_id", "error_type", "rule").agg(first.alias("f")).select("doc_id", "error_type", "rule", "f.description", "f.severity")
-
-
-def distinct_findings(findings: DataFrame, ratio: float = 0.8) -> DataFrame:
-    """findings(doc_id, error_type, description, severity): of much alike ones of a document and type the first stays.
-
-    Documents are grouped; a document's findings are as many as its text gives.
-    """
-    import pandas as pd
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-
-        kept: list[str] = []
-        rows = []
-        for row in group.sort_values(["description", "severity"]).itertuples(index=False):
-            if not any(SequenceMatcher(None, row.description, k).ratio() > ratio for k in kept):
-                kept.append(row.description)
-                rows.append(row)
-        return pd.DataFrame(rows, columns=group.columns)
-
-    return findings.groupBy("doc_id", "error_type").applyInPandas(keep, findings.schema)

@@ -159,31 +159,30 @@ def _bracket_places(text: str) -> Iterator[int]:
         yield from held
 
 
-def finding_positions(df: DataFrame) -> DataFrame:
-    """df(doc_id, text) -> doc_id, rule, position, length of every finding of every rule.
+def places_of(text: str, rules: tuple[str, ...] = tuple(RULES)) -> Iterator[tuple[str, int, int]]:
+    """(rule, position, length) of every finding of a text, as many as quality_findings counts; positions are code points from 0."""
+    import re
 
-    There are as many as quality_findings counts. Positions are code points from 0.
-    """
-    import pandas as pd
+    for name, pattern in (("spaces", " {3,}"), ("newlines", "\n{3,}"), ("repeated", REPEATED), ("controls", CONTROL)):
+        if name in rules:
+            yield from ((name, m.start(), m.end() - m.start()) for m in re.finditer(pattern, text))
+    if "odd_case" in rules:
+        for m in re.finditer("[A-Za-z]+", text):
+            edges = text[m.start() - 1 : m.start()] + text[m.end() : m.end() + 1]
+            if not any(c.isalnum() or c == "_" for c in edges) and _odd_word(m[0]):
+                yield "odd_case", m.start(), m.end() - m.start()
+    for name, places in (("symbols", _symbol_places), ("brackets", _bracket_places)):
+        if name in rules:
+            yield from ((name, at, 1) for at in places(text))
 
-    patterns = {"spaces": " {3,}", "newlines": "\n{3,}", "repeated": REPEATED, "controls": CONTROL}
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
+def finding_positions(df: DataFrame) -> DataFrame:
+    """df(doc_id, text) -> doc_id, rule, position, length of every finding of every rule; see places_of."""
+    import pandas as pd
 
-        compiled = {name: re.compile(p) for name, p in patterns.items()}
-        words = re.compile("[A-Za-z]+")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for doc_id, text in zip(part["doc_id"], part["text"]):
-                text = text or ""
-                rows += [(doc_id, name, m.start(), m.end() - m.start()) for name, p in compiled.items() for m in p.finditer(text)]
-                for m in words.finditer(text):
-                    edges = text[m.start() - 1 : m.start()] + text[m.end() : m.end() + 1]
-                    if not any(c.isalnum() or c == "_" for c in edges) and _odd_word(m[0]):
-                        rows.append((doc_id, "odd_case", m.start(), m.end() - m.start()))
-                rows += [(doc_id, "symbols", at, 1) for at in _symbol_places(text)]
-                rows += [(doc_id, "brackets", at, 1) for at in _bracket_places(text)]
+            rows = [(doc_id, *place) for doc_id, text in zip(part["doc_id"], part["text"]) for place in places_of(text or "")]
             yield pd.DataFrame(rows, columns=["doc_id", "rule", "position", "length"])
 
     kind = df.schema["doc_id"].dataType.simpleString()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_engine.functions.text import hash_place, hash_sign, tokenize
-from corpus_engine.shared import materialize, ship
+from corpus_engine.shared import materialize, ship, united
 
 K1, B, EPS = 1.5, 0.75, 0.25
 
@@ -39,12 +39,16 @@ def bm25_index(chunks: DataFrame, tokenizer: Callable[[Column], Column] = tokeni
     postings = materialize(single.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf")), "postings")
     summed = F.broadcast(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")))  # one row
     totals = chunks.agg(F.count("*").alias("n")).join(summed).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    return Index(postings, term_weights(postings.groupBy("term").agg(F.count("*").alias("df")), totals, eps), totals)
+
+
+def term_weights(df: DataFrame, totals: DataFrame, eps: float = EPS) -> DataFrame:
+    """df(term, df), totals(n) -> term, df, idf; see bm25_index for weights below zero."""
     one = F.broadcast(totals)  # one row
     idf = df.join(one).withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = F.broadcast(idf.agg(F.avg("idf").alias("mean_idf")))  # one row
     terms = idf.join(mean).withColumn("idf", F.when(F.col("idf") < 0, F.lit(eps) * F.col("mean_idf")).otherwise(F.col("idf")))
-    return Index(postings, terms.select("term", "df", "idf"), totals)
+    return terms.select("term", "df", "idf")
 
 
 def top_k(scored: DataFrame, k: int, by: list[Column], groups: tuple[str, ...] = ("query_id",), out: str = "rank") -> DataFrame:
@@ -85,14 +89,14 @@ def bm25_scores(terms: DataFrame, index: Index, k1: float = K1, b: float = B, ke
         postings = postings.join(keep.select("chunk_id"), "chunk_id", "left_semi")
     tf = F.col("tf")
     norm = tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    out = None
+    parts = []
     for tile in range(tiles):
         own = placed.where(F.col("_tile") == tile).drop("_tile")
         own = F.broadcast(own) if sizes.get(tile, 0) <= 4 * tile_rows else own
         matches = postings.join(own, "term").join(F.broadcast(index.totals))  # one row
         part = matches.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * tf * (k1 + 1) / norm).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        parts.append(part)
+    return parts[0] if tiles == 1 else united(["query_id"], *parts)
 
 
 def bm25_search(
@@ -229,7 +233,7 @@ def rrf(vector: DataFrame, bm25: DataFrame, k: int, rrf_k: int = 60, wv: float =
     scores. Ties: the vector list first, then the better rank, then chunk_id. fusion_method says
     which it was.
     """
-    both = vector.withColumns({"_list": F.lit(0), "_w": F.lit(wv)}).unionByName(bm25.withColumns({"_list": F.lit(1), "_w": F.lit(wb)}))
+    both = united(["query_id"], vector.withColumns({"_list": F.lit(0), "_w": F.lit(wv)}), bm25.withColumns({"_list": F.lit(1), "_w": F.lit(wb)}))
     lists = Window.partitionBy("query_id")
     both = both.withColumn("_lists", F.max("_list").over(lists) - F.min("_list").over(lists) + 1)
     place = F.struct("_list", "rank", "chunk_id")

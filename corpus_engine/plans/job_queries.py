@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corpus_engine.functions import rules, text
 from corpus_engine.operators import assemble, context, jobs, metrics, quality, retrieve, search
+from corpus_engine.operators.findings import distinct_findings
+from corpus_engine.operators.inverted_file import InvertedFile
 from corpus_engine.plans import search_queries, store_queries, text_queries
 from corpus_engine.plans.search_queries import bm25, passages, table, whole
 from corpus_engine.sources import files
@@ -97,16 +99,16 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest embeddings of every twentieth one by random projections."""
+    """Nearest embeddings of every twentieth one by an inverted file whose bound passes no neighbour by."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
-    return jobs.knn_search_approx(rows.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), rows, 10)
+    return InvertedFile(rows).search(rows.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), 10)[0]
 
 
 def findings_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of a document that are not much like another one."""
     found = quality.quality_findings(text_queries.personal(spark, sf_dir))
     described = found.select("doc_id", "error_type", F.concat("rule", F.lit(" found "), F.col("findings").cast("string")).alias("description"), "severity")
-    return jobs.distinct_findings(described)
+    return distinct_findings(described)
 
 
 def _decades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,6 +321,7 @@ ORACLE_SQL = {
     "contexts": f"""WITH {search_queries.BM25} SELECT query_id, md5('检索到的文档内容：' || chr(10) || string_agg('[' || rank || '] 来源: ' || chunk_id || chr(10) || '内容: ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context FROM ranked JOIN documents ON doc_id = chunk_id WHERE rank <= 3 GROUP BY 1""",
     "session_details": f"WITH {store_queries._M} SELECT session_id, string_agg(id::VARCHAR, ',' ORDER BY created_at, id) AS ids FROM m GROUP BY 1",
     "variants": _variant("control", text_queries._CLEAN["strip_control"]) + " UNION ALL " + _variant("space", text_queries._CLEAN["collapse_space"]),
+    "knn_approximate": search_queries.ORACLE_SQL["knn_exact"],
     "retrieved": _retrieved_sql(),
     "routed_both_ways": _ROUTED_BOTH,
     "evaluation_whole": _WHOLE_EVALUATION,

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_engine.plans import job_queries, model_queries, search_queries, store_queries, text_queries
+from corpus_engine.plans import index_queries, job_queries, model_queries, search_queries, store_queries, text_queries
 from corpus_engine.plans.search_queries import flagship
 
-MODULES = (search_queries, text_queries, store_queries, model_queries, job_queries)
+MODULES = (search_queries, text_queries, store_queries, model_queries, job_queries, index_queries)
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_engine.operators import assemble, chunk, metrics, search
-from corpus_engine.shared import materialize
+from corpus_engine.shared import materialize, united
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,7 +135,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many results each retriever gave."""
     near, words = _both(spark, sf_dir, 20)
-    ranked = near.withColumn("retriever", F.lit("vector")).unionByName(words.withColumn("retriever", F.lit("bm25")))
+    ranked = united(["query_id"], near.withColumn("retriever", F.lit("vector")), words.withColumn("retriever", F.lit("bm25")))
     return assemble.hybrid_counts(ranked)
 
 

@@ -39,6 +39,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def united(keys: list[str], *parts: DataFrame) -> DataFrame:
+    """All rows of the parts, shuffled by keys.
+
+    A window or group over a union must not rely on how its parts are partitioned: Spark 4.1 takes a union
+    for partitioned as its parts are (spark.sql.unionOutputPartitioning) also where rows of a key do not meet.
+    """
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.repartition(*keys)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -79,6 +91,13 @@ def running_total(
     )
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder of any file system that Spark reads; none if it is not there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(found)) if system.exists(found) else []
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, where neither PYTHONPATH nor the folder they start in does."""
     root = Path(__file__).resolve().parent.parent

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpus_engine.shared import folders
+
 TERMINAL = ("COMPLETED", "FAILED")
 
 
@@ -37,13 +39,6 @@ def corpus_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("collection").agg(F.count("*").alias("documents"))
 
 
-def folders(spark: SparkSession, path: str) -> list[str]:
-    """The names of what lies in a folder of any file system that Spark reads; none if it is not there."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(f.getPath().getName() for f in system.listStatus(found)) if system.exists(found) else []
-
-
 def repeat_query_stream(messages: DataFrame, threshold: float = 0.6, hold: str = "1 day") -> DataFrame:
     """context.repeat_queries over a stream: session_id, id, likeness of messages like an earlier one of their session.
 

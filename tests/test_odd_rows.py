@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpus_engine.functions import parsing
-from corpus_engine.operators import assemble, chunk, context, jobs, quality, search, store
+from corpus_engine.operators import assemble, chunk, context, inverted_file, jobs, quality, search, store
 from corpus_engine.plans import text_queries
 from corpus_engine.streaming import jobs as streams
 
@@ -63,10 +63,10 @@ def test_approximate_search_is_near_the_exact_one(spark):
         scaled = rows.withColumn("v", F.transform("v", lambda x: x * scale))
         asked = scaled.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
         exact = {(r.query_id, r.chunk_id) for r in search.knn_search(asked, scaled, 10).collect()}
-        found = jobs.knn_search_approx(asked, scaled, 10).collect()
-        assert len(found) == len(exact) and len(exact & {(r.query_id, r.chunk_id) for r in found}) / len(exact) >= 0.9
+        found = inverted_file.InvertedFile(scaled).search(asked, 10)[0].collect()
+        assert {(r.query_id, r.chunk_id) for r in found} == exact and len(found) == len(exact)
     few = rows.where("chunk_id < 3")
-    assert jobs.knn_search_approx(few.withColumnRenamed("chunk_id", "query_id"), few, 10).count() == 9
+    assert inverted_file.InvertedFile(few).search(few.withColumnRenamed("chunk_id", "query_id"), 10)[0].count() == 9
 
 
 def test_places_of_findings_are_as_many_as_are_counted(spark, small):

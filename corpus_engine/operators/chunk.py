@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_engine.functions.text import cn_to_int, strip
-from corpus_engine.shared import materialize
+from corpus_engine.shared import materialize, united
 
 SIZE, OVERLAP = 500, 50
 # Separators in the order they are tried, and the marks of structure.
@@ -185,7 +185,7 @@ def split_structured(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     plain = marked.groupBy("_row", "doc_id", "law_name").agg(F.count("level").alias("m"), text.alias("text")).where("m = 0")
     parent_id = chunk_id(F.lit("parent"), F.col("doc_id").cast("string"), F.col("grp").cast("string"))
-    parents = parents.unionByName(plain.drop("m").withColumn("grp", F.lit(0)), allowMissingColumns=True)
+    parents = united(parents, plain.drop("m").withColumn("grp", F.lit(0)))
     parents = parents.withColumns({"parent_chunk_id": parent_id, "chunk_type": F.lit("parent"), "char_count": F.length("text"), "child_count": F.coalesce("child_count", F.lit(0))})
     children = children.withColumns({
         "parent_chunk_id": parent_id, "chunk_type": F.lit("child"), "char_count": F.length("text"),
@@ -200,7 +200,7 @@ def route_and_split(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP) ->
     law, other = rows.where("doc_type = 'law'"), rows.where("doc_type is distinct from 'law'")
     parents, children = split_structured(law)
     with_child = children.select("_row").distinct()
-    plain = other.unionByName(law.join(with_child, "_row", "left_anti"))
+    plain = united(other, law.join(with_child, "_row", "left_anti"))
     pieces = split_recursive(plain, size, overlap, keep=("_row", "doc_type"))
-    parts = parents.join(with_child, "_row", "left_semi").unionByName(children, allowMissingColumns=True).withColumn("doc_type", F.lit("law"))
-    return pieces.withColumn("chunk_type", F.lit("plain")).unionByName(parts, allowMissingColumns=True)
+    parts = united(parents.join(with_child, "_row", "left_semi"), children).withColumn("doc_type", F.lit("law"))
+    return united(pieces.withColumn("chunk_type", F.lit("plain")), parts)

@@ -76,7 +76,7 @@ def repeat_queries(messages: DataFrame, threshold: float = 0.6) -> DataFrame:
     same = sets.select("session_id", "set", "c", F.lit(1.0).alias("like"), "first")
     firsts = sets.select(F.col("session_id").alias("_s"), F.col("set").alias("_set2"), F.col("c").alias("_c2"), "first")
     near = pairs.join(firsts, (F.col("session_id") == F.col("_s")) & (F.col("_set") == F.col("_set2")) & (F.col("_c") == F.col("_c2")))
-    near = united(["session_id"], near.select("session_id", "set", "c", "like", "first"), same)
+    near = united(near.select("session_id", "set", "c", "like", "first"), same)
     near = near.select(F.col("session_id").alias("_s"), F.col("set").alias("_set"), F.col("c").alias("_c"), "like", "first")
     earlier = (F.col("session_id") == F.col("_s")) & (F.col("set") == F.col("_set")) & (F.col("c") == F.col("_c")) & (F.col("first") < F.struct("created_at", "id"))
     return asked.join(near, earlier).groupBy("session_id", "id").agg(F.max("like").alias("likeness"))
@@ -127,7 +127,7 @@ def replace_with_summary(messages: DataFrame, old: DataFrame, summaries: DataFra
         "session_id", "id", F.lit("assistant").alias("role"), F.concat(F.lit(SUMMARY_MARK), "summary").alias("content"), "created_at", F.lit(True).alias("summary")
     )
     kept = messages.join(old.select("id"), "id", "left_anti").withColumn("summary", F.lit(False))
-    return kept.unionByName(new)
+    return united(kept, new)
 
 
 def delete_sessions(sessions: DataFrame, messages: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,13 +147,13 @@ def append_messages(sessions: DataFrame, messages: DataFrame, new: DataFrame) ->
     held = F.col("updated_at") if "updated_at" in sessions.columns else F.lit(None).cast("timestamp")
     touched = sessions.join(last, "session_id", "left").withColumn("updated_at", F.coalesce("_at", held)).drop("_at")
     unknown = new.join(sessions.select("session_id"), "session_id", "left_anti")
-    return messages.unionByName(known, allowMissingColumns=True), unknown, touched
+    return united(messages, known), unknown, touched
 
 
 def create_sessions(new: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """new(session_id, title) appended to sessions; without a title one is called 新对话."""
     made = new.withColumn("title", F.coalesce("title", F.lit(NEW_TITLE)))
-    return made if sessions is None else sessions.unionByName(made, allowMissingColumns=True)
+    return made if sessions is None else united(sessions, made)
 
 
 def retitle_sessions(sessions: DataFrame, titles: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_engine.operators import search
-from corpus_engine.shared import materialize, ship
+from corpus_engine.shared import materialize, ship, united
 
 #: Vectors that centroids are learned from, at most; rounds of learning; cells at most.
 SAMPLE, ROUNDS, CELLS = 50_000, 8, 4096
@@ -126,7 +126,7 @@ class InvertedFile:
         bound = best.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("distance").alias("kth"))
         bounded = asked.join(bound, F.col("query_id") == F.col("_q"), "left").select("query_id", "v", "kth")
         further = materialize(bounded.mapInArrow(probes(False), schema), "further-probes")
-        every = best.drop("rank").unionByName(self._scored(further, k, kind).drop("rank")).repartition("query_id")
+        every = united(best.drop("rank"), self._scored(further, k, kind).drop("rank"))
         pairs = F.sum(F.element_at(F.array(*[F.lit(int(-(-s // b))) for s, b in zip(sizes, blocks)]), F.col("cell") + 1))
         compared = sum(df.agg(pairs).first()[0] or 0 for df in (near, further))
         return search.top_k(every, k, [F.col("distance"), F.col("chunk_id")]), compared

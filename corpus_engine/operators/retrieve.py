@@ -50,7 +50,7 @@ def assembled(ranked: DataFrame, chunks: DataFrame, w: int = 1) -> DataFrame:
     places = chunks.select("chunk_id", "doc_id", "chunk_index")
     near = assemble.expand_window(case.join(places, "chunk_id"), chunks, w).select("query_id", "doc_id", "chunk_index", "score", "text", F.col("position").alias("rank"))
     near = near.join(places, ["doc_id", "chunk_index"]).select(*columns)
-    return united(["query_id"], other.select(*columns), parents, near)
+    return united(other.select(*columns), parents, near)
 
 
 def renumbered(ranked: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def retrieve(
         light = assemble.rerank(marked.where("enable_rerank").select("query_id", "chunk_id", "rank", "score"), scores, k)
         texts = parts.select("query_id", "chunk_id", "text").dropDuplicates(["query_id", "chunk_id"])
         plain = marked.where("not enable_rerank").where(F.col("rank") <= k).select(*light.columns, "text")
-        cut = united(["query_id"], plain, light.join(texts, ["query_id", "chunk_id"]))
+        cut = united(plain, light.join(texts, ["query_id", "chunk_id"]))
     return renumbered(search.dedup_keep_first(cut)).select("query_id", "rank", "chunk_id", "score", "text")
 
 
@@ -100,10 +100,10 @@ def routed(prepared: DataFrame, index: search.Index, vectors: DataFrame, chunks:
     of = lambda part, how: part.join(both, "query_id", how)
     keyed = [of(p, "left_semi").withColumn("key", F.substring("text", 1, KEY)).drop("text") for p in parts]
     fused = search.rrf(*keyed, k).select("query_id", "rank", "chunk_id", "score")
-    alone = united(["query_id"], of(parts[0], "left_anti"), of(parts[1], "left_anti"))
+    alone = united(of(parts[0], "left_anti"), of(parts[1], "left_anti"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank", "chunk_id")
     alone = alone.withColumn("_n", F.row_number().over(order)).select("query_id", F.col("_n").alias("rank"), "chunk_id", "score")
-    return united(["query_id"], fused, alone)
+    return united(fused, alone)
 
 
 def stages(near: DataFrame, words: DataFrame, kinds: DataFrame, chunks: DataFrame, scorer: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
@@ -124,4 +124,4 @@ def stages(near: DataFrame, words: DataFrame, kinds: DataFrame, chunks: DataFram
     parts = {"vector": near, "bm25": words, "fusion": fused, "assembly": met, "rerank": light}
     parts["dedup"] = renumbered(search.dedup_keep_first(light.join(texts, "chunk_id")))
     lists = [part.select(F.lit(name).alias("stage"), "query_id", "rank", "chunk_id") for name, part in parts.items()]
-    return united(["chunk_id"], *lists).join(texts, "chunk_id")
+    return united(*lists).join(texts, "chunk_id")

@@ -96,7 +96,7 @@ def bm25_scores(terms: DataFrame, index: Index, k1: float = K1, b: float = B, ke
         matches = postings.join(own, "term").join(F.broadcast(index.totals))  # one row
         part = matches.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * tf * (k1 + 1) / norm).alias("score"))
         parts.append(part)
-    return parts[0] if tiles == 1 else united(["query_id"], *parts)
+    return parts[0] if tiles == 1 else united(*parts)
 
 
 def bm25_search(
@@ -233,7 +233,7 @@ def rrf(vector: DataFrame, bm25: DataFrame, k: int, rrf_k: int = 60, wv: float =
     scores. Ties: the vector list first, then the better rank, then chunk_id. fusion_method says
     which it was.
     """
-    both = united(["query_id"], vector.withColumns({"_list": F.lit(0), "_w": F.lit(wv)}), bm25.withColumns({"_list": F.lit(1), "_w": F.lit(wb)}))
+    both = united(vector.withColumns({"_list": F.lit(0), "_w": F.lit(wv)}), bm25.withColumns({"_list": F.lit(1), "_w": F.lit(wb)}))
     lists = Window.partitionBy("query_id")
     both = both.withColumn("_lists", F.max("_list").over(lists) - F.min("_list").over(lists) + 1)
     place = F.struct("_list", "rank", "chunk_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_engine.shared import united
+
 
 def metadata_predicate(filters: dict) -> Column:
     """Scalars: equality; lists: any of their scalars; year_range {start, end}; all together.
@@ -89,7 +91,7 @@ def dedup_ingest(df: DataFrame, known: DataFrame) -> DataFrame:
     first = first.select(F.col("file_hash").alias("_hash"), F.col("_f.doc_id").alias("_id"), F.col("_f._row").alias("_of"))
     same = (F.col("file_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of"))
     kept = fresh.join(first, same, "left_semi").dropDuplicates(["file_hash"])  # rows that are left of a hash are equal
-    return kept.unionByName(fresh.where("file_hash is null")).select("file_hash", *[F.col(f"`{c}`") for c in df.columns])
+    return united(kept, fresh.where("file_hash is null")).select("file_hash", *[F.col(f"`{c}`") for c in df.columns])
 
 
 def compare_ids(asked: DataFrame, df: DataFrame, key: str = "chunk_id") -> DataFrame:

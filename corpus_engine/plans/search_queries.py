@@ -135,7 +135,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many results each retriever gave."""
     near, words = _both(spark, sf_dir, 20)
-    ranked = united(["query_id"], near.withColumn("retriever", F.lit("vector")), words.withColumn("retriever", F.lit("bm25")))
+    ranked = united(near.withColumn("retriever", F.lit("vector")), words.withColumn("retriever", F.lit("bm25")))
     return assemble.hybrid_counts(ranked)
 
 

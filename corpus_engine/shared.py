@@ -39,16 +39,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def united(keys: list[str], *parts: DataFrame) -> DataFrame:
-    """All rows of the parts, shuffled by keys.
+def united(*parts: DataFrame) -> DataFrame:
+    """All rows of the parts, columns that one lacks as nulls, safe for windows and groups above.
 
-    A window or group over a union must not rely on how its parts are partitioned: Spark 4.1 takes a union
-    for partitioned as its parts are (spark.sql.unionOutputPartitioning) also where rows of a key do not meet.
+    Spark 4.1 takes a union for partitioned as its parts are, also where rows of a key do not meet, and leaves
+    out the shuffle above it, even one that is asked for by repartition(). The setting that does so is
+    turned off for the session.
     """
+    parts[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     whole = parts[0]
     for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole.repartition(*keys)
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
 
 
 def partitions(spark: SparkSession) -> int:

@@ -11,9 +11,10 @@ from corpus_engine.operators.collections import Collections
 from corpus_engine.operators.inverted_file import InvertedFile, recall
 from corpus_engine.operators.pages import PageIndex
 from corpus_engine.operators.posting_segments import PostingSegments
-from corpus_engine.plans import search_queries, text_queries
+from corpus_engine.plans import search_queries, store_queries, text_queries
 from corpus_engine.plans.search_queries import passages, table, whole
 from corpus_engine.shared import new_path
+from corpus_engine.streaming import keyed
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> PostingSegments:
@@ -80,7 +81,28 @@ def finding_places_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (bm25_incremental, bm25_merged, collection_versions, knn_inverted_report, deep_page, finding_places_lateral)}
+def session_repeats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages as a stream of two batches, keyed state in between."""
+    rows, path = store_queries.messages(spark, sf_dir), new_path(spark, "messages")
+    for part in (0, 1):  # the first turns, then the others
+        rows.where((F.col("id") % 60 >= 3) == bool(part)).write.parquet(f"{path}/in/part={part}")
+    before = spark.conf.get(keyed.PROVIDER)
+    spark.conf.set(keyed.PROVIDER, keyed.ROCKSDB)
+    try:
+        for part in (0, 1):
+            stream = spark.readStream.schema(rows.schema).option("basePath", f"{path}/in").parquet(f"{path}/in/part={{{','.join(map(str, range(part + 1)))}}}")
+            found = keyed.repeated_queries(stream)
+            sink = found.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+            sink.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(keyed.PROVIDER, before)
+    return spark.read.schema(found.schema).parquet(f"{path}/out")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (bm25_incremental, bm25_merged, collection_versions, knn_inverted_report, deep_page, finding_places_lateral, session_repeats_stream)
+}
 
 _DOCS = """(SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0 UNION ALL
             SELECT doc_id, 'returned ' || coalesce(text, '') FROM documents WHERE doc_id % 14 = 0)"""
@@ -102,6 +124,7 @@ ORACLE_SQL = {
         FROM documents, (SELECT unnest([1, 2, 3, 4]) AS version)
         WHERE lang IS NOT NULL AND (version = 1 OR doc_id % 5 <> 0) AND (version < 4 OR lang <> 'fr')""",
     "deep_page": "SELECT source, doc_id, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY source NULLS FIRST, doc_id LIMIT 50 OFFSET (SELECT count(*) // 2 FROM documents)",
+    "session_repeats_stream": store_queries.ORACLE_SQL["session_repeats"],
     "finding_places_lateral": " UNION ALL ".join(
         _places(rule, pattern) for rule, pattern in (("spaces", " {3,}"), ("newlines", "\\n{3,}"), ("controls", "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]"))
     ),

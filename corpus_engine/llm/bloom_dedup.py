@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_engine.shared import materialize, partitions
+from corpus_engine.shared import materialize, partitions, united
 
 #: White space that does not tell texts apart.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -125,7 +125,7 @@ def grouped(maybe: DataFrame) -> DataFrame:
     met = maybe.join(F.broadcast(groups.where(hot)), F.col("sha") == F.col("_sha"), "left")  # HOT rows at most
     placed = met.where(F.col("_sha").isNotNull()).drop("_sha")
     others = met.where(F.col("_sha").isNull()).select(*maybe.columns).join(groups.where(~hot), F.col("sha") == F.col("_sha")).drop("_sha")
-    return placed.unionByName(others)
+    return united(placed, others)
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,7 +142,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     alone = tested.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     met = grouped(tested.where("maybe").select("sha", "n", "id", "row"))
     met = met.select("id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha")
-    return alone.unionByName(met).select(F.col("id").alias(doc_id), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+    return united(alone, met).select(F.col("id").alias(doc_id), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
 def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,7 +161,7 @@ def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     light = maybe.select("sha", F.coalesce(F.length(at[text]), F.lit(0)).alias("n"), F.col(at[doc_id]).alias("id"), "row")
     best = light.groupBy("sha").agg(F.min(_best()).alias("best")).select(F.col("best.d").alias("_kept"))
     kept = maybe.join(best, F.col("row") == F.col("_kept"), "left_semi")
-    out = tested.where(~F.col("maybe")).select(*names).unionByName(kept.select(*names))
+    out = united(tested.where(~F.col("maybe")).select(*names), kept.select(*names))
     return out.toDF(*docs.columns)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_engine.shared import materialize, partitions, range_buckets, running_total, ship
+from corpus_engine.shared import materialize, partitions, range_buckets, running_total, ship, united
 
 #: Turns of a storey.
 STOREY = 64
@@ -76,7 +76,7 @@ def rebuilt(turns: DataFrame, group: int = 100, most: int = 6) -> tuple[DataFram
     h = F.crc32(F.col("conv").cast("string")) % most
     rest = turns.where(F.col("pos") >= h).join(convs.select("conv", "h", "taken"), "conv")
     rest = rest.select("conv", (F.col("taken") + F.col("pos") - F.col("h") + 1).alias("d"), "digest", "chars")
-    return first.unionByName(rest), convs.select("conv", "length")
+    return united(first, rest), convs.select("conv", "length")
 
 
 def segments(turns: DataFrame, convs: DataFrame, storey: int = STOREY) -> DataFrame:
@@ -91,7 +91,7 @@ def segments(turns: DataFrame, convs: DataFrame, storey: int = STOREY) -> DataFr
     held = held.select("conv", "s", F.col("t.digest").alias("path"), F.col("t.chars").alias("chars"))
     ended = convs.where(F.col("length") % storey == 0).select("conv", F.floor(F.col("length") / storey).cast("int").alias("s"))
     none = ended.select("conv", "s", F.array().cast("array<binary>").alias("path"), F.array().cast("array<int>").alias("chars"))
-    plain = materialize(held.unionByName(none), "segments")
+    plain = materialize(united(held, none), "segments")
     full = plain.where(F.size("path") == storey).select("conv", "s", F.element_at("chars", -1).alias("last"), *[F.xxhash64(F.lit(i), "s", "path").cast("decimal(20,0)").alias(f"z{i}") for i in (0, 1)])
     dealt = range_buckets(full, [F.col("conv"), F.col("s")], "storeys")
     for i in (0, 1):
@@ -310,13 +310,13 @@ def joined_nodes(found: DataFrame) -> DataFrame:
     )
     seen, doors = materialize(seen, "partial-nodes"), materialize(doors, "doors")
     inner = seen.where(F.col("parent_key").isNotNull()).select("parent_key")
-    kids = inner.unionByName(doors.where("spine").select("parent_key")).groupBy(F.col("parent_key").alias("key")).agg(F.count("*").alias("kids"))
+    kids = united(inner, doors.where("spine").select("parent_key")).groupBy(F.col("parent_key").alias("key")).agg(F.count("*").alias("kids"))
     whole = seen.join(kids, "key", "left").withColumn("children", F.col("children") + F.coalesce("kids", F.lit(0))).withColumn("own", (F.col("n") - 1) * F.col("chars"))
     whole = materialize(whole.drop("kids"), "whole-nodes")
     # what each node on the skeleton has beside other such nodes goes to all above it: a path's length of rows
     leaf = F.when(F.col("children") == 0, 1).otherwise(0)
     given = whole.select(F.explode(F.concat("up", F.array("key"))).alias("key"), (F.col("leaves") + leaf).alias("leaves"), (F.col("saved") + F.col("own")).alias("saved"))
-    given = given.unionByName(doors.where("spine").select(F.explode("up").alias("key"), "leaves", "saved"))
+    given = united(given, doors.where("spine").select(F.explode("up").alias("key"), "leaves", "saved"))
     sums = given.groupBy("key").agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
     spine = F.broadcast(whole.where("spine").select(F.col("key").alias("parent_key"), F.col("conv").alias("_spine")))  # a storey's path for each shard at most
     ends = joined_ends(found.where("kind = 2"))
@@ -325,7 +325,7 @@ def joined_nodes(found: DataFrame) -> DataFrame:
     columns = ["conv", "depth", "parent_conv", "n", "children", "leaves", "saved", "own", "ends"]
     met = met.withColumns({"parent_conv": F.coalesce("_spine", "_before"), "ends": F.coalesce("ends", F.lit(NOTHING))}).select(*columns)
     finished = found.where("kind = 0").join(spine, "parent_key", "left").withColumn("parent_conv", F.coalesce("parent_conv", "_spine"))
-    return finished.select(*columns).unionByName(met)
+    return united(finished.select(*columns), met)
 
 
 def carried(segs: DataFrame, storey: int = STOREY) -> DataFrame:

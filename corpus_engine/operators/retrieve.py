@@ -58,13 +58,13 @@ def renumbered(ranked: DataFrame) -> DataFrame:
 
 
 def retrieve(
-    prepared: DataFrame, index: search.Index, vectors: DataFrame, chunks: DataFrame, k: int, scores: DataFrame | None = None, most: int | None = None
+    prepared: DataFrame, index: search.Index, vectors: DataFrame, chunks: DataFrame, k: int, scores: DataFrame | Callable[[DataFrame], DataFrame] | None = None, most: int | None = None
 ) -> DataFrame:
     """rules.prepare_queries() rows -> query_id, rank, chunk_id, score, text: the whole of retrieval.
 
     The corrected query is searched with a budget by its strategy; hits are assembled by its retrieval type.
-    Where reranking is on, scores(query_id, chunk_id, score) from elsewhere replace scores and
-    order; all are cut to k, and of equal texts the first stays. `most` bounds the budgets: by
+    Where reranking is on, scores(query_id, chunk_id, score), or what they give for the assembled
+    rows(query_id, chunk_id, text), replace scores and order; all are cut to k, and of equal texts the first stays. `most` bounds the budgets: by
     default the greatest that the strategies give.
     """
     highest = max([2.0, *(s[0] for s in rules.STRATEGIES.values())])
@@ -77,7 +77,9 @@ def retrieve(
     if scores is None:
         cut = marked.where(F.col("rank") <= k)
     else:
-        light = assemble.rerank(marked.where("enable_rerank").select("query_id", "chunk_id", "rank", "score"), scores, k)
+        again = marked.where("enable_rerank")
+        scores = scores(again.select("query_id", "chunk_id", "text").dropDuplicates(["query_id", "chunk_id"])) if callable(scores) else scores
+        light = assemble.rerank(again.select("query_id", "chunk_id", "rank", "score"), scores, k)
         texts = parts.select("query_id", "chunk_id", "text").dropDuplicates(["query_id", "chunk_id"])
         plain = marked.where("not enable_rerank").where(F.col("rank") <= k).select(*light.columns, "text")
         cut = united(plain, light.join(texts, ["query_id", "chunk_id"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_engine.functions import tables
+from corpus_engine.functions import rule_tables, tables
 from corpus_engine.operators import search
 from corpus_engine.operators.collections import Collections
 from corpus_engine.operators.inverted_file import InvertedFile, recall
@@ -81,6 +81,20 @@ def finding_places_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def classified_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6, H9: documents by a rule set from Parquet: the longer words of the passages, for the label of their passage, and a pattern."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0))).alias("pattern")).distinct()
+    label = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.pmod("item_id", F.lit(3)) + 1).cast("int"))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("cap", "int"), ("density", "double"), ("bonus", "double"))]
+    literals = words.select(label.alias("label"), F.lit("word").alias("name"), F.lit("word").alias("kind"), "pattern", F.lit(1.0).alias("weight"), F.lit("text").alias("field"), *none)
+    pattern = spark.createDataFrame([("b", "digits", "regex", "[0-9]{2,}", 2.0, "text", 10, 0.01, 5.0)], "label string, name string, kind string, pattern string, weight double, field string, cap int, density double, bonus double")
+    path = new_path(spark, "rules")
+    literals.unionByName(pattern).write.parquet(path)
+    files = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = rule_tables.classify_by_table(files, spark.read.schema(rule_tables.RULES).parquet(path), "none")
+    return found.select("doc_id", "a_score", "b_score", "c_score", "doc_type", "confidence")
+
+
 def session_repeats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages as a stream of two batches, keyed state in between."""
     rows, path = store_queries.messages(spark, sf_dir), new_path(spark, "messages")
@@ -101,7 +115,7 @@ def session_repeats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_incremental, bm25_merged, collection_versions, knn_inverted_report, deep_page, finding_places_lateral, session_repeats_stream)
+    for f in (bm25_incremental, bm25_merged, collection_versions, knn_inverted_report, deep_page, finding_places_lateral, classified_by_table, session_repeats_stream)
 }
 
 _DOCS = """(SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0 UNION ALL
@@ -124,6 +138,14 @@ ORACLE_SQL = {
         FROM documents, (SELECT unnest([1, 2, 3, 4]) AS version)
         WHERE lang IS NOT NULL AND (version = 1 OR doc_id % 5 <> 0) AND (version < 4 OR lang <> 'fr')""",
     "deep_page": "SELECT source, doc_id, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY source NULLS FIRST, doc_id LIMIT 50 OFFSET (SELECT count(*) // 2 FROM documents)",
+    "classified_by_table": """WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{7,}')) AS p FROM benchmark),
+        r AS (SELECT p, count(*) FILTER (item_id % 3 = 0) AS a, count(*) FILTER (item_id % 3 = 1) AS b, count(*) FILTER (item_id % 3 = 2) AS c FROM w GROUP BY p),
+        m AS (SELECT doc_id, sum(a) AS a, sum(b) AS b, sum(c) AS c FROM documents JOIN r ON contains(text, p) GROUP BY doc_id),
+        d AS (SELECT doc_id, len(text) AS n, len(regexp_extract_all(text, '[0-9]{2,}')) AS k FROM documents),
+        s AS (SELECT d.doc_id, coalesce(a, 0)::DOUBLE AS a_score, coalesce(b, 0) + coalesce(least(k, 10) * 2.0 + CASE WHEN n > 0 AND k / n >= 0.01 THEN 5 ELSE 0 END, 0)::DOUBLE AS b_score, coalesce(c, 0)::DOUBLE AS c_score
+              FROM d LEFT JOIN m ON m.doc_id = d.doc_id)
+        SELECT *, CASE WHEN a_score > b_score AND a_score > c_score THEN 'a' WHEN b_score > a_score AND b_score > c_score THEN 'b' WHEN c_score > a_score AND c_score > b_score THEN 'c' ELSE 'none' END AS doc_type,
+        CASE WHEN a_score + b_score + c_score > 0 THEN round(greatest(a_score, b_score, c_score) / (a_score + b_score + c_score), 6) ELSE 0 END AS confidence FROM s""",
     "session_repeats_stream": store_queries.ORACLE_SQL["session_repeats"],
     "finding_places_lateral": " UNION ALL ".join(
         _places(rule, pattern) for rule, pattern in (("spaces", " {3,}"), ("newlines", "\\n{3,}"), ("controls", "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpus_engine.functions import rules, text
 from corpus_engine.operators import assemble, context, jobs, metrics, quality, retrieve, search
+from corpus_engine.operators.contexts import build_contexts
 from corpus_engine.operators.findings import distinct_findings
 from corpus_engine.operators.inverted_file import InvertedFile
 from corpus_engine.plans import search_queries, store_queries, text_queries
@@ -136,6 +137,32 @@ def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "chunk_id", "score", F.md5("text").alias("text"), F.substring(pair, 1, 4).alias("pair"))
 
 
+def retrieved_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As retrieved, and where the strategy reranks, hashes of pairs as the scores of another model."""
+    chunks, prepared = _decades(spark, sf_dir), rules.prepare_queries(_lawful(spark, sf_dir), text_queries.AS_OF_YEAR)
+    index = search.bm25_index(chunks)
+    pair = F.md5(F.concat_ws("|", F.col("query_id").cast("string"), F.col("chunk_id").cast("string")))
+    score = F.conv(F.substring(pair, 1, 6), 16, 10).cast("double") / 16777216
+    scorer = lambda rows: rows.select("query_id", "chunk_id", score.alias("score"))
+    found = retrieve.retrieve(prepared, index, search.posting_vectors(index), chunks, 3, scorer)
+    return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), F.md5("text").alias("text"))
+
+
+def contexts_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest message of each session as its question, passages as what was retrieved; history in 300 tokens."""
+    turns = store_queries.messages(spark, sf_dir)
+    newest = turns.groupBy("session_id").agg(F.max(F.struct("created_at", "id", "content")).alias("n"))
+    kind = F.when(F.col("session_id") % 3 == 0, "law").when(F.col("session_id") % 3 == 1, "odd")
+    asked = newest.select("session_id", F.col("n.content").alias("question"), kind.alias("query_type"))
+    history = turns.join(newest.select(F.col("n.id").alias("id")), "id", "left_anti")
+    found = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "passage")
+    met = asked.where("session_id % 4 > 0").join(found, (F.col("session_id") % 10 == F.col("item_id") % 10) & (F.col("item_id") < 30))
+    results = met.select("session_id", F.expr("int(item_id div 10)").alias("rank"), F.col("item_id").cast("string").alias("source"), F.col("passage").alias("text"))
+    known = spark.createDataFrame([("law", "LAW {retrieval_block} END", "law alone"), ("other", "ANY {retrieval_block}", "any alone")], "query_type string, with_context string, without_context string")
+    built = build_contexts(history, asked, results, known, "other", 1500, 500)
+    return built.withColumn("content", F.md5("content"))
+
+
 def routed_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scopes searched both ways and assembled; those of queries of two are fused."""
     chunks = _decades(spark, sf_dir)
@@ -221,7 +248,7 @@ def findings_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ingested, preprocessed, routed, routed_stats, top_confidence, latencies, generated, corrections, contexts, session_details, variants,
+        retrieved_reranked, contexts_built, ingested, preprocessed, routed, routed_stats, top_confidence, latencies, generated, corrections, contexts, session_details, variants,
         knn_approximate, findings_apart, retrieved, routed_both_ways, evaluation_whole, numbered_pages, appended_messages, samples_kept, truth_coverage, stage_counts,
         language_sizes, bm25_letters, prompts, findings_by_kind,
     )
@@ -266,7 +293,7 @@ def _deduped(name: str, found: str) -> str:
   SELECT r.*, row_number() OVER (PARTITION BY query_id, md5(d.text) ORDER BY rank, chunk_id) AS x FROM {found} r JOIN documents d ON d.doc_id = chunk_id) WHERE x = 1)"""
 
 
-def _retrieved_sql() -> str:
+def _retrieved_sql(rerank: bool = False) -> str:
     asked = f"asked AS (SELECT item_id AS query_id, {text_queries._LIST}[item_id % {len(text_queries.QUESTIONS)} + 1] || ' ' || substr(text, 1, 60) AS query FROM benchmark)"
     prepared = text_queries._prepared_sql().replace(text_queries._ASKED, asked).replace(" AS doc_type FROM t", " AS doc_type, q FROM t")
     tokens = """(SELECT query_id, unnest(list_concat(
@@ -274,12 +301,33 @@ def _retrieved_sql() -> str:
       flatten(list_transform(regexp_extract_all(lower(q), '[\\x{4e00}-\\x{9fff}]{2,}'), lambda r: list_transform(range(1, len(r)), lambda i: substr(r, i, 2)))))) AS term FROM pq)"""
     words = search_queries.BM25.replace(f"(SELECT item_id AS query_id, unnest({search_queries.TOKENS.format('text')}) AS term FROM benchmark)", tokens)
     near = search_queries.VECTORS.replace(f"qtok AS (SELECT item_id AS query_id, {search_queries.TOKENS.format('text')} AS toks FROM benchmark),", f"qtok AS (SELECT query_id, list(term) AS toks FROM {tokens} GROUP BY query_id),")
-    return f"""WITH pq AS ({prepared}), pb AS (SELECT query_id, greatest(3, floor(6 * k_multiplier)::INT) AS budget, retrieval_type AS kind FROM pq), {words}, {near},
+    return f"""WITH pq AS ({prepared}), pb AS (SELECT query_id, greatest(3, floor(6 * k_multiplier)::INT) AS budget, retrieval_type AS kind, enable_rerank FROM pq), {words}, {near},
 rv AS (SELECT query_id, chunk_id, rank, round(1 / (1 + distance), 6) AS score FROM vranked JOIN pb USING (query_id) WHERE rank <= budget),
 rw AS (SELECT query_id, chunk_id, rank, score FROM ranked JOIN pb USING (query_id) WHERE rank <= budget),
 {_fused('rf', 'rv', 'rw')}, rk AS (SELECT rf.*, kind FROM rf JOIN pb USING (query_id) WHERE rank <= budget),
-{_assembled('ra', 'rk')}, rc AS (SELECT * FROM ra WHERE rank <= 3), {_deduped('rd', 'rc')}
-SELECT query_id, rank, chunk_id, score, md5(text) AS text, substr(md5(query_id || '|' || chunk_id), 1, 4) AS pair FROM rd JOIN documents ON doc_id = chunk_id"""
+{_assembled('ra', 'rk')}, {_RERANKED if rerank else 'rc AS (SELECT * FROM ra WHERE rank <= 3)'}, {_deduped('rd', 'rc')}
+SELECT query_id, rank, chunk_id, {'round(score, 6) AS score' if rerank else 'score'}, md5(text) AS text{'' if rerank else ", substr(md5(query_id || '|' || chunk_id), 1, 4) AS pair"} FROM rd JOIN documents ON doc_id = chunk_id"""
+
+
+_RERANKED = """rn AS (SELECT ra.*, enable_rerank AND count(*) OVER (PARTITION BY query_id) > 3 AS many, ('0x' || substr(md5(query_id || '|' || chunk_id), 1, 6))::BIGINT / 16777216 AS new FROM ra JOIN pb USING (query_id)),
+ro AS (SELECT query_id, chunk_id, CASE WHEN many THEN new ELSE score END AS score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN NOT many THEN rank END, CASE WHEN many THEN new ELSE score END DESC, chunk_id) AS place FROM rn),
+rc AS (SELECT query_id, chunk_id, score, place AS rank FROM ro WHERE place <= 3)"""
+_BUILT = f"""WITH {store_queries._M}, n AS (SELECT *, {store_queries._NEWEST} AS n FROM m),
+q AS (SELECT session_id, content AS question FROM n WHERE n = 1), h AS (SELECT *, n <= 5 AS protected FROM n WHERE n > 1),
+ctx AS (SELECT session_id, '检索到的文档内容：' || chr(10) || string_agg('[' || (item_id // 10 + 1) || '] 来源: ' || item_id || chr(10) || '内容: ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY item_id) AS context
+  FROM q JOIN benchmark ON session_id % 10 = item_id % 10 AND item_id < 30 WHERE session_id % 4 > 0 GROUP BY 1),
+p AS (SELECT session_id, question, CASE WHEN context IS NOT NULL AND session_id % 3 = 0 THEN 'LAW ' || context || ' END' WHEN context IS NOT NULL THEN 'ANY ' || context WHEN session_id % 3 = 0 THEN 'law alone' ELSE 'any alone' END AS prompt
+  FROM q LEFT JOIN ctx USING (session_id)),
+b AS (SELECT session_id, 1000 - {store_queries._TOKENS.replace('content', 'prompt')} - {store_queries._TOKENS.replace('content', 'question')} AS budget FROM p),
+t AS (SELECT session_id, sum({store_queries._TOKENS}) AS history FROM h GROUP BY 1),
+c AS (SELECT session_id, budget, budget >= 0 AND coalesce(history, 0) > budget AS compress FROM b LEFT JOIN t USING (session_id)),
+o AS (SELECT h.*, row_number() OVER (PARTITION BY session_id, role = 'user' ORDER BY created_at, id) AS k FROM h JOIN c USING (session_id) WHERE compress AND NOT protected),
+s AS (SELECT session_id, min(id) AS id, max(created_at) AS created_at, '[历史对话摘要]' || chr(10) || coalesce(string_agg(substr(content, 1, 40), '；' ORDER BY k) FILTER (role = 'user' AND k <= 5), '') AS content FROM o GROUP BY 1),
+l AS (SELECT session_id, id, role, content, created_at, 2 AS k FROM h JOIN c USING (session_id) WHERE protected OR NOT compress UNION ALL SELECT session_id, id, 'assistant', content, created_at, 0 FROM s),
+f AS (SELECT session_id, id, role, content, created_at, k FROM (SELECT l.*, budget, sum({store_queries._TOKENS}) OVER (PARTITION BY session_id ORDER BY k DESC, created_at DESC, id DESC) AS upto FROM l JOIN c USING (session_id)) WHERE upto <= budget),
+r AS (SELECT * FROM f UNION ALL SELECT session_id, NULL, 'system', prompt, NULL, -1 FROM p UNION ALL SELECT session_id, NULL, 'user', question, NULL, 3 FROM p)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY k, created_at, id) - 1 AS place, role, md5(content) AS content, {store_queries._TOKENS} AS tokens,
+  sum({store_queries._TOKENS}) OVER (PARTITION BY session_id)::BIGINT AS total_tokens, compress AS was_compressed FROM r JOIN c USING (session_id)"""
 
 
 def _scope_sql(name: str, doc_type: str, kind: str, rest: int) -> str:
@@ -323,6 +371,8 @@ ORACLE_SQL = {
     "variants": _variant("control", text_queries._CLEAN["strip_control"]) + " UNION ALL " + _variant("space", text_queries._CLEAN["collapse_space"]),
     "knn_approximate": search_queries.ORACLE_SQL["knn_exact"],
     "retrieved": _retrieved_sql(),
+    "retrieved_reranked": _retrieved_sql(True),
+    "contexts_built": _BUILT,
     "routed_both_ways": _ROUTED_BOTH,
     "evaluation_whole": _WHOLE_EVALUATION,
     "numbered_pages": "SELECT conv_id AS doc_id, turn * 2 + 5 AS position, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page_number FROM conversations",

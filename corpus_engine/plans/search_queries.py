@@ -269,13 +269,15 @@ _CHUNK_BM25 = BM25.replace("SELECT doc_id AS chunk_id,", "SELECT chunk_id,").rep
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_terms, bm25_totals, bm25_top5, bm25_filtered, bm25_minmax, knn_exact, knn_similar, knn_collections, knn_text, hybrid_rrf,
+        knn_exact, knn_similar, knn_collections, bm25_totals, bm25_terms, bm25_top5, bm25_filtered, bm25_minmax, knn_text, hybrid_rrf,
         hybrid_summary, deduped, reranked, windows, parents, flagship, evaluation, evaluation_gain, confidence, lenient_relevance,
     )
 }
 ORACLE_SQL = {
-    "bm25_terms": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM terms",
-    "bm25_totals": f"WITH {BM25} SELECT n, round(avgdl, 6) AS avgdl FROM tot",
+    "bm25_terms": f"""WITH t AS (SELECT unnest(list_distinct({TOKENS.format('text')})) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+        i AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM d, (SELECT count(*) AS n FROM documents))
+        SELECT term, df, round(CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i) ELSE idf END, 6) AS idf FROM i""",
+    "bm25_totals": f"SELECT count(*) AS n, round(avg(len({TOKENS.format('text')})), 6) AS avgdl FROM documents",
     "bm25_top5": f"WITH {BM25} {_FIRST} WHERE rank <= 5",
     "bm25_filtered": f"""WITH {BM25} SELECT query_id, chunk_id, rank, score FROM (SELECT query_id, chunk_id, score,
         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank

@@ -64,7 +64,7 @@ def empty(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - {"op12_prefix_trie", "op13_hard_negatives"}))  # other tables: test_new_operators
 def test_odd_and_empty_tables(spark, odd, empty, name):
     rows = registry.queries()[name](spark, odd).collect()
     if name != "op6_prefix_forest":

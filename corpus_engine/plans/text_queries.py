@@ -344,6 +344,53 @@ _LETTERS = "list_distinct(list_filter(string_split({0}, ''), lambda c: c <> ''))
 _WORDS = f"list_distinct({TOKENS})"
 _JACCARD = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0 ELSE round(len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))), 6) END"
 
+def _merged_sql(parts: str, size: int, overlap: int) -> str:
+    """The fold of chunk.recursive_pieces over a list of parts."""
+    n, joined = "len(e.p)", "array_to_string(s.h, '')"
+    closed = f"(CASE WHEN len(s.h) > 0 THEN list_append(s.o, {joined}) ELSE s.o END)"
+    behind = f"list_filter(s.h, lambda w, i: len(array_to_string(s.h[i:], '')) <= least({overlap}, {size} - {n}))"
+    step = f"""CASE WHEN {n} > {size} THEN {{'o': list_append({closed}, e.p), 'h': []::VARCHAR[], 'p': ''}}
+      WHEN len(s.h) > 0 AND len({joined}) + {n} > {size} THEN {{'o': {closed}, 'h': list_append({behind}, e.p), 'p': ''}}
+      ELSE {{'o': s.o, 'h': list_append(s.h, e.p), 'p': ''}} END"""
+    rows = f"list_transform({parts}, lambda z: {{'o': []::VARCHAR[], 'h': []::VARCHAR[], 'p': z}})"
+    folded = f"list_reduce([{{'o': []::VARCHAR[], 'h': []::VARCHAR[], 'p': ''}}] || {rows}, lambda s, e: {step})"
+    return f"list_transform([{folded}], lambda s: {closed})[1]"
+
+
+def _recursive_sql(source: str, size: int = chunk.SIZE, overlap: int = chunk.OVERLAP) -> str:
+    """doc_id, list p of pieces of source(doc_id, text)."""
+    found = f"SELECT doc_id, [coalesce(text, '')] AS p FROM ({source})"
+    for mark in chunk.SEPARATORS:
+        if mark:
+            m = mark.replace("\n", "' || chr(10) || '")
+            parts = f"list_filter(list_transform(string_split(x, '{m}'), lambda y, i: CASE WHEN i > 1 THEN '{m}' || y ELSE y END), lambda y: y <> '')"
+            made = f"CASE WHEN len(x) <= {size} OR NOT contains(x, '{m}') THEN [x] ELSE {_merged_sql(parts, size, overlap)} END"
+        else:
+            made = f"CASE WHEN len(x) <= {size} THEN [x] ELSE list_transform(range(0, ceil((len(x) - {overlap}) / {size - overlap}.0)::BIGINT), lambda i: substr(x, i * {size - overlap} + 1, {size})) END"
+        found = f"SELECT doc_id, flatten(list_transform(p, lambda x: {made})) AS p FROM ({found})"
+    return f"SELECT doc_id, list_filter(list_transform(p, lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS p FROM ({found})"
+
+
+def _packed_sql(parts: str, size: int, mark: str) -> str:
+    """The fold of chunk.packed over a list of parts."""
+    closed = "(CASE WHEN s.h <> '' THEN list_append(s.o, s.h) ELSE s.o END)"
+    full = f"s.h <> '' AND len(s.h) + {2 if mark else 0} + len(e.h) > {size}"
+    more = f"s.h || {mark} || e.h" if mark else "s.h || e.h"
+    step = f"{{'o': CASE WHEN {full} THEN {closed} ELSE s.o END, 'h': CASE WHEN {full} OR s.h = '' THEN e.h ELSE {more} END}}"
+    rows = f"list_transform({parts}, lambda z: {{'o': []::VARCHAR[], 'h': z}})"
+    return f"list_transform([list_reduce([{{'o': []::VARCHAR[], 'h': ''}}] || {rows}, lambda s, e: {step})], lambda s: {closed})[1]"
+
+
+_BREAK = "(chr(10) || chr(10))"
+_SENTENCES = _packed_sql("string_split(regexp_replace(y, '([。！？.!?])', '\\1' || chr(1), 'g'), chr(1))", 5000, "")
+_PARAGRAPHS = f"flatten(list_transform(list_filter(string_split(text, {_BREAK}), lambda y: {_TRIM.format('y')} <> ''), lambda y: CASE WHEN len(y) > 5000 THEN {_SENTENCES} ELSE [y] END))"
+_PACKED = f"""SELECT doc_id, (i - 1)::INT AS chunk_index, p[i] AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (
+    SELECT doc_id, CASE WHEN len(text) <= 6000 THEN [text] ELSE {_packed_sql(_PARAGRAPHS, 5000, _BREAK)} END AS p FROM documents WHERE text <> ''))"""
+_ROUTED_TEXTS = f"SELECT doc_id, '第一章 总则' || chr(10) || '第一条 ' || s1 || chr(10) || '第二条 ' || s2 || chr(10) || '第二章 分则' || chr(10) || '第一节 一般' || chr(10) || '第三条 ' || s3 AS text FROM ({_STATUTES}) WHERE doc_id % 2 <> 0"
+_ROUTED_CHUNKS = f"""SELECT 'case' AS doc_type, 'plain' AS chunk_type, sum(len(p))::BIGINT AS chunks, count(*) AS documents FROM ({_recursive_sql(_ROUTED_TEXTS)}) WHERE len(p) > 0
+    UNION ALL SELECT 'law', kind, n * count(*), count(*) FROM documents, (VALUES ('parent', 2), ('child', 3)) AS k(kind, n) WHERE doc_id % 2 = 0 GROUP BY kind, n"""
+
+
 QUERIES = dict(_step(name, getattr(text, name)) for name in _CLEAN) | {
     f.__name__: f
     for f in (
@@ -360,6 +407,10 @@ ORACLE_SQL = {f"clean_{name}": f"SELECT doc_id, md5({sql}) AS cleaned FROM ({_PE
         FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)""",
     "chunks_fixed": """SELECT doc_id, i::INT AS chunk_index, n AS chunk_total, md5(c) AS chunk, len(c) AS char_count FROM (SELECT doc_id, i, n, substr(text, i * 450 + 1, 500) AS c
         FROM (SELECT doc_id, text, greatest(1, ceil((len(text) - 50) / 450.0)::INT) AS n, unnest(range(0, greatest(1, ceil((len(text) - 50) / 450.0)::INT))) AS i FROM documents))""",
+    "chunks_recursive": f"""SELECT doc_id, n AS chunk_total, (i - 1)::INT AS chunk_index, p[i] AS text, len(p[i])::INT AS char_count FROM (
+        SELECT doc_id, p, len(p)::INT AS n, unnest(range(1, len(p) + 1)) AS i FROM ({_recursive_sql('SELECT doc_id, text FROM documents')}))""",
+    "packed_paragraphs": _PACKED,
+    "routed_chunks": _ROUTED_CHUNKS,
     "chunks_rejoined": "SELECT doc_id, md5(text) AS text FROM documents",
     "articles": f"""WITH s AS ({_STATUTES}) SELECT doc_id, 'law_' || doc_id AS law_name, no AS article_number, chapter, cn AS chapter_number, section, sn AS section_number, md5(t) AS text, len(t) AS char_count FROM (
         SELECT doc_id, 1 AS no, '总则' AS chapter, 1 AS cn, NULL AS section, NULL AS sn, {_TRIM.format("'第一条 ' || s1")} AS t FROM s

@@ -1,5 +1,8 @@
 """Rules, cleaning steps and chunkers on hand-made rows."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from corpus_engine.functions import rules, text
@@ -42,11 +45,68 @@ def test_correction(spark):
     assert fix("最高法规定") == "最高人民法院规定" and fix("最高检 最高人民检察院") == "最高检 最高人民检察院"
 
 
-def test_recursive_pieces():
-    pieces = chunk.recursive_pieces("一段。" * 300 + "\n\n" + "x" * 1200, 500, 50)
-    assert all(0 < len(p) <= 500 for p in pieces)
-    assert "".join(pieces).count("x") >= 1200
-    assert chunk.recursive_pieces("", 500, 50) == []
+def plain_pieces(text, size, overlap, separators=chunk.SEPARATORS):
+    """The splitting by a loop and recursion."""
+    index = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
+    mark, finer = separators[index], separators[index + 1 :]
+    first, *rest = text.split(mark) if mark else [""]
+    parts = [p for p in (first, *(mark + r for r in rest)) if p] if mark else list(text)
+    out, held = [], []
+
+    def close():
+        if held and (piece := "".join(held).strip()):
+            out.append(piece)
+
+    for part in parts:
+        if len(part) > size and finer:
+            close()
+            held = []
+            out.extend(plain_pieces(part, size, overlap, finer))
+            continue
+        if held and len("".join(held)) + len(part) > size:
+            close()
+            while held and (len("".join(held)) > overlap or len("".join(held)) + len(part) > size):
+                held.pop(0)
+        held.append(part)
+    close()
+    return out
+
+
+def plain_packs(text, size, least):
+    def pack(parts, mark):
+        out, held = [], ""
+        for part in parts:
+            if held and len(held) + len(mark) + len(part) > size:
+                out.append(held)
+                held = part
+            else:
+                held = f"{held}{mark}{part}" if held else part
+        return [*out, held] if held else out
+
+    if len(text) <= least:
+        return [text] if text else []
+    parts = []
+    for paragraph in (p for p in text.split("\n\n") if p.strip()):
+        parts += pack(re.split(r"(?<=[。！？.!?])", paragraph), "") if len(paragraph) > size else [paragraph]
+    return pack(parts, "\n\n")
+
+
+def test_splitters_are_those_of_plain_python(spark):
+    draw = random.Random(7)
+    made = lambda n: "".join(draw.choice(["词", "a", "bc", " ", " ", "。", "，", "\n", "\n\n", ". ", "🙂", "x" * 30]) for _ in range(n))
+    texts = [None, "", "  \n", "一段。" * 300 + "\n\n" + "x" * 1200, "x" * 100, *[made(draw.randrange(200)) for _ in range(120)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for size, overlap in ((20, 5), (500, 50), (7, 0)):
+        found: dict = {}
+        for r in chunk.split_recursive(df, size, overlap).orderBy("doc_id", "chunk_index").collect():
+            found.setdefault(r.doc_id, []).append(r.text)
+            assert r.char_count == len(r.text)
+        assert found == {k: p for k, t in enumerate(texts) if (p := plain_pieces(t or "", size, overlap))}
+    for size, least in ((20, 30), (60, 60), (5000, 6000)):
+        found = {}
+        for r in chunk.pack_paragraphs(df, size, least).orderBy("doc_id", "chunk_index").collect():
+            found.setdefault(r.doc_id, []).append(r.text)
+        assert found == {k: p for k, t in enumerate(texts) if (p := plain_packs(t or "", size, least))}
 
 
 def test_structure(spark):

@@ -184,11 +184,17 @@ def _score_sql(rule: rules.Rule) -> str:
         return f"CASE WHEN contains({rule.field}, '{rule.pattern}') THEN {rule.weight} ELSE 0 END"
     n = f"len(regexp_extract_all({rule.field}, '{rule.pattern}'))"
     score = f"{f'least({n}, {rule.cap})' if rule.cap else n} * {rule.weight}"
-    return score + (f" + CASE WHEN {n} / len({rule.field}) >= {rule.density} THEN {rule.bonus} ELSE 0 END" if rule.density else "")
+    return score + (f" + CASE WHEN {n} / nullif(len({rule.field}), 0) >= {rule.density} THEN {rule.bonus} ELSE 0 END" if rule.density else "")
 
 
-def _scores(label: str) -> str:
-    return "(" + " + ".join(_score_sql(r) for r in rules.LEGAL_RULES if r.label == label) + ")::DOUBLE"
+def _scores(label: str, of: tuple[rules.Rule, ...] = rules.LEGAL_RULES) -> str:
+    return "(" + " + ".join(_score_sql(r) for r in of if r.label == label) + ")::DOUBLE"
+
+
+def _classified_sql(files: str, of: tuple[rules.Rule, ...]) -> str:
+    return f"""SELECT doc_id, law_score, case_score, CASE WHEN law_score > case_score THEN 'law' ELSE 'case' END AS doc_type,
+        CASE WHEN law_score + case_score > 0 THEN round(greatest(law_score, case_score) / (law_score + case_score), 6) ELSE 0 END AS confidence
+        FROM (SELECT doc_id, {_scores('law', of)} AS law_score, {_scores('case', of)} AS case_score FROM ({files}))"""
 
 
 OTHER_RULES = (
@@ -418,9 +424,8 @@ ORACLE_SQL = {f"clean_{name}": f"SELECT doc_id, md5({sql}) AS cleaned FROM ({_PE
         UNION ALL SELECT doc_id, 3, '分则', 2, '一般', 1, {_TRIM.format("'第三条 ' || s3")} FROM s)""",
     "statute_parts": f"""WITH s AS ({_STATUTES}) SELECT doc_id, '总则' AS chapter, NULL AS section, 2 AS child_count, md5({_TRIM.format("'第一章 总则' || chr(10) || '第一条 ' || s1 || chr(10) || '第二条 ' || s2")}) AS text FROM s
         UNION ALL SELECT doc_id, '分则', '一般', 1, md5({_TRIM.format("'第一节 一般' || chr(10) || '第三条 ' || s3")}) FROM s""",
-    "classified_files": f"""SELECT doc_id, law_score, case_score, CASE WHEN law_score > case_score THEN 'law' ELSE 'case' END AS doc_type,
-        CASE WHEN law_score + case_score > 0 THEN round(greatest(law_score, case_score) / (law_score + case_score), 6) ELSE 0 END AS confidence
-        FROM (SELECT doc_id, {_scores('law')} AS law_score, {_scores('case')} AS case_score FROM ({_FILES}))""",
+    "classified_files": _classified_sql(_FILES, rules.LEGAL_RULES),
+    "classified_other": _classified_sql("SELECT doc_id, source AS file_name, coalesce(text, '') AS text FROM documents", OTHER_RULES),
     "corrected_queries": f"WITH {_ASKED} SELECT query_id, query AS corrected_query FROM ({_correct_sql()})",
     "prepared_queries": _prepared_sql(),
     "query_profile": f"SELECT query_type, complexity, count(*) AS n, round(avg(confidence), 4) AS confidence FROM ({_prepared_sql()}) GROUP BY ALL",

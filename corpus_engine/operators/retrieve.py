@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_engine.functions import rules
-from corpus_engine.operators import assemble, search
+from corpus_engine.operators import assemble, search, store
 from corpus_engine.shared import materialize, united
 
 LAW, CASE = "法条", "案例"
@@ -21,16 +21,21 @@ SCOPES = {"law_search": ("law", LAW), "case_search": ("case", CASE)}
 KEY = 120
 
 
-def hybrid(queries: DataFrame, index: search.Index, vectors: DataFrame, chunks: DataFrame, most: int, doc_type: str | None = None) -> DataFrame:
+def hybrid(
+    queries: DataFrame, index: search.Index, vectors: DataFrame, chunks: DataFrame, most: int, doc_type: str | None = None, filters: dict | None = None
+) -> DataFrame:
     """queries(query_id, query, budget) -> query_id, chunk_id, rank, score, fusion_method: at most `budget` results each.
 
-    budget is at most `most`. doc_type: only chunks of it are found; statistics are those of all.
+    budget is at most `most`. doc_type, filters (see store.metadata_predicate): only such chunks are found;
+    statistics are those of all.
     """
     kept = chunks if doc_type is None else chunks.where(F.col("doc_type") == doc_type)
+    kept = kept.where(store.metadata_predicate(filters)) if filters else kept
+    narrowed = doc_type is not None or bool(filters)
     budget = queries.select("query_id", "budget")
-    words = search.bm25_search(queries, index, most, None if doc_type is None else kept.select("chunk_id"))
+    words = search.bm25_search(queries, index, most, kept.select("chunk_id") if narrowed else None)
     asked = search.hash_vectors(queries.select("query_id", F.col("query").alias("text")), "query_id")
-    near = search.knn_search(asked, vectors if doc_type is None else vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi"), most)
+    near = search.knn_search(asked, vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi") if narrowed else vectors, most)
     near = near.select("query_id", "chunk_id", "rank", F.round(search.distance_to_similarity(F.col("distance")), 6).alias("score"))
     within = lambda ranked: ranked.join(budget, "query_id").where(F.col("rank") <= F.col("budget")).drop("budget")
     keys = kept.select("chunk_id", F.substring("text", 1, KEY).alias("key"))
@@ -86,17 +91,18 @@ def retrieve(
     return renumbered(search.dedup_keep_first(cut)).select("query_id", "rank", "chunk_id", "score", "text")
 
 
-def routed(prepared: DataFrame, index: search.Index, vectors: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def routed(prepared: DataFrame, index: search.Index, vectors: DataFrame, chunks: DataFrame, k: int, filters: dict | None = None) -> DataFrame:
     """prepared(query_id, query, tools) -> query_id, rank, chunk_id, score.
 
     Each scope searches its kind of documents both ways, assembles its hits and drops repeated texts. The
     lists of queries of two scopes are fused by reciprocal rank and cut to k, laws first among equals;
-    of one scope, they are sorted by score.
+    of one scope, they are sorted by score. filters, on columns of chunks, hold in every scope for what is
+    found, not for the parents and neighbours that it is assembled with.
     """
     parts = []
     for tool, (doc_type, kind) in SCOPES.items():
         asked = prepared.where(F.array_contains("tools", tool)).select("query_id", "query", F.lit(k).alias("budget"))
-        found = materialize(hybrid(asked, index, vectors, chunks, k, doc_type), "hybrid").withColumn("retrieval_type", F.lit(kind))
+        found = materialize(hybrid(asked, index, vectors, chunks, k, doc_type, filters), "hybrid").withColumn("retrieval_type", F.lit(kind))
         parts.append(materialize(renumbered(search.dedup_keep_first(renumbered(assembled(found, chunks)))), "scope"))
     both = prepared.where(F.size("tools") == 2).select("query_id")
     of = lambda part, how: part.join(both, "query_id", how)

@@ -171,6 +171,16 @@ def routed_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.routed(passages(spark, sf_dir).withColumn("tools", scopes), index, search.posting_vectors(index), chunks, 4)
 
 
+def routed_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As routed_both_ways, only chunks of five years and three sources are found."""
+    made = (2015 + F.col("chunk_id") % 10).cast("int")
+    chunks = _decades(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source"), "chunk_id").withColumn("year", made)
+    index = search.bm25_index(chunks)
+    scopes = F.when(F.col("query_id") % 3 == 0, F.array(F.lit("law_search"))).when(F.col("query_id") % 3 == 1, F.array(F.lit("case_search"))).otherwise(F.array(F.lit("law_search"), F.lit("case_search")))
+    filters = {"year_range": {"start": 2017, "end": 2021}, "source": ["src1", "src2", "src5"], "unused": []}
+    return retrieve.routed(passages(spark, sf_dir).withColumn("tools", scopes), index, search.posting_vectors(index), chunks, 4, filters)
+
+
 def evaluation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics of all six stages; passages take parents, neighbours or nothing by turns, hashes of the pairs rerank them."""
     kind = F.when(F.col("query_id") % 3 == 0, retrieve.LAW).when(F.col("query_id") % 3 == 1, retrieve.CASE).otherwise("其他")
@@ -248,7 +258,7 @@ def findings_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        retrieved_reranked, contexts_built, ingested, preprocessed, routed, routed_stats, top_confidence, latencies, generated, corrections, contexts, session_details, variants,
+        retrieved_reranked, routed_filtered, contexts_built, ingested, preprocessed, routed, routed_stats, top_confidence, latencies, generated, corrections, contexts, session_details, variants,
         knn_approximate, findings_apart, retrieved, routed_both_ways, evaluation_whole, numbered_pages, appended_messages, samples_kept, truth_coverage, stage_counts,
         language_sizes, bm25_letters, prompts, findings_by_kind,
     )
@@ -374,6 +384,7 @@ ORACLE_SQL = {
     "retrieved_reranked": _retrieved_sql(True),
     "contexts_built": _BUILT,
     "routed_both_ways": _ROUTED_BOTH,
+    "routed_filtered": _ROUTED_BOTH.replace(" AS doc_type FROM documents)", " AS doc_type FROM documents WHERE doc_id % 10 BETWEEN 2 AND 6 AND source IN ('src1', 'src2', 'src5'))", 1),
     "evaluation_whole": _WHOLE_EVALUATION,
     "numbered_pages": "SELECT conv_id AS doc_id, turn * 2 + 5 AS position, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page_number FROM conversations",
     "appended_messages": f"""WITH {store_queries._M}, g AS (SELECT session_id, count(*) FILTER (session_id % 2 = 0 OR id % 60 < 3) AS messages, nullif(count(*) FILTER (session_id % 2 = 1 AND id % 60 >= 3), 0) AS unknown,

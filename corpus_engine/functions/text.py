@@ -30,7 +30,7 @@ PERSONAL = (
 MASK = "***"
 RUNS_OF_SPACE = r"(?U)\s+"
 LATIN_TOKEN = r"[\p{L}\p{N}&&[^一-鿿]]{2,}"
-HAN_RUN = r"[一-鿿]{2,}"
+HAN_PAIR = r"(?=([一-鿿]{2}))"
 
 
 def strip(text: Column) -> Column:
@@ -130,9 +130,8 @@ def tokenize(text: Column) -> Column:
     """Lower-case tokens of two characters and more; runs of Han characters give their bigrams."""
     low = F.lower(F.coalesce(text, F.lit("")))
     latin = F.regexp_extract_all(low, F.lit(LATIN_TOKEN), F.lit(0))
-    runs = F.regexp_extract_all(low, F.lit(HAN_RUN), F.lit(0))
-    pairs = F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))
-    return F.concat(latin, F.flatten(pairs))
+    pairs = F.regexp_extract_all(low, F.lit(HAN_PAIR), F.lit(1))  # looks ahead only, so pairs overlap
+    return F.concat(latin, pairs)
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -33,8 +33,9 @@ def bm25_index(chunks: DataFrame, tokenizer: Callable[[Column], Column] = tokeni
     """Index chunks(chunk_id, text). Terms in over half the chunks have a negative idf, which is
     replaced by eps times the mean idf, negative ones included. Texts are read once: the postings
     are written, and all statistics come from them. Chunks without tokens count in n
-    and in the mean length, and match nothing."""
-    tokens = chunks.select("chunk_id", tokenizer(F.col("text")).alias("tokens"))
+    and in the mean length, and match nothing. Texts are dealt out by chunk before they are taken apart,
+    so postings, which are more than they, are not shuffled; rows that share a chunk_id are one chunk and meet in one task."""
+    tokens = chunks.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", tokenizer(F.col("text")).alias("tokens"))
     single = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     postings = materialize(single.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf")), "postings")
     summed = F.broadcast(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")))  # one row

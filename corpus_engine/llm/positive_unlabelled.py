@@ -125,7 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     """Train from docs(doc_id, text) and labels(doc_id, toxic), both without held-out rows.
 
     A doc_id is toxic if any of its labels is. The ids of the sample are the smallest hashes, at
-    most `positives` and `unlabelled` of them. Words are counted and chosen on the executors; the
+    most `positives` and `unlabelled` of them; of rows that share an id one is learned from, however many
+    there are. Words are counted and chosen on the executors; the
     driver gets the kept words and, for each text of the sample, which of them it holds: at most KEPT
     numbers a text, however long it is. Without toxic or without other texts the classifier knows
     no words and scores the prior.
@@ -138,13 +139,15 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     chosen = smallest(known, positives).withColumn("_p", F.lit(1)).unionByName(
         smallest(ids.join(known, "_id", "left_anti").distinct(), unlabelled).withColumn("_p", F.lit(0))
     )
-    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_p", "text")
+    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_p", "_id", "text")
 
     def work():
         kind = pa.list_(pa.int32())
         return lambda found: [pa.array([word_ids(t) for t in found], kind)]
 
-    rows = materialize(map_texts(texts, ["_p"], "text", work, "words array<int>").withColumn("row", F.monotonically_increasing_id()), "toxic-words")
+    rows = materialize(map_texts(texts, ["_p", "_id"], "text", work, "words array<int>").withColumn("row", F.monotonically_increasing_id()), "toxic-words")
+    first = rows.groupBy("_id").agg(F.min(F.struct(F.xxhash64("words"), "row")).alias("k")).select(F.col("k.row").alias("_row"))
+    rows = rows.join(F.broadcast(first), F.col("row") == F.col("_row")).drop("_row")  # a number an id of the sample
     single = rows.select("_p", "row", F.explode("words").alias("word"))
     n, m = (rows.where(F.col("_p") == k).count() for k in (1, 0))
     if not n or not m:

@@ -31,8 +31,8 @@ TREES, LETTERS = 64, 32
 BLOCK_ROWS, QUERY_ROWS = 8192, 16_384
 #: Letters of the first tree's prefixes that blocks are made of.
 CELL = 18
-#: Distinct vectors at which a query stops ascending in its own block.
-HOME = 2048
+#: Distinct vectors at which a query stops ascending in its own block, and the share of the block at which it does.
+HOME, HOME_SHARE = 2048, 0.25
 #: Chance that a neighbour as near as the last one found at home shares no prefix with the query.
 MISS = 0.1
 #: Lengths of prefixes by which blocks are found; queries that need shorter ones visit all blocks.
@@ -123,9 +123,13 @@ class Forest:
         seen[rows] = False
         return rows
 
-    def ascend(self, own: np.ndarray, enough: int) -> list[np.ndarray]:
-        """For each query the vectors under its prefixes, at the longest length at which there are enough distinct ones."""
+    def ascend(self, own: np.ndarray, most: int) -> list[np.ndarray]:
+        """For each query the vectors under its prefixes, at the longest length at which there are enough distinct ones.
+
+        HOME_SHARE of the block's are enough, and `most` are in any case.
+        """
         n = len(self.vectors)
+        enough = min(most, int(np.ceil(HOME_SHARE * n)))
         found = [np.arange(n)] * len(own)
         todo = np.arange(len(own) if enough < n else 0)
         seen = np.zeros(n, bool)

@@ -195,6 +195,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert ((rows.toPandas().score >= 0.5) == (rows.toPandas().predicted == 1)).all()
 
 
+def test_toxicity_learns_once_from_a_repeated_id(spark):
+    """A third of all rows under one id, toxic or not, alike or all different: one of them is learned from."""
+    rows = [(k, "calm words here" + " vile" * (k % 4 == 0)) for k in range(80)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(80)], "doc_id long, toxic int")
+    once = positive_unlabelled.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    for key in (4, 5):
+        for texts in ([rows[key][1]] * 40, [f"{rows[key][1]} {k}x" for k in range(40)]):
+            more = spark.createDataFrame([*rows[:key], *rows[key + 1 :], *((key, t) for t in texts)], "doc_id long, text string")
+            again = positive_unlabelled.fit(more.repartition(4), labels)
+            assert again.ids.tolist() == once.ids.tolist() and np.allclose(again.weights, once.weights) and np.isclose(again.bias, once.bias)
+
+
 def test_toxicity_is_that_of_plain_python(spark):
     """Words, their evidence, the risk and its descent, done again with plain loops over dense rows."""
     rng = np.random.default_rng(4)
@@ -332,6 +344,19 @@ def test_forest_recall(spark):
     assert n == 100 and share >= 0.9
 
 
+def test_forest_recall_of_one_block(spark):
+    """The given tables are a block or less: there too only a part of the vectors is ranked."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = rows.where("vec_id % 20 = 0")
+    share, n = recall(spark, rows, asked, prefix_forest.op6_prefix_forest(spark, "/root/testdata/sf0.1"))
+    assert n == 100 and share >= 0.9
+    matrix = np.stack(rows.select("embedding").distinct().toPandas().embedding).astype(float)
+    strings = prefix_forest.strings_of(matrix, np.sqrt((matrix**2).sum(1).max()))
+    forest = prefix_forest.Forest(matrix, np.arange(len(matrix)), np.arange(len(matrix) + 1), strings)
+    home = [len(near) for near in forest.ascend(prefix_forest.strings_of(matrix[:50], None), prefix_forest.HOME)]
+    assert len(matrix) / 4 <= min(home) and np.mean(home) < len(matrix) / 2
+
+
 def made_vectors(spark, path: str, n: int, spread: float, copies: int = 0, seed: int = 3):
     """n unit vectors about n / 100 centres, and copies of one of them."""
     import pyarrow as pa

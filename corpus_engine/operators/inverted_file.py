@@ -21,8 +21,10 @@ from corpus_engine.shared import materialize, ship, united
 
 #: Vectors that centroids are learned from, at most; rounds of learning; cells at most.
 SAMPLE, ROUNDS, CELLS = 50_000, 8, 4096
-#: Rows of a cell that are searched in one task.
-BLOCK = 20_000
+#: Rows that are searched in one task, at most, and queries that they meet there; shares that rows are dealt into, at least.
+BLOCK, SLICE, SHARES = 20_000, 20_000, 32
+#: Vectors that are held against all centroids at once; probes that are handed on at once.
+STEP, PROBES = 512, 16_384
 
 
 def _sound(df: DataFrame, key: str) -> DataFrame:
@@ -34,6 +36,29 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * x @ c.T, 0))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """At most STEP rows of the batches at a time, with their vectors, which are the second column."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            yield part, np.asarray(part.column(1).flatten()).reshape(part.num_rows, -1)
+
+
+def _shares(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell its first share and how many it has. Cells lie together up to `most` rows, larger ones have shares of their own."""
+    first, blocks = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // most))
+    share, held = 0, 0
+    for cell, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            share, held = share + 1, 0
+        first[cell] = share
+        if size > most:
+            share += int(blocks[cell])
+        else:
+            held += size
+    return first, blocks
+
+
 def centroids(vectors: DataFrame, cells: int, sample: int = SAMPLE) -> np.ndarray:
     """`cells` centres of at most `sample` vectors(chunk_id, v), learned by ROUNDS rounds of k-means on the driver."""
     drawn = vectors.orderBy(F.xxhash64("chunk_id", F.lit("sample")), "chunk_id").limit(sample).select("v").toArrow()
@@ -51,8 +76,9 @@ def centroids(vectors: DataFrame, cells: int, sample: int = SAMPLE) -> np.ndarra
 class InvertedFile:
     """vectors(chunk_id, v) by cells, written; all of one length.
 
-    rows(chunk_id, v, cell, block): a cell with more than BLOCK rows has several blocks, so a cell that holds a third of
-    all rows is the work of many tasks. `sizes` and `radius` have a number a cell.
+    rows(chunk_id, v, cell, share): a share has whole cells of at most BLOCK rows together, or a part of a larger cell, so a
+    cell that holds a third of all rows is the work of many tasks. `sizes`, `radius`, `first` (its first share) and `blocks`
+    (how many shares it has) have a number a cell.
     """
 
     def __init__(self, vectors: DataFrame, cells: int | None = None):
@@ -67,11 +93,10 @@ class InvertedFile:
         kind = vectors.schema["chunk_id"].dataType.simpleString()
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    d = _distances(np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1), shared.value)
-                    cell = d.argmin(1)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=["chunk_id", "v", "cell", "away"])
+            for part, x in _parts(batches):
+                d = _distances(x, shared.value)
+                cell = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=["chunk_id", "v", "cell", "away"])
 
         cut = sound.mapInArrow(placed, f"chunk_id {kind}, v array<double>, cell int, away double")
         cut = materialize(cut, "cells")
@@ -79,80 +104,95 @@ class InvertedFile:
         self.sizes, self.radius = np.zeros(len(self.centre), np.int64), np.zeros(len(self.centre))
         for r in found:
             self.sizes[r.cell], self.radius[r.cell] = r.n, r.r * (1 + 1e-9) + 1e-9
-        self.blocks = np.maximum(1, -(-self.sizes // BLOCK))
-        several = F.element_at(F.array(*[F.lit(int(b)) for b in self.blocks]), F.col("cell") + 1) if self.blocks.max() > 1 else F.lit(1)
-        block = F.pmod(F.xxhash64("chunk_id", F.monotonically_increasing_id()), several).cast("int")
-        dealt = cut.withColumn("block", block).repartition("cell", "block")
-        self.rows = materialize(dealt.select("chunk_id", "v", "cell", "block"), "inverted-file")
+        self.first, self.blocks = _shares(self.sizes, min(BLOCK, max(1, -(-self.n // SHARES))))
+        table = list(zip(range(len(self.sizes)), self.first.tolist(), self.blocks.tolist()))
+        deal = F.broadcast(spark.createDataFrame(table, "cell int, first int, blocks int"))  # CELLS rows at most
+        numbered = cut.withColumn("number", F.xxhash64("chunk_id", F.monotonically_increasing_id())).join(deal, "cell")
+        dealt = numbered.withColumn("share", (F.col("first") + F.pmod("number", "blocks")).cast("int")).repartition("share")
+        self.rows = materialize(dealt.select("chunk_id", "v", "cell", "share"), "inverted-file")
 
     def search(self, queries: DataFrame, k: int, first: int = 2, reach: float = 1.0) -> tuple[DataFrame, int]:
         """queries(query_id, v) -> (query_id, chunk_id, distance, rank) as search.knn_search gives them, and how many pairs were compared."""
         asked = _sound(queries, "query_id").where(F.size("v") == self.dims)
         kind = queries.schema["query_id"].dataType.simpleString()
-        centre, radius, blocks, sizes = self.centre, self.radius, self.blocks, self.sizes
-        shared = queries.sparkSession.sparkContext.broadcast((centre, radius, blocks, sizes))
+        shared = queries.sparkSession.sparkContext.broadcast((self.centre, self.radius, self.first, self.blocks, self.sizes))
 
         def probes(own: bool):
-            """Blocks of cells for each query: its nearest ones, with rows enough, or the others within `kth`."""
+            """Cells for each query, by shares: its nearest ones, with rows enough, or the others within `kth`."""
 
             def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                centre, radius, blocks, sizes = shared.value
-                for batch in batches:
-                    if not batch.num_rows:
-                        continue
-                    d = _distances(np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1), centre)
+                centre, radius, shares, blocks, sizes = shared.value
+                for part, x in _parts(batches):
+                    d = _distances(x, centre)
                     order = np.argsort(d, axis=1, kind="stable")
-                    kth = None if own else batch.column(2).to_numpy(zero_copy_only=False)
-                    at, cells = [], []
+                    kth = None if own else part.column(2).to_numpy(zero_copy_only=False)
+                    taken = []
                     for i in range(len(d)):
                         held = np.cumsum(sizes[order[i]])
                         begun = max(first, int(np.searchsorted(held, k)) + 1)  # as many cells as hold k rows
                         mine = order[i][:begun] if own else order[i][begun:]
                         if not own and not np.isnan(kth[i]):
                             mine = mine[d[i][mine] - reach * radius[mine] <= np.sqrt(kth[i]) + 1e-6]
-                        mine = mine[sizes[mine] > 0]
-                        for c in mine.tolist():
-                            cells += [(c, b) for b in range(blocks[c])]
-                            at += [i] * int(blocks[c])
-                    taken = pa.array(at, pa.int64())
-                    columns = [batch.column(0).take(taken), batch.column(1).take(taken), pa.array([c for c, _ in cells], pa.int32()), pa.array([b for _, b in cells], pa.int32())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "v", "cell", "block"])
+                        taken.append(mine[sizes[mine] > 0].astype(np.int32))
+                    cells, of = np.concatenate(taken), np.repeat(np.arange(len(d)), [len(t) for t in taken])
+                    several = blocks[cells]
+                    begin = np.repeat(np.cumsum(several) - several, several)
+                    cells, of = np.repeat(cells, several), np.repeat(of, several)
+                    share = shares[cells] + np.arange(len(cells)) - begin
+                    sort = np.lexsort((share, of))
+                    cells, of, share = cells[sort], of[sort], share[sort]
+                    starts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (share[1:] != share[:-1])]) if len(of) else np.empty(0, np.int64)
+                    pairs = np.add.reduceat(-(-sizes[cells] // blocks[cells]), starts) if len(of) else starts
+                    ends = np.r_[starts[1:], len(of)]
+                    for at in range(0, len(starts), PROBES):
+                        these, until = starts[at : at + PROBES], ends[at : at + PROBES]
+                        query = pa.array(of[these], pa.int64())
+                        lists = pa.ListArray.from_arrays(pa.array(np.r_[these, until[-1]] - these[0], pa.int32()), pa.array(cells[these[0] : until[-1]]))
+                        columns = [part.column(0).take(query), part.column(1).take(query), pa.array(share[these].astype(np.int32)), lists, pa.array(pairs[at : at + PROBES], pa.int64())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "v", "share", "cells", "pairs"])
 
             return work
 
-        schema = f"query_id {kind}, v array<double>, cell int, block int"
+        slices = -(-max(asked.count(), 1) // SLICE)
+        schema = f"query_id {kind}, v array<double>, share int, cells array<int>, pairs long"
         near = materialize(asked.mapInArrow(probes(True), schema), "probes")
-        best = materialize(self._scored(near, k, kind), "near")
+        best = materialize(self._scored(near, k, kind, slices), "near")
         bound = best.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("distance").alias("kth"))
         bounded = asked.join(bound, F.col("query_id") == F.col("_q"), "left").select("query_id", "v", "kth")
         further = materialize(bounded.mapInArrow(probes(False), schema), "further-probes")
-        every = united(best.drop("rank"), self._scored(further, k, kind).drop("rank"))
-        pairs = F.sum(F.element_at(F.array(*[F.lit(int(-(-s // b))) for s, b in zip(sizes, blocks)]), F.col("cell") + 1))
-        compared = sum(df.agg(pairs).first()[0] or 0 for df in (near, further))
+        every = united(best.drop("rank"), self._scored(further, k, kind, slices).drop("rank"))
+        compared = sum(df.agg(F.sum("pairs")).first()[0] or 0 for df in (near, further))
         return search.top_k(every, k, [F.col("distance"), F.col("chunk_id")]), compared
 
-    def _scored(self, probes: DataFrame, k: int, kind: str) -> DataFrame:
-        """The k nearest of each query in the blocks it probes."""
+    def _scored(self, probes: DataFrame, k: int, kind: str, slices: int) -> DataFrame:
+        """The k nearest of each query in the cells it probes. A share meets the queries of one slice in a task of its own."""
         name = self.rows.schema["chunk_id"].dataType.simpleString()
 
         def work(left: pa.Table, right: pa.Table) -> pa.Table:
             at, places, found = [], [], []
             if left.num_rows and right.num_rows:
+                left = left.take(pa.array(np.argsort(np.asarray(left.column("cell")), kind="stable")))
                 x, q = (np.asarray(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (left, right))
-                ids = np.asarray(left.column("chunk_id"))
+                ids, lists = np.asarray(left.column("chunk_id")), right.column("cells").combine_chunks()
+                cells, begins, ends = np.unique(np.asarray(left.column("cell")), return_index=True, return_counts=True)
+                ends = begins + ends
+                probed, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
                 for i, one in enumerate(q):
-                    d = np.round(((x - one) ** 2).sum(1), 6)
+                    of = np.isin(cells, probed[offsets[i] : offsets[i + 1]])
+                    own = slice(None) if of.all() else np.concatenate([np.arange(b, e) for b, e in zip(begins[of], ends[of])] or [np.empty(0, int)])
+                    d = np.round(((x[own] - one) ** 2).sum(1), 6)
                     best = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                    best = best[np.lexsort((ids[best], d[best]))[:k]]
+                    best = best[np.lexsort((ids[own][best], d[best]))[:k]]
                     at.append(np.full(len(best), i))
-                    places.append(best)
+                    places.append(best if of.all() else own[best])
                     found.append(d[best])
             joined = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
             out = {"query_id": right.column("query_id").take(pa.array(joined(at, int), pa.int64())), "chunk_id": left.column("chunk_id").take(pa.array(joined(places, int), pa.int64()))}
             return pa.table(out | {"distance": pa.array(joined(found, float))})
 
-        rows = self.rows.toDF(*self.rows.columns)
-        met = rows.groupBy("cell", "block").cogroup(probes.groupBy("cell", "block")).applyInArrow(work, f"query_id {kind}, chunk_id {name}, distance double")
+        rows = self.rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        asked = probes.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
+        met = rows.groupBy("share", "slice").cogroup(asked.groupBy("share", "slice")).applyInArrow(work, f"query_id {kind}, chunk_id {name}, distance double")
         return search.top_k(met, k, [F.col("distance"), F.col("chunk_id")])
 
 

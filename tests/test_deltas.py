@@ -14,6 +14,7 @@ from corpus_engine.operators.collections import Collections
 from corpus_engine.operators.pages import PageIndex
 from corpus_engine.operators.posting_segments import PostingSegments
 from corpus_engine.plans import registry, text_queries
+from corpus_engine.shared import materialize
 from corpus_engine.sources.manifest import Manifest, VersionConflict
 
 
@@ -201,3 +202,29 @@ def test_lists_compose_in_one_plan(spark, small, monkeypatch, name, broadcasts):
         agree(registry.queries()[name](spark, small), registry.oracle_sql()[name], small)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_probes_are_handed_on_in_small_batches(spark, monkeypatch):
+    """A query goes to a share of rows once, not to each of its cells, and few probes are held at once."""
+    draw = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(draw.standard_normal((3000, 8)))], "chunk_id long, v array<double>").repartition(2)
+    asked = rows.where("chunk_id % 5 = 0").withColumnRenamed("chunk_id", "query_id")
+    monkeypatch.setattr(inverted_file, "STEP", 50)
+    monkeypatch.setattr(inverted_file, "PROBES", 40)
+    monkeypatch.setattr(inverted_file, "SLICE", 250)
+    monkeypatch.setattr(inverted_file, "BLOCK", 500)
+    monkeypatch.setattr(inverted_file, "SHARES", 6)
+    kept = {}
+    monkeypatch.setattr(inverted_file, "materialize", lambda df, name: kept.setdefault(name, materialize(df, name)))
+    built = inverted_file.InvertedFile(rows)
+    found, compared = built.search(asked, 10)
+    shares = built.rows.groupBy("share").count().collect()
+    assert max(r["count"] for r in shares) <= 500 and 6 <= len(shares) <= 13 and built.blocks.max() == 1
+    probes = kept["further-probes"]
+    assert probes.groupBy("query_id", "share").count().where("count > 1").count() == 0 and probes.count() <= 600 * len(shares)
+    cells = probes.select(F.explode("cells").alias("cell"), "share")
+    assert cells.join(built.rows.select("cell", "share").distinct(), ["cell", "share"], "left_anti").count() == 0
+    sizes = {r.cell: r["count"] for r in built.rows.groupBy("cell").count().collect()}
+    assert compared == sum(sizes[r.cell] * r["count"] for name in ("probes", "further-probes") for r in kept[name].select(F.explode("cells").alias("cell")).groupBy("cell").count().collect())
+    want = search.knn_search(asked, rows, 10).select("query_id", "chunk_id", "distance", "rank")
+    assert sorted(map(tuple, found.select("query_id", "chunk_id", "distance", "rank").collect())) == sorted(map(tuple, want.collect()))

@@ -76,7 +76,9 @@ class PostingSegments:
         base = self.manifest.latest()
         rows = self.manifest.entries(base)
         tokens = materialize(chunks.select("chunk_id", self.tokenizer(F.col("text")).alias("tokens")).select("chunk_id", "tokens", F.size("tokens").alias("dl")), "tokens")
-        postings = tokens.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+        total = tokens.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first().tokens
+        dealt = tokens.repartition(search.tasks(self.spark, total, search.TASK_TOKENS), "chunk_id")
+        postings = dealt.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
         entry = self._write_segment(postings, tokens.select("chunk_id", "dl"), self._next(rows))
         return self.manifest.commit([*rows, entry], base)
 

@@ -228,3 +228,33 @@ def test_probes_are_handed_on_in_small_batches(spark, monkeypatch):
     assert compared == sum(sizes[r.cell] * r["count"] for name in ("probes", "further-probes") for r in kept[name].select(F.explode("cells").alias("cell")).groupBy("cell").count().collect())
     want = search.knn_search(asked, rows, 10).select("query_id", "chunk_id", "distance", "rank")
     assert sorted(map(tuple, found.select("query_id", "chunk_id", "distance", "rank").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_more_text_makes_more_tasks_not_larger_ones(spark, monkeypatch):
+    """Postings, scores and vectors are made in tasks of bounded size, with the same results; rows of one id still meet."""
+    draw = random.Random(8)
+    words = [f"word{i}" for i in range(40)]
+    texts = [(i % 190, " ".join(draw.choices(words, k=draw.randrange(1, 30)))) for i in range(200)] + [(500, ""), (501, None)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(q, " ".join(draw.choices(words, k=3))) for q in range(20)], "query_id long, query string")
+
+    def made():
+        index = search.bm25_index(chunks)
+        scores = search.bm25_scores(search.query_terms(asked), index)
+        vectors = search.posting_vectors(index)
+        rows = index.postings.groupBy(F.input_file_name()).agg(F.sum("tf").alias("n")).collect()
+        sums = scores.groupBy(F.spark_partition_id()).count().collect()
+        held = vectors.groupBy(F.spark_partition_id()).count().collect()
+        every = [sorted(map(repr, df.collect())) for df in (index.postings, search.bm25_search(asked, index, 5), vectors, index.totals)]
+        return every, max(r.n for r in rows), max(r["count"] for r in sums), max(r["count"] for r in held), index.postings
+
+    want, *most, postings = made()
+    assert postings.where("chunk_id = 3").select("term", "dl").distinct().count() == postings.where("chunk_id = 3").count()
+    monkeypatch.setattr(search, "TASK_BYTES", 800)
+    monkeypatch.setattr(search, "TASK_TOKENS", 120)
+    monkeypatch.setattr(search, "TASK_SUMS", 100)
+    found, *less, _ = made()
+    assert found == want and all(b < a / 2 for a, b in zip(most, less))
+    nothing = search.bm25_index(chunks.where("chunk_id < 0"))
+    assert search.bm25_search(asked, nothing, 5).count() == 0 and search.posting_vectors(nothing).count() == 0
+    assert nothing.totals.first() == (0, None)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_engine.functions.text import cn_to_int, strip
-from corpus_engine.shared import materialize, united
+from corpus_engine.shared import TASK_BYTES, materialize, tasks, united
 
 SIZE, OVERLAP = 500, 50
 # Separators in the order they are tried, and the marks of structure.
@@ -137,10 +137,13 @@ def split_structured(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     A chapter or section opens a parent; articles before any are a parent of their own. A
     parent's text runs from its heading to the end of its last article, children are articles.
     Parents without articles go. Documents without marks are a parent, and have no child. Each row is a
-    document of its own, also where rows share a doc_id; `_row` tells them apart.
+    document of its own, also where rows share a doc_id; `_row` tells them apart. Lines of a document meet
+    in one task, so texts are measured first, and a task gets about TASK_BYTES of them.
     """
     if "_row" not in df.columns:
         df = with_rows(df.select("doc_id", "file_name", "text"))
+    size = df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
+    df = df.repartition(tasks(df.sparkSession, size, TASK_BYTES), "_row")
     lines = df.select("_row", "doc_id", F.regexp_replace("file_name", r"\.[^.]*$", "").alias("law_name"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
 
     def part(pattern: str, group: int) -> Column:

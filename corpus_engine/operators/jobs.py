@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpus_engine.functions import rules, text
 from corpus_engine.operators import chunk, search, store
+from corpus_engine.shared import materialize
 
 
 def ingest(files: DataFrame, known: DataFrame, steps: tuple = text.DEFAULT_STEPS) -> DataFrame:
@@ -16,7 +17,8 @@ def ingest(files: DataFrame, known: DataFrame, steps: tuple = text.DEFAULT_STEPS
     """
     fresh = store.dedup_ingest(files, known).select("doc_id", "file_name", "text", "file_hash")
     cleaned = text.clean_corpus(fresh, steps=steps, source="file_name").select("doc_id", "file_name", "text", "file_hash")
-    kinds = rules.classify_documents(cleaned)
+    kinds = rules.classify_documents(cleaned).select("doc_id", "file_name", "text", "file_hash", "doc_type", "confidence")
+    kinds = materialize(kinds, "kinds")  # read twice
     facts = kinds.select("doc_id", "file_hash", F.col("confidence").alias("classification_confidence"))
     chunks = chunk.route_and_split(kinds.select("doc_id", "file_name", "text", "doc_type"))
     return chunks.join(facts, "doc_id")

@@ -9,7 +9,7 @@ from oracle import agree
 from pyspark.sql import functions as F
 
 from corpus_engine.functions import tables, text
-from corpus_engine.operators import findings, inverted_file, quality, retrieve, search
+from corpus_engine.operators import chunk, findings, inverted_file, jobs, quality, retrieve, search
 from corpus_engine.operators.collections import Collections
 from corpus_engine.operators.pages import PageIndex
 from corpus_engine.operators.posting_segments import PostingSegments
@@ -258,3 +258,26 @@ def test_more_text_makes_more_tasks_not_larger_ones(spark, monkeypatch):
     nothing = search.bm25_index(chunks.where("chunk_id < 0"))
     assert search.bm25_search(asked, nothing, 5).count() == 0 and search.posting_vectors(nothing).count() == 0
     assert nothing.totals.first() == (0, None)
+
+
+def test_lines_are_dealt_out_by_size_of_texts(spark, monkeypatch):
+    """Documents are taken apart in tasks of bounded size; parents and children are the same."""
+    law = "第一章 总则\n第一条 甲\n乙\n第二条 丙\n第二章 附则\n第三条 丁"
+    docs = spark.createDataFrame([(i, f"law_{i}.md", law if i % 3 else "plain") for i in range(120)], "doc_id long, file_name string, text string").repartition(2)
+    texts = lambda parts: [sorted((r.doc_id, r.text) for r in part.select("doc_id", "text").collect()) for part in parts]
+    whole, dealt = chunk.split_structured(docs), None
+    most = max(r["count"] for r in whole[1].groupBy(F.spark_partition_id()).count().collect())
+    monkeypatch.setattr(chunk, "TASK_BYTES", 400)
+    dealt = chunk.split_structured(docs)
+    assert texts(dealt) == texts(whole) and len(texts(dealt)[1]) == 240
+    assert max(r["count"] for r in dealt[1].groupBy(F.spark_partition_id()).count().collect()) < most / 2
+
+
+def test_ingest_cleans_once(spark, small, monkeypatch):
+    """Cleaned and classified texts are written once, and chunks and facts are both read from there."""
+    kept = []
+    monkeypatch.setattr(jobs, "materialize", lambda df, name: kept.append(name) or materialize(df, name))
+    files = text_queries.legal_files(spark, small).limit(50)
+    found = jobs.ingest(files, spark.createDataFrame([], "file_hash string"))
+    assert kept == ["kinds"] and found.inputFiles() and not any("documents.parquet" in f for f in found.inputFiles())
+    assert found.select("doc_id").distinct().count() == 50 - files.where("text is null or trim(text) = ''").count()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_engine.functions.text import cn_to_int, strip
-from corpus_engine.shared import TASK_BYTES, materialize, tasks, united
+from corpus_engine.shared import TASK_BYTES, deal, materialize, united
 
 SIZE, OVERLAP = 500, 50
 # Separators in the order they are tried, and the marks of structure.
@@ -143,7 +143,7 @@ def split_structured(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     if "_row" not in df.columns:
         df = with_rows(df.select("doc_id", "file_name", "text"))
     size = df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
-    df = df.repartition(tasks(df.sparkSession, size, TASK_BYTES), "_row")
+    df = deal(df, size, TASK_BYTES, "_row")
     lines = df.select("_row", "doc_id", F.regexp_replace("file_name", r"\.[^.]*$", "").alias("law_name"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
 
     def part(pattern: str, group: int) -> Column:

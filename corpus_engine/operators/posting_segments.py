@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpus_engine.functions.text import tokenize
 from corpus_engine.operators import search
-from corpus_engine.shared import materialize, tasks
+from corpus_engine.shared import deal, materialize
 from corpus_engine.sources.manifest import Manifest
 
 #: kind: postings or tombstones; seq: order in which they came; n, tokens: what they add to the totals (negative for
@@ -77,7 +77,7 @@ class PostingSegments:
         rows = self.manifest.entries(base)
         tokens = materialize(chunks.select("chunk_id", self.tokenizer(F.col("text")).alias("tokens")).select("chunk_id", "tokens", F.size("tokens").alias("dl")), "tokens")
         total = tokens.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first().tokens
-        dealt = tokens.repartition(tasks(self.spark, total, search.TASK_TOKENS), "chunk_id")
+        dealt = deal(tokens, total, search.TASK_TOKENS, "chunk_id")
         postings = dealt.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
         entry = self._write_segment(postings, tokens.select("chunk_id", "dl"), self._next(rows))
         return self.manifest.commit([*rows, entry], base)

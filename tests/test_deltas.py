@@ -8,6 +8,7 @@ import pytest
 from oracle import agree
 from pyspark.sql import functions as F
 
+from corpus_engine import shared
 from corpus_engine.functions import tables, text
 from corpus_engine.operators import chunk, findings, inverted_file, jobs, quality, retrieve, search
 from corpus_engine.operators.collections import Collections
@@ -260,6 +261,34 @@ def test_more_text_makes_more_tasks_not_larger_ones(spark, monkeypatch):
     assert nothing.totals.first() == (0, None)
 
 
+def test_rows_are_dealt_out_from_small_scans(spark, monkeypatch, tmp_path):
+    """A task that deals rows out reads little, so that it can hold all of them; a lower setting stays."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    rows = [(i, f"law{i}.md", f"word{i % 7} word{i % 11} and more") for i in range(200)]
+    spark.createDataFrame(rows, "chunk_id long, file_name string, text string").repartition(20).write.parquet(f"{tmp_path}/t")
+    chunks, index = spark.read.parquet(f"{tmp_path}/t"), None
+    asked = search.query_terms(spark.createDataFrame([(1, "word3 more"), (2, "word5")], "query_id long, query string"))
+    scans = lambda: spark.read.parquet(f"{tmp_path}/t").rdd.getNumPartitions()
+    deals = {
+        "index": lambda: search.bm25_index(chunks).postings, "scores": lambda: search.bm25_scores(asked, index), "vectors": lambda: search.posting_vectors(index),
+        "lines": lambda: chunk.split_structured(chunks.withColumnRenamed("chunk_id", "doc_id"))[0],
+    }
+    try:
+        index, many = search.bm25_index(chunks), scans()
+        want = {deal: sorted(map(repr, made().collect())) for deal, made in deals.items()}
+        monkeypatch.setattr(shared, "SCAN_BYTES", 5_000_000)
+        for deal, made in deals.items():
+            spark.conf.set(name, before)
+            assert sorted(map(repr, made().collect())) == want[deal]
+            assert spark.conf.get(name) == "5000000" and scans() >= 2 * many, deal
+        spark.conf.set(name, "1m")
+        deals["index"]()
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_lines_are_dealt_out_by_size_of_texts(spark, monkeypatch):
     """Documents are taken apart in tasks of bounded size; parents and children are the same."""
     law = "第一章 总则\n第一条 甲\n乙\n第二条 丙\n第二章 附则\n第三条 丁"

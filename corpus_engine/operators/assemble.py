@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpus_engine.shared import materialize
+
 
 def expand_to_parent(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """ranked(query_id, chunk_id, rank, score), chunks(chunk_id, parent_chunk_id, text) and their parents.
 
-    Each hit takes its parent's id and text and keeps its rank and score; without a parent it stays.
+    Each hit takes its parent's id and text and keeps its rank and score; without a parent it stays. Hits and
+    their parents are picked out of the chunks first, so that an outer join does not sort all texts.
     """
-    own = chunks.select("chunk_id", "parent_chunk_id", F.col("text").alias("_own"))
-    parents = chunks.select(F.col("chunk_id").alias("_parent"), F.col("text").alias("_text"))
+    ranked = materialize(ranked, "hits")  # read twice
+    own = chunks.join(ranked.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    own = materialize(own.select("chunk_id", "parent_chunk_id", F.col("text").alias("_own")), "own")  # read twice
+    wanted = own.select(F.col("parent_chunk_id").alias("chunk_id")).distinct()
+    parents = chunks.join(wanted, "chunk_id", "left_semi").select(F.col("chunk_id").alias("_parent"), F.col("text").alias("_text"))
+    parents = materialize(parents, "parents")
     met = ranked.join(own, "chunk_id", "left").join(parents, F.col("parent_chunk_id") == F.col("_parent"), "left")
     return met.select(
         "query_id", F.coalesce("_parent", "chunk_id").alias("chunk_id"), "rank", "score", F.coalesce("_text", "_own").alias("text")

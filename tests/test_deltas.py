@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpus_engine import shared
 from corpus_engine.functions import tables, text
-from corpus_engine.operators import chunk, findings, inverted_file, jobs, quality, retrieve, search
+from corpus_engine.operators import assemble, chunk, findings, inverted_file, jobs, quality, retrieve, search
 from corpus_engine.operators.collections import Collections
 from corpus_engine.operators.pages import PageIndex
 from corpus_engine.operators.posting_segments import PostingSegments
@@ -289,6 +289,26 @@ def test_rows_are_dealt_out_from_small_scans(spark, monkeypatch, tmp_path):
         spark.conf.set(name, before)
 
 
+def test_parents_are_met_without_sorting_all_texts(spark, tmp_path):
+    """Few hits among many texts: no join sorts the texts; hits without parent, of unknown ids and repeated chunks stay as they were."""
+    draw = random.Random(3)
+    rows = [(i, i - i % 10 if i % 10 else None, "".join(draw.choices("abcdefgh", k=200))) for i in range(3000)] + [(7, 20, "again")]
+    spark.createDataFrame(rows, "chunk_id long, parent_chunk_id long, text string").write.parquet(f"{tmp_path}/t")
+    hits = [(1, 7, 1, 0.9), (1, 10, 2, 0.8), (2, 5000, 1, 0.7), (2, 2999, 2, 0.6), (3, None, 1, 0.5)]
+    ranked = spark.createDataFrame(hits, "query_id long, chunk_id long, rank int, score double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60k")
+        found = assemble.expand_to_parent(ranked, spark.read.parquet(f"{tmp_path}/t"))
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(repr, (tuple(r) for r in found.collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    text_of = {r[0]: r[2] for r in rows[:3000]}
+    want = [(1, 0, 1, 0.9, text_of[0]), (1, 20, 1, 0.9, text_of[20]), (1, 10, 2, 0.8, text_of[10]), (2, 5000, 1, 0.7, None), (2, 2990, 2, 0.6, text_of[2990]), (3, None, 1, 0.5, None)]
+    assert got == sorted(map(repr, want))
+
+
 def test_lines_are_dealt_out_by_size_of_texts(spark, monkeypatch):
     """Documents are taken apart in tasks of bounded size; parents and children are the same."""
     law = "第一章 总则\n第一条 甲\n乙\n第二条 丙\n第二章 附则\n第三条 丁"

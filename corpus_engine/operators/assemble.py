@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from corpus_engine.shared import materialize
 
 
+def with_texts(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """ranked(chunk_id, ...) with what chunks(chunk_id, ...) hold of each hit; hits that are not there go.
+
+    Hits are written and their chunks picked out first, so that no join deals out or sorts the texts of all chunks.
+    """
+    ranked = materialize(ranked, "hits")  # read twice
+    own = chunks.join(ranked.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return ranked.join(materialize(own, "own"), "chunk_id")
+
+
 def expand_to_parent(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """ranked(query_id, chunk_id, rank, score), chunks(chunk_id, parent_chunk_id, text) and their parents.
 

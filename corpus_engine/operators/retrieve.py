@@ -49,7 +49,7 @@ def assembled(ranked: DataFrame, chunks: DataFrame, w: int = 1) -> DataFrame:
     Hits of statutes take their parents' place, hits of cases get their neighbours, others stay.
     """
     law, case = ranked.where(F.col("retrieval_type") == LAW), ranked.where(F.col("retrieval_type") == CASE)
-    other = ranked.where(~F.col("retrieval_type").isin(LAW, CASE)).join(chunks.select("chunk_id", "text"), "chunk_id")
+    other = assemble.with_texts(ranked.where(~F.col("retrieval_type").isin(LAW, CASE)), chunks.select("chunk_id", "text"))
     columns = ["query_id", "chunk_id", "rank", "score", "text"]
     parents = assemble.expand_to_parent(law, chunks).select(*columns)
     places = chunks.select("chunk_id", "doc_id", "chunk_index")
@@ -130,6 +130,6 @@ def stages(near: DataFrame, words: DataFrame, kinds: DataFrame, chunks: DataFram
     scores = scorer(met.select("query_id", "chunk_id", "text").dropDuplicates(["query_id", "chunk_id"]))
     light = materialize(assemble.rerank(met.drop("text"), scores, k), "reranked")
     parts = {"vector": near, "bm25": words, "fusion": fused, "assembly": met, "rerank": light}
-    parts["dedup"] = renumbered(search.dedup_keep_first(light.join(texts, "chunk_id")))
+    parts["dedup"] = renumbered(search.dedup_keep_first(assemble.with_texts(light, texts)))
     lists = [part.select(F.lit(name).alias("stage"), "query_id", "rank", "chunk_id") for name, part in parts.items()]
-    return united(*lists).join(texts, "chunk_id")
+    return assemble.with_texts(united(*lists), texts)

@@ -76,7 +76,7 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best documents of each passage as a context."""
-    found = bm25(spark, sf_dir, 3).join(whole(spark, sf_dir), "chunk_id").withColumn("source", F.col("chunk_id").cast("string"))
+    found = assemble.with_texts(bm25(spark, sf_dir, 3), whole(spark, sf_dir)).withColumn("source", F.col("chunk_id").cast("string"))
     return context.context_block(found).withColumn("context", F.md5("context"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_engine.functions import parsing
+from corpus_engine.operators import assemble
 from corpus_engine.plans import search_queries, text_queries
 from corpus_engine.plans.search_queries import bm25, table, whole
 
@@ -28,7 +29,7 @@ def model_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents of every passage as a text, and read from it again."""
-    ranked = bm25(spark, sf_dir, 8).join(whole(spark, sf_dir), "chunk_id")
+    ranked = assemble.with_texts(bm25(spark, sf_dir, 8), whole(spark, sf_dir))
     ranked = ranked.withColumns({"source": F.concat(F.lit("doc "), F.col("chunk_id").cast("string")), "doc_type": F.when(F.col("chunk_id") % 3 == 0, "law")})
     return parsing.parsed_observation(parsing.observation_block(ranked)).withColumn("text", F.md5("text"))
 

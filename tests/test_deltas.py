@@ -14,7 +14,7 @@ from corpus_engine.operators import assemble, chunk, findings, inverted_file, jo
 from corpus_engine.operators.collections import Collections
 from corpus_engine.operators.pages import PageIndex
 from corpus_engine.operators.posting_segments import PostingSegments
-from corpus_engine.plans import registry, text_queries
+from corpus_engine.plans import job_queries, model_queries, registry, search_queries, text_queries
 from corpus_engine.shared import materialize
 from corpus_engine.sources.manifest import Manifest, VersionConflict
 
@@ -309,6 +309,31 @@ def test_parents_are_met_without_sorting_all_texts(spark, tmp_path):
     assert got == sorted(map(repr, want))
 
 
+def test_texts_of_hits_are_met_without_dealing_out_all_texts(spark, small, monkeypatch, tmp_path):
+    """Few hits among many texts: no join shuffles or sorts the texts; unknown and null ids go, repeated ones meet each row."""
+    draw = random.Random(5)
+    rows = [(i, "".join(draw.choices("abcdefgh", k=200))) for i in range(3000)] + [(7, "again"), (None, "none")]
+    spark.createDataFrame(rows, "chunk_id long, text string").write.parquet(f"{tmp_path}/t")
+    hits = [(1, 7, 1), (1, 10, 2), (2, 5000, 1), (2, 10, 2), (3, None, 1)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    made = []
+    monkeypatch.setattr(assemble, "materialize", lambda df, name: made.append(plan(df)) or materialize(df, name))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60k")
+        ranked = spark.createDataFrame(hits, "query_id long, chunk_id long, rank int")
+        found = assemble.with_texts(ranked, spark.read.parquet(f"{tmp_path}/t"))
+        got = sorted(map(tuple, found.collect()))
+        want = [(7, 1, 1, rows[7][1]), (7, 1, 1, "again"), (10, 1, 2, rows[10][1]), (10, 2, 2, rows[10][1])]
+        assert found.columns == ["chunk_id", "query_id", "rank", "text"] and got == sorted(want)
+        for query in (search_queries.deduped, search_queries.flagship, search_queries.lenient_relevance, job_queries.contexts, model_queries.observations):
+            made.append(plan(query(spark, small)))
+        assert not [p for p in made if "documents.parquet" in p and "SortMergeJoin" in p]
+        assert len(made) >= 10 and any("LeftSemi" in p and "documents.parquet" in p for p in made)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_lines_are_dealt_out_by_size_of_texts(spark, monkeypatch):
     """Documents are taken apart in tasks of bounded size; parents and children are the same."""
     law = "第一章 总则\n第一条 甲\n乙\n第二条 丙\n第二章 附则\n第三条 丁"

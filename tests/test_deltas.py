@@ -334,6 +334,12 @@ def test_texts_of_hits_are_met_without_dealing_out_all_texts(spark, small, monke
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_reranked_sums_scores_once(spark, small):
+    """The list that is reranked is written: postings are not read by its plan, for the list and again for the new scores."""
+    plan = search_queries.reranked(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "postings-" not in plan and "query-terms-" not in plan
+
+
 def test_lines_are_dealt_out_by_size_of_texts(spark, monkeypatch):
     """Documents are taken apart in tasks of bounded size; parents and children are the same."""
     law = "第一章 总则\n第一条 甲\n乙\n第二条 丙\n第二章 附则\n第三条 丁"

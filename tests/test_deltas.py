@@ -1,6 +1,7 @@
 """What is kept by deltas: segments of postings, versions of collections, pages; inverted files; findings and table functions."""
 
 import random
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -334,6 +335,23 @@ def test_texts_of_hits_are_met_without_dealing_out_all_texts(spark, small, monke
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_deduped_deals_more_text_out_to_more_tasks(spark, small, monkeypatch):
+    """The whole query: its postings and its sums are dealt out by their amount, not by a fixed number of tasks; rows stay the same."""
+    plans, want = {}, sorted(map(tuple, search_queries.deduped(spark, small).collect()))
+    keep = lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or materialize(df, name)
+    for module in (search, assemble):
+        monkeypatch.setattr(module, "materialize", keep)
+
+    def dealt(each: int) -> list[int]:
+        monkeypatch.setattr(search, "TASK_BYTES", each)
+        monkeypatch.setattr(search, "TASK_SUMS", each // 80)
+        assert sorted(map(tuple, search_queries.deduped(spark, small).collect())) == want
+        return [max(int(n) for n in re.findall(r"hashpartitioning\(chunk_id#\d+L?, (\d+)\)", plans[name])) for name in ("postings", "hits")]
+
+    few, many = dealt(80_000), dealt(20_000)
+    assert all(a >= 3 * b > 3 for a, b in zip(many, few))
+
+
 def test_reranked_sums_scores_once(spark, small):
     """The list that is reranked is written: postings are not read by its plan, for the list and again for the new scores."""
     plan = search_queries.reranked(spark, small)._jdf.queryExecution().executedPlan().toString()

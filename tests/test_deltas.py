@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -379,3 +381,17 @@ def test_ingest_cleans_once(spark, small, monkeypatch):
     found = jobs.ingest(files, spark.createDataFrame([], "file_hash string"))
     assert kept == ["kinds"] and found.inputFiles() and not any("documents.parquet" in f for f in found.inputFiles())
     assert found.select("doc_id").distinct().count() == 50 - files.where("text is null or trim(text) = ''").count()
+
+
+def test_findings_of_long_lines_in_one_pass(spark):
+    """Findings are as many as the places that plain Python finds; many symbols and brackets of one long line take time in proportion."""
+    draw = random.Random(11)
+    parts = [*"aAbBzZ09_ \n\r\t.-@&#()[]{}【】（）!,;:。\\é中😀𝒜\u0085\x07\x80", "http://", "https://x", "a@b.cn", "ABc", "aBcDeFg", "XMLHttp", "   ", "\n\n\n", "!!"]
+    texts = {i: "".join(draw.choices(parts, k=draw.randrange(60))) for i in range(1500)}
+    found = quality.quality_findings(spark.createDataFrame([*texts.items(), (-1, None)], "doc_id long, text string").repartition(4))
+    want = {(i, rule): n for i, t in texts.items() for rule, n in Counter(rule for rule, *_ in quality.places_of(t)).items()}
+    assert {(r.doc_id, r.rule): r.findings for r in found.collect()} == want
+    started = time.monotonic()
+    long = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a& ) "), 20_000).alias("text"))
+    assert {r.rule: r.findings for r in quality.quality_findings(long).collect()} == {"symbols": 20_000, "brackets": 20_000}
+    assert time.monotonic() - started < 20

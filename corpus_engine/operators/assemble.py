@@ -41,7 +41,8 @@ def expand_window(ranked: DataFrame, chunks: DataFrame, w: int = 1) -> DataFrame
 
     ranked(query_id, doc_id, chunk_index, rank, score) -> query_id, doc_id, chunk_index, score,
     hit, position, text. A chunk that several hits reach belongs to the best ranked one, but a hit
-    keeps its own score. Hits follow by rank, their chunks by index.
+    keeps its own score. Hits follow by rank, their chunks by index. They are written and their texts picked out first, so that
+    no join deals out or sorts the texts of all chunks.
     """
     near = ranked.withColumn("_at", F.explode(F.sequence(F.col("chunk_index") - w, F.col("chunk_index") + w)))
     near = near.withColumn("_hit", (F.col("_at") == F.col("chunk_index")).cast("int"))
@@ -50,8 +51,10 @@ def expand_window(ranked: DataFrame, chunks: DataFrame, w: int = 1) -> DataFrame
         "_n": F.row_number().over(first),
         "_own": F.max(F.when(F.col("_hit") == 1, F.col("score"))).over(Window.partitionBy("query_id", "doc_id", "_at")),
     }).where("_n = 1")
-    texts = chunks.select(F.col("doc_id").alias("_d"), F.col("chunk_index").alias("_i"), "text")
-    met = near.join(texts, (F.col("doc_id") == F.col("_d")) & (F.col("_at") == F.col("_i")))
+    near = materialize(near, "near")  # read twice
+    wanted = near.select(F.col("doc_id").alias("_d"), F.col("_at").alias("_i")).distinct()
+    texts = chunks.select(F.col("doc_id").alias("_d"), F.col("chunk_index").alias("_i"), "text").join(wanted, ["_d", "_i"], "left_semi")
+    met = near.join(materialize(texts, "own"), (F.col("doc_id") == F.col("_d")) & (F.col("_at") == F.col("_i")))
     order = Window.partitionBy("query_id").orderBy("rank", "_at", "doc_id")
     return met.select(
         "query_id", "doc_id", F.col("_at").alias("chunk_index"), F.coalesce("_own", "score").alias("score"),

@@ -27,7 +27,8 @@ def hybrid(
     """queries(query_id, query, budget) -> query_id, chunk_id, rank, score, fusion_method: at most `budget` results each.
 
     budget is at most `most`. doc_type, filters (see store.metadata_predicate): only such chunks are found;
-    statistics are those of all.
+    statistics are those of all. vectors are counted, then searched, so they should be written; such as have the column doc_type
+    are of chunks that the filters passed.
     """
     kept = chunks if doc_type is None else chunks.where(F.col("doc_type") == doc_type)
     kept = kept.where(store.metadata_predicate(filters)) if filters else kept
@@ -35,7 +36,11 @@ def hybrid(
     budget = queries.select("query_id", "budget")
     words = search.bm25_search(queries, index, most, kept.select("chunk_id") if narrowed else None)
     asked = search.hash_vectors(queries.select("query_id", F.col("query").alias("text")), "query_id")
-    near = search.knn_search(asked, vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi") if narrowed else vectors, most)
+    if "doc_type" in vectors.columns:
+        vectors = vectors if doc_type is None else vectors.where(F.col("doc_type") == doc_type)
+    elif narrowed:
+        vectors = vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi")
+    near = search.knn_search(asked, vectors, most)
     near = near.select("query_id", "chunk_id", "rank", F.round(search.distance_to_similarity(F.col("distance")), 6).alias("score"))
     within = lambda ranked: ranked.join(budget, "query_id").where(F.col("rank") <= F.col("budget")).drop("budget")
     keys = kept.select("chunk_id", F.substring("text", 1, KEY).alias("key"))
@@ -76,6 +81,7 @@ def retrieve(
     most = most or int(2 * k * highest)
     budget = F.least(search.fetch_budget(k, F.col("k_multiplier")), F.lit(most))
     asked = prepared.select("query_id", F.col("corrected_query").alias("query"), budget.alias("budget"), "retrieval_type", "enable_rerank")
+    vectors = materialize(vectors, "vectors")  # read twice
     found = materialize(hybrid(asked, index, vectors, chunks, most), "hybrid").join(asked.select("query_id", "retrieval_type"), "query_id")
     parts = materialize(renumbered(assembled(found, chunks)), "assembled")  # read twice
     marked = parts.join(asked.select("query_id", "enable_rerank"), "query_id")
@@ -97,8 +103,13 @@ def routed(prepared: DataFrame, index: search.Index, vectors: DataFrame, chunks:
     Each scope searches its kind of documents both ways, assembles its hits and drops repeated texts. The
     lists of queries of two scopes are fused by reciprocal rank and cut to k, laws first among equals;
     of one scope, they are sorted by score. filters, on columns of chunks, hold in every scope for what is
-    found, not for the parents and neighbours that it is assembled with.
+    found, not for the parents and neighbours that it is assembled with. Vectors, with the kinds of their chunks, and the weights of
+    the queries' terms are written once for all scopes.
     """
+    kept = chunks.where(store.metadata_predicate(filters)) if filters else chunks
+    vectors = materialize(vectors.join(kept.select("chunk_id", "doc_type").distinct(), "chunk_id"), "vectors")
+    terms = index.terms.join(search.query_terms(prepared).select("term").distinct(), "term", "left_semi")
+    index = search.Index(index.postings, materialize(terms, "terms"), index.totals)
     parts = []
     for tool, (doc_type, kind) in SCOPES.items():
         asked = prepared.where(F.array_contains("tools", tool)).select("query_id", "query", F.lit(k).alias("budget"))

@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
-from oracle import agree
+from oracle import agree, counterpart
 from pyspark.sql import functions as F
 
 from corpus_engine import shared
@@ -395,3 +395,53 @@ def test_findings_of_long_lines_in_one_pass(spark):
     long = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a& ) "), 20_000).alias("text"))
     assert {r.rule: r.findings for r in quality.quality_findings(long).collect()} == {"symbols": 20_000, "brackets": 20_000}
     assert time.monotonic() - started < 20
+
+
+def dealt_rows(spark, run) -> int:
+    """Rows that all stages of run() wrote for a shuffle."""
+    context = spark.sparkContext
+    scala, jvm = context._jsc.sc(), context._jvm
+    stages = lambda: scala.listenerBus().waitUntilEmpty() or scala.statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    each = lambda found: [(found.apply(i).stageId(), found.apply(i).shuffleWriteRecords()) for i in range(found.size())]
+    last = max((k for k, _ in each(stages())), default=-1)
+    run()
+    return sum(n for k, n in each(stages()) if k > last)
+
+
+def test_scopes_share_what_is_dealt_out(spark, small, monkeypatch):
+    """Postings are dealt out whole for the vectors alone, and for each scope those of the queries' terms; texts are not dealt out again."""
+    kept = []
+    monkeypatch.setattr(search, "materialize", lambda df, name: kept.append((name, made := materialize(df, name))) or made)
+    found, plain = [], registry.oracle_sql()["routed_both_ways"]
+    rows = dealt_rows(spark, lambda: found.append(job_queries.routed_both_ways(spark, small).toPandas()))
+    postings = next(df for name, df in kept if name == "postings")
+    total = postings.count()
+    asked = search.query_terms(search_queries.passages(spark, small)).select("term").distinct()
+    met = postings.join(asked, "term", "left_semi").count()
+    terms = postings.select("term").distinct().count()
+    assert met < total and rows < total + 2 * met + 2 * 4 * terms + 10_000
+    assert len(found[0]) == len(counterpart(plain, small))
+
+
+def test_kept_chunks_are_met_after_the_postings_are_dealt_out(spark):
+    """Repeated, null and unknown ids to keep change nothing; postings are dealt out once, by their amount."""
+    draw = random.Random(4)
+    words = [f"word{i}" for i in range(60)]
+    chunks = spark.createDataFrame([(i, " ".join(draw.choices(words, k=12))) for i in range(300)], "chunk_id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(draw.choices(words[:6], k=3))) for q in range(9)], "query_id long, query string")
+    index = search.bm25_index(chunks)
+    keep = spark.createDataFrame([(i,) for i in [*range(0, 300, 3), *range(0, 300, 6), 999, None]], "chunk_id long")
+    all_ = search.bm25_scores(search.query_terms(asked), index).where("chunk_id % 3 = 0")
+    kept = search.bm25_scores(search.query_terms(asked), index, keep=keep)
+    rounded = lambda df: sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in df.collect())
+    assert rounded(kept) == rounded(all_) and all_.count() > 50
+    tiled = search.bm25_scores(search.query_terms(asked), index, keep=keep, tile_rows=1)  # too many terms to be broadcast
+    assert rounded(tiled) == rounded(all_)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = search.bm25_scores(search.query_terms(asked), index, keep=keep)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    postings = [line for line in plan.split("postings-")[0].splitlines() if "Exchange hashpartitioning(chunk_id" in line]
+    assert len(postings) == 1 and "REPARTITION_BY_NUM" in postings[0]
